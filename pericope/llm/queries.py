@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pericope.llm import packing, urlrules
+from pericope.llm import decontaminate, packing, urlrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -22,8 +26,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_packing, op9_url_filters)}
+    return {f.__name__: f for f in (op1_decontamination, op6_packing, op9_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_packing": packing.sql(), "op9_url_filters": urlrules.sql()}
+    return {"op1_decontamination": decontaminate.sql(), "op6_packing": packing.sql(), "op9_url_filters": urlrules.sql()}
