@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pericope.llm import decontaminate, packing, urlrules
+from pericope.llm import decontaminate, jaccard, packing, urlrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(_read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -26,8 +30,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op6_packing, op9_url_filters)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op6_packing, op9_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.sql(), "op6_packing": packing.sql(), "op9_url_filters": urlrules.sql()}
+    return {"op1_decontamination": decontaminate.sql(), "op2_ngram_jaccard": jaccard.sql(), "op6_packing": packing.sql(), "op9_url_filters": urlrules.sql()}
