@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pericope.llm import decontaminate, jaccard, packing, urlrules
+from pericope.llm import decontaminate, jaccard, langid, packing, urlrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,12 +25,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.verdicts(_read(spark, sf_dir, "pages"), urlrules.rules_table(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op6_packing, op9_url_filters)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op6_packing, op8_language_id, op9_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
