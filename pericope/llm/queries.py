@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pericope.llm import decontaminate, jaccard, langid, packing, urlrules
+from pericope.llm import decontaminate, jaccard, langid, packing, pii, urlrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(_read(spark, sf_dir, "documents"), pii.train())
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -35,7 +39,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op6_packing, op8_language_id, op9_url_filters)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op6_packing, op7_pii, op8_language_id, op9_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
