@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pericope.llm import decontaminate, jaccard, langid, packing, pii, quality, urlrules
+from pericope.llm import decontaminate, html, jaccard, langid, packing, pii, quality, urlrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(_read(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"), html.train())
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     return quality.score(docs, labels, quality.train(docs, labels))
@@ -44,7 +48,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op5_quality, op6_packing, op7_pii, op8_language_id, op9_url_filters)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op4_html_extraction, op5_quality, op6_packing, op7_pii, op8_language_id, op9_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
