@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pericope.llm import decontaminate, html, jaccard, langid, packing, pii, quality, urlrules
+from pericope.llm import decontaminate, gif, html, jaccard, langid, lm, packing, pii, quality, urlrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(_read(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages"), html.train())
 
@@ -47,8 +52,13 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.verdicts(_read(spark, sf_dir, "pages"), urlrules.rules_table(spark))
 
 
+def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no media, so every row of embeddings is first made an animation, by gif.from_vectors()."""
+    return gif.decode(gif.from_vectors(_read(spark, sf_dir, "embeddings")), id_col="vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op4_html_extraction, op5_quality, op6_packing, op7_pii, op8_language_id, op9_url_filters)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_lm_scoring, op4_html_extraction, op5_quality, op6_packing, op7_pii, op8_language_id, op9_url_filters, op10_gif_media)}
 
 
 def oracle_sql() -> dict[str, str]:
