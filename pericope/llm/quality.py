@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import cut, only, spans, utf8, words
+from pericope.llm.shared import cut, mix, only, sample, spans, utf8, words
 
 #: Labelled documents that the classifier is fitted on, at most: those whose id has the smallest hash.
-FIT_ROWS = 4000
-BUCKETS = 1 << 15
+FIT_ROWS = 8000
+BUCKETS = 1 << 16
+#: Words are read whole and by their first bytes, of so many: languages that compound words show what a text is about there.
+PREFIXES = (4, 6)
 THRESHOLD = 0.5
 _DENSE = 7
 _UPPER, _SPACE, _DIGIT = (np.zeros(256, bool) for _ in range(3))
@@ -39,14 +41,23 @@ _FOLD[65:91] += 32
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, dense): the distinct hashed words of each row, and figures on the whole text."""
+    """(row, bucket, dense): the distinct hashed words and beginnings of words of each row, and figures on the whole text."""
     n = len(offsets) - 1
     size = np.maximum(1, np.diff(offsets))
-    row, start, end, h = words(_FOLD[data], offsets, _WORD)
-    bucket = (h >> np.uint64(49)).astype(np.int64)
-    u = np.unique((row << 15) | bucket)
+    text = _FOLD[data]
+    row, start, end, h = words(text, offsets, _WORD)
+    keys = [(row << 16) | (h >> np.uint64(48)).astype(np.int64)]
+    distinct = np.bincount(np.unique(keys[0]) >> 16, minlength=n)
+    if len(row):
+        place = np.arange(len(text)) - np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(text)]])))
+        for k in PREFIXES:
+            long = end - start > k
+            first = words(np.where(place < k, text, 32), offsets, _WORD)
+            # every word leaves one beginning, at the same place
+            at = np.searchsorted(first[1], start[long])
+            keys.append((row[long] << 16) | (mix(first[3][at] + np.uint64(k)) >> np.uint64(48)).astype(np.int64))
+    u = np.unique(np.concatenate(keys))
     n_words = np.bincount(row, minlength=n)
-    distinct = np.bincount(u >> 15, minlength=n)
 
     def share(kind: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate([[0], np.cumsum(kind)])[offsets]) / size
@@ -64,7 +75,7 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         ],
         axis=1,
     )
-    return u >> 15, u & (BUCKETS - 1), dense
+    return u >> 16, u & (BUCKETS - 1), dense
 
 
 class Classifier:
@@ -79,14 +90,17 @@ class Classifier:
         return np.bincount(row, self.words[bucket], len(offsets) - 1) + ((dense - self.mean) / self.scale) @ self.dense + self.bias
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 80, rate: float = 0.1, decay: float = 1e-3, least: int = 8) -> Classifier:
-        """rows: (buckets, dense) by document. Buckets of fewer than `least` documents get no weight."""
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 80, rate: float = 0.1, decay: float = 1e-4, least: int = 8, score: float = 4.0) -> Classifier:
+        """rows: (buckets, dense) by document. Only buckets of `least` documents or more get a weight, and of those the ones whose share of good documents is off by `score` standard deviations or more."""
         if not len(y):
             return cls(np.zeros(BUCKETS), np.zeros(_DENSE), 0.0, np.zeros(_DENSE), np.ones(_DENSE))
         n = len(y)
         at = np.repeat(np.arange(n), [len(b) for b, _ in rows])
         bucket = np.concatenate([b for b, _ in rows])
-        keep = (np.bincount(bucket, minlength=BUCKETS) >= least)[bucket]
+        share = min(max(y.mean(), 1 / (n + 2)), 1 - 1 / (n + 2))
+        count, good = np.bincount(bucket, minlength=BUCKETS), np.bincount(bucket, y[at], BUCKETS)
+        off = np.abs(good - count * share) / np.sqrt(np.maximum(count, 1) * share * (1 - share))
+        keep = ((count >= least) & (off >= score))[bucket]
         at, bucket = at[keep], bucket[keep]
         d = np.stack([x for _, x in rows])
         mean, scale = d.mean(axis=0), d.std(axis=0) + 1e-6
@@ -116,7 +130,7 @@ def _labels(labels: DataFrame, id_col: str) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Classifier:
     """Fits the classifier on at most fit_rows labelled documents. With no such document, or of one kind only, it knows the prior alone."""
-    lab = _labels(labels, id_col).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    lab = sample(_labels(labels, id_col), F.xxhash64("doc_id"), fit_rows)
     d = only(docs, doc_id=id_col, text=text_col).where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     d = d.join(F.broadcast(lab), "doc_id").select("text", "good")  # fit_rows rows at most
 
