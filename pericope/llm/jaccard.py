@@ -66,42 +66,64 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
     return (np.concatenate(rows), np.concatenate(grams)) if rows else (z, z.astype(np.uint64))
 
 
+#: Bytes of text that one packed row per range is made of.
+_STRETCH = 8 << 20
+
+
+def _pack(g: np.ndarray) -> bytes:
+    """Fingerprints of 52 bits in 7 bytes each."""
+    return np.ascontiguousarray(g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def _unpack(x: bytes, n: int | None = None) -> np.ndarray:
+    raw = np.frombuffer(x, np.uint8, -1 if n is None else 7 * n).reshape(-1, 7)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :7] = raw
+    return out.view("<u8").ravel().astype(np.uint64, copy=False)
+
+
 _SENT = "part int, src string, counts binary, body binary"
 
 
 def _send(n: int, parts: int):
     """One row per batch and fingerprint range, and one with part -1 for what belongs to the documents themselves."""
 
+    def batch(ids: np.ndarray, data: np.ndarray, off: np.ndarray, src: str) -> pa.RecordBatch:
+        docs = len(ids)
+        row, g = gram_sets(data, off, n)
+        row = row.astype(np.int32)
+        size = np.bincount(row, minlength=docs).astype(np.int32)
+        start = np.concatenate([[0], np.cumsum(size)])
+        total = np.zeros(len(g) + 1, np.uint64)
+        np.cumsum(mix(g.copy()), out=total[1:])
+        fp = total[start[1:]] - total[start[:-1]]
+        part = ((g >> np.uint64(20)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        edge = np.searchsorted(part[order], np.arange(parts + 1))
+        out_p, out_c, out_b = [-1], [ids.tobytes()], [size.tobytes() + fp.tobytes()]
+        for r in range(parts):
+            own = order[edge[r] : edge[r + 1]]
+            if len(own):
+                out_p.append(r)
+                out_c.append(np.bincount(row[own], minlength=docs).astype(np.uint32).tobytes())
+                out_b.append(_pack(g[own]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(out_p, pa.int32()), pa.array([src] * len(out_p)), pa.array(out_c, pa.binary()), pa.array(out_b, pa.binary())], ["part", "src", "counts", "body"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        for k, b in enumerate(batches):
-            docs = b.num_rows
-            if not docs:
-                continue
+        k = 0
+        for b in batches:
             data, off = utf8(b.column(1))
-            row, g = gram_sets(data, off, n)
-            size = np.bincount(row, minlength=docs).astype(np.int32)
-            start = np.concatenate([[0], np.cumsum(size)])
-            total = np.zeros(len(g) + 1, np.uint64)
-            np.cumsum(mix(g.copy()), out=total[1:])
-            fp = total[start[1:]] - total[start[:-1]]
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            src = f"{task}-{k}"
-            part = ((g >> np.uint64(20)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            edge = np.searchsorted(part[order], np.arange(parts + 1))
-            out_p, out_c, out_b = [-1], [ids.tobytes()], [size.tobytes() + fp.tobytes()]
-            for r in range(parts):
-                own = order[edge[r] : edge[r + 1]]
-                if len(own):
-                    out_p.append(r)
-                    out_c.append(np.bincount(row[own], minlength=docs).astype(np.int32).tobytes())
-                    out_b.append(g[own].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_p, pa.int32()), pa.array([src] * len(out_p)), pa.array(out_c, pa.binary()), pa.array(out_b, pa.binary())], ["part", "src", "counts", "body"]
-            )
+            # a bounded stretch of text at a time decides how much memory this takes
+            for lo, hi in spans(off, _STRETCH):
+                o = off[lo : hi + 1]
+                yield batch(ids[lo:hi], data[o[0] : o[-1]], o - o[0], f"{task}-{k}")
+                k += 1
 
     return run
 
@@ -110,7 +132,7 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     """The n-grams of one range that two or more documents have, back to their batches with their rarity class."""
     if int(pdf["part"].iloc[0]) < 0:
         return pdf
-    bodies = [np.frombuffer(x, np.uint64) for x in pdf["body"]]
+    bodies = [_unpack(x) for x in pdf["body"]]
     g = np.concatenate(bodies)
     order = np.argsort(g, kind="stable")
     s = g[order]
@@ -126,7 +148,7 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
         if keep.any():
             n = np.frombuffer(counts, np.int32)
             row = np.repeat(np.arange(len(n)), n)[keep]
-            out.append((int(pdf["part"].iloc[0]), src, np.bincount(row, minlength=len(n)).astype(np.int32).tobytes(), body[keep].tobytes() + c[keep].tobytes()))
+            out.append((int(pdf["part"].iloc[0]), src, np.bincount(row, minlength=len(n)).astype(np.int32).tobytes(), _pack(body[keep]) + c[keep].tobytes()))
     return pd.DataFrame(out, columns=["part", "src", "counts", "body"])
 
 
@@ -147,8 +169,8 @@ def _gather(t: float):
             n = np.frombuffer(counts, np.int32)
             m = int(n.sum())
             rows.append(np.repeat(np.arange(docs), n))
-            grams.append(np.frombuffer(body, np.uint64, m))
-            cls.append(np.frombuffer(body, np.uint8, m, 8 * m))
+            grams.append(_unpack(body, m))
+            cls.append(np.frombuffer(body, np.uint8, m, 7 * m))
         row, g, c = np.concatenate(rows), np.concatenate(grams), np.concatenate(cls)
         shared = np.bincount(row, minlength=docs)
         live = (shared >= np.ceil(t * size - 1e-9)) & (shared > 0)
