@@ -66,6 +66,20 @@ def native(text: Column, case_sensitive: bool = False, diacritics: str = "sensit
     return out if case_sensitive else F.replace(F.lower(out), F.lit("ß"), F.lit("ss"))
 
 
+def may_contain(text: Column, parts: list[str], every: bool, case_sensitive: bool = False, diacritics: str = "sensitive") -> Column:
+    """True wherever the normalised text holds every one, or any, of the parts, and wherever that takes the exact function to tell.
+
+    A test in the JVM alone, to be made before the texts are normalised exactly
+    and cut into tokens.
+    """
+    norm = native(text, case_sensitive, diacritics)
+    has = [F.contains(norm, F.lit(p)) for p in parts]
+    out = has[0]
+    for h in has[1:]:
+        out = (out & h) if every else (out | h)
+    return ~text.rlike(_SIMPLE) | out
+
+
 def normalised(text: Column, case_sensitive: bool = False, diacritics: str = "sensitive", exact: bool = True) -> Column:
     """normalise() of a column; null stays null. exact=False takes native() for every text."""
     if not exact:

@@ -23,9 +23,14 @@ def postings(tokenised: DataFrame, key: list[str] | None = None) -> DataFrame:
 
 
 def vocabulary(tokenised: DataFrame) -> DataFrame:
-    """(abbreviation, token, df, cf): verses with the token, and occurrences. Per verse distinct tokens are counted in place, so one shuffle by token is enough."""
-    each = tokenised.select("abbreviation", F.explode(F.expr("transform(array_distinct(tokens), t -> struct(t as token, size(filter(tokens, x -> x = t)) as tf))")).alias("t"))
-    return each.groupBy("abbreviation", F.col("t.token").alias("token")).agg(F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("cf"))
+    """(abbreviation, token, df, cf): verses with the token, and occurrences.
+
+    A verse's tokens are sorted in place, where the first of equal ones counts
+    for the verse; so one shuffle, with counts combined before it, is enough.
+    """
+    t = tokenised.select("abbreviation", F.array_sort("tokens").alias("s"))
+    each = t.select("abbreviation", F.explode(F.expr("transform(s, (x, i) -> struct(x as token, int(i = 0 or get(s, i - 1) != x) as first))")).alias("t"))
+    return each.groupBy("abbreviation", F.col("t.token").alias("token")).agg(F.sum("t.first").alias("df"), F.count(F.lit(1)).alias("cf"))
 
 
 def build_units(verses: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pericope.functions.text import WORD_CLASS
+from pericope.functions.text import WORD_CLASS, may_contain
+from pericope.operators.index import with_tokens
 from pericope.plans.criteria import SCOPES, Analysed
 
 
@@ -13,9 +14,19 @@ def _hit(spec_match: str, term: str):
     return (lambda x: x == F.lit(term)) if spec_match == "whole_word" else (lambda x: F.contains(x, F.lit(term)))
 
 
-def term_count(match: str, term: str, tokens: str = "tokens") -> Column:
+def term_count(match: str, term: str, tokens: Column | str = "tokens") -> Column:
     """How many of a verse's tokens are the term, or contain it. A token that holds it twice counts once."""
-    return F.size(F.filter(F.col(tokens), _hit(match, term))).cast("long")
+    return F.size(F.filter(tokens, _hit(match, term))).cast("long")
+
+
+def once(f, column: str = "tokens") -> Column:
+    """f of a column that is computed one time, however often f names it.
+
+    Catalyst puts a computed column's expression in place of its name wherever
+    a filter is pushed below it, within lambdas too, where it would run for
+    every element; a lambda's own variable stays one value.
+    """
+    return F.get(F.transform(F.array(F.col(column)), f), F.lit(0))
 
 
 def in_scope(scope: str, book: str = "book_nr") -> Column:
@@ -33,11 +44,16 @@ def phrase_pattern(terms: tuple[str, ...]) -> str:
     return f"(?<![{WORD_CLASS}]){body}(?![{WORD_CLASS}])"
 
 
-def near(terms: tuple[str, ...], gap: int, tokens: str = "tokens") -> Column:
+def near(terms: tuple[str, ...], gap: int, tokens: Column | str = "tokens") -> Column:
     """Whether some stretch of tokens with all terms, as whole tokens, has at most `gap` more tokens than there are terms."""
-    t, span = F.col(tokens), len(terms) + gap
-    here = lambda i: F.forall(F.array(*[F.lit(x) for x in terms]), lambda x: F.array_contains(F.slice(t, i, F.lit(span)), x))
-    return F.when(F.size(t) > 0, F.exists(F.sequence(F.lit(1), F.size(t)), here)).otherwise(F.lit(False))
+    if isinstance(tokens, str):
+        return once(lambda t: near(terms, gap, t), tokens)
+    t, span = tokens, len(terms) + gap
+    wanted = F.array(*[F.lit(x) for x in terms])
+    here = lambda i: F.forall(wanted, lambda x: F.array_contains(F.slice(t, i, F.lit(span)), x))
+    # a stretch can always be made to begin with a term
+    begins = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: F.array_contains(wanted, F.get(t, i - 1)))
+    return F.when(F.size(t) > 0, F.exists(begins, here)).otherwise(F.lit(False))
 
 
 def hits(tokenised: DataFrame, q: Analysed, books: list[int] | None = None) -> DataFrame:
@@ -58,27 +74,35 @@ def hits(tokenised: DataFrame, q: Analysed, books: list[int] | None = None) -> D
             count = ((F.length("norm") - F.length(F.replace(F.col("norm"), quote, F.lit("")))) / len(q.normalised)).cast("long")
             d = d.where(F.contains("norm", quote))
         else:
-            for t in dict.fromkeys(q.terms):
-                d = d.where(F.array_contains("tokens", t))
+            d = d.where(once(lambda t: F.forall(F.array(*[F.lit(x) for x in dict.fromkeys(q.terms)]), lambda x: F.array_contains(t, x))))
             count = F.regexp_count("norm", F.lit(phrase_pattern(q.terms))).cast("long")
         d = d.withColumn("occurrences", count).where("occurrences > 0").withColumns({"score": F.col("occurrences") * len(q.terms), "terms": F.array(*[F.lit(t) for t in q.terms])})
     else:
-        tests = [F.exists("tokens", _hit(s.match, t)) for t in q.terms]
-        cond = tests[0]
-        for x in tests[1:]:
-            cond = (cond | x) if s.words == "any" else (cond & x)
-        counts = [term_count(s.match, t) for t in q.terms]
-        found = F.filter(F.array(*[F.struct(F.lit(t).alias("t"), c.alias("n")) for t, c in zip(q.terms, counts)]), lambda x: x["n"] > 0)
-        d = d.where(cond).withColumn("found", found)
+        each = lambda t: F.array(*[F.struct(F.lit(x).alias("t"), term_count(s.match, x, t).alias("n")) for x in q.terms])
+        found = once(lambda t: F.filter(each(t), lambda x: x["n"] > 0))
+        d = d.withColumn("found", found).where(F.size("found") >= (1 if s.words == "any" else len(q.terms)))
         occ = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["n"])
         d = d.withColumns({"occurrences": occ, "score": occ, "terms": F.transform("found", lambda x: x["t"])}).drop("found")
-    for t in dict.fromkeys(q.excluded):
-        d = d.where(~F.exists("tokens", _hit(s.match, t)))
+    if q.excluded:
+        bad = F.array(*[F.lit(x) for x in dict.fromkeys(q.excluded)])
+        test = (lambda t: F.arrays_overlap(t, bad)) if s.match == "whole_word" else (lambda t: F.exists(bad, lambda e: F.exists(t, lambda x: F.contains(x, e))))
+        d = d.where(~once(test))
     if s.proximity is not None:
         d = d.where(near(q.terms, s.proximity))
     return d
 
 
+def search(verses: DataFrame, q: Analysed, books: list[int] | None = None, exact: bool = True) -> DataFrame:
+    """hits() from verses without tokens: what can't match is left out before anything is normalised exactly or cut into tokens."""
+    s = q.spec
+    d = verses.where(in_scope(s.scope))
+    if books is not None:
+        d = d.where(F.col("book_nr").isin([int(b) for b in books]) if books else F.lit(False))
+    parts = [q.normalised] if s.words == "phrase" and s.match == "substring" else list(dict.fromkeys(q.terms))
+    d = d.where(may_contain(F.col("text"), parts, s.words != "any", s.case_sensitive, s.diacritics))
+    return hits(with_tokens(d, s.case_sensitive, s.diacritics, exact), q)
+
+
 def order(sort: str) -> list[Column]:
     """Canonical order, which is by book, chapter and verse, or by falling score first."""
     canonical = [F.col("book_nr"), F.col("chapter"), F.col("verse")]

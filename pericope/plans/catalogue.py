@@ -40,7 +40,7 @@ def _search(query: str, **criteria) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = q.spec
         books = [int(b) for b in s.books] or None
-        m = match.hits(_tokenised(spark, sf_dir, s.case_sensitive, s.diacritics), q, books)
+        m = match.search(_verses(spark, sf_dir), q, books)
         return m.select(*KEY, "score", "occurrences", F.array_join("terms", " ").alias("terms"))
 
     return run
@@ -97,23 +97,23 @@ def vocabulary_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relevance_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = analyse("and the", SearchSpec(sort="relevance", limit=20, offset=10))
-    d = match.hits(_tokenised(spark, sf_dir).where("abbreviation = 'en'"), q)
+    d = match.search(_verses(spark, sf_dir).where("abbreviation = 'en'"), q)
     return match.page(d, q.spec.sort, q.spec.offset, q.spec.limit).select(*KEY, "score")
 
 
 def canonical_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = analyse("with", SearchSpec(limit=25, offset=5))
-    d = match.hits(_tokenised(spark, sf_dir).where("abbreviation = 'en'"), q)
+    d = match.search(_verses(spark, sf_dir).where("abbreviation = 'en'"), q)
     return match.page(d, q.spec.sort, q.spec.offset, q.spec.limit).select(*KEY, "score")
 
 
 def total_has_more(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = match.hits(_tokenised(spark, sf_dir).where("abbreviation = 'en'"), analyse("and the", SearchSpec(sort="relevance", limit=20, offset=10)))
+    d = match.search(_verses(spark, sf_dir).where("abbreviation = 'en'"), analyse("and the", SearchSpec(sort="relevance", limit=20, offset=10)))
     return match.totals(d, 10, 20)
 
 
 def grouped_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = match.hits(_tokenised(spark, sf_dir), analyse("and the", SearchSpec(scope="new_testament")))
+    d = match.search(_verses(spark, sf_dir), analyse("and the", SearchSpec(scope="new_testament")))
     g = group.grouped(d, [F.col("verse")])
     return g.select("key", F.array_join(F.transform("verses", lambda v: v["verse"].cast("string")), ",").alias("verses"), F.size("verses").cast("long").alias("n"), F.size("refs").cast("long").alias("n_refs"))
 

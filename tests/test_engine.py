@@ -324,3 +324,30 @@ def test_streaming(spark, tmp_path):
             (src / "other.json").write_text(json.dumps(fixture.TINY | {"abbreviation": "other"}), "utf-8")
         keep_indexed(spark, str(src), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == more
+
+
+def test_proximity_by_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    from pericope.operators import match
+
+    rng = random.Random(8)
+    rows = [(i, [rng.choice("abcdexyz") for _ in range(rng.randrange(0, 14))]) for i in range(150)]
+    d = spark.createDataFrame(rows, "i int, tokens array<string>")
+    for terms, gap in ((("a",), 0), (("a", "b"), 0), (("b", "a"), 2), (("a", "b", "c"), 1), (("a", "b", "c"), 5)):
+        got = {r["i"] for r in d.where(match.near(terms, gap)).select("i").collect()}
+        want = {i for i, t in rows if any(set(terms) <= set(t[a : a + n]) for n in range(len(terms), len(terms) + gap + 1) for a in range(len(t)))}
+        assert got == want
+    assert d.where(F.lit(False)).count() == 0
+
+
+def test_search_before_tokens(spark):
+    """The test before exact normalisation loses nothing, whatever the characters."""
+    from pericope.operators import index, match
+
+    texts = ["The CAFÉ", "the café", "THE CAFE", "ΣΟΦΟΣ the", "σοφος The", "the ﬁne cafe", "STRASSE the", "straße The", None, "", "İthe", "the the"]
+    v = spark.createDataFrame([("t", 1, 1, i, x) for i, x in enumerate(texts)], "abbreviation string, book_nr int, chapter int, verse int, text string")
+    for q, spec in (("the", {}), ("the café", {"words": "any"}), ("CAFE the", {"diacritics": "insensitive"}), ("σοφοσ", {}), ("strasse", {}), ("fine", {}), ("The", {"case_sensitive": True}), ("the cafe", {"words": "phrase"}), ("the", {"match": "substring"}), ("e caf", {"match": "substring", "words": "phrase"})):
+        a = analyse(q, p.SearchSpec(**spec))
+        key = lambda d: sorted((r["verse"], r["score"]) for r in d.collect())
+        assert key(match.search(v, a)) == key(match.hits(index.with_tokens(v, a.spec.case_sensitive, a.spec.diacritics), a))
