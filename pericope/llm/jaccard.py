@@ -75,6 +75,16 @@ def _pack(g: np.ndarray) -> bytes:
     return np.ascontiguousarray(g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
 
 
+def _pack_counts(n: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, which the first byte says."""
+    width = 1 if n.max(initial=0) < 1 << 8 else 2 if n.max() < 1 << 16 else 4
+    return bytes([width]) + n.astype(f"<u{width}").tobytes()
+
+
+def _unpack_counts(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", -1, 1).astype(np.int64)
+
+
 def _unpack(x: bytes, n: int | None = None) -> np.ndarray:
     raw = np.frombuffer(x, np.uint8, -1 if n is None else 7 * n).reshape(-1, 7)
     out = np.zeros((len(raw), 8), np.uint8)
@@ -105,7 +115,7 @@ def _send(n: int, parts: int):
             own = order[edge[r] : edge[r + 1]]
             if len(own):
                 out_p.append(r)
-                out_c.append(np.bincount(row[own], minlength=docs).astype(np.uint32).tobytes())
+                out_c.append(_pack_counts(np.bincount(row[own], minlength=docs)))
                 out_b.append(_pack(g[own]))
         return pa.RecordBatch.from_arrays(
             [pa.array(out_p, pa.int32()), pa.array([src] * len(out_p)), pa.array(out_c, pa.binary()), pa.array(out_b, pa.binary())], ["part", "src", "counts", "body"]
@@ -146,9 +156,9 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
         lo += len(body)
         keep = c > 0
         if keep.any():
-            n = np.frombuffer(counts, np.int32)
+            n = _unpack_counts(counts)
             row = np.repeat(np.arange(len(n)), n)[keep]
-            out.append((int(pdf["part"].iloc[0]), src, np.bincount(row, minlength=len(n)).astype(np.int32).tobytes(), _pack(body[keep]) + c[keep].tobytes()))
+            out.append((int(pdf["part"].iloc[0]), src, _pack_counts(np.bincount(row, minlength=len(n))), _pack(body[keep]) + c[keep].tobytes()))
     return pd.DataFrame(out, columns=["part", "src", "counts", "body"])
 
 
@@ -166,7 +176,7 @@ def _gather(t: float):
         fp = np.frombuffer(own["body"], np.int64, docs, 4 * docs)
         rows, grams, cls = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
         for counts, body in zip(pdf["counts"][pdf["part"] >= 0], pdf["body"][pdf["part"] >= 0]):
-            n = np.frombuffer(counts, np.int32)
+            n = _unpack_counts(counts)
             m = int(n.sum())
             rows.append(np.repeat(np.arange(docs), n))
             grams.append(_unpack(body, m))
@@ -261,7 +271,7 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: s
     """
     t = threshold
     d = only(docs, id=id_col, text=text_col).where("id is not null and text is not null").select(F.col("id").cast("long"), F.lower("text").alias("text"))
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = 4 * shuffle_partitions(docs.sparkSession)  # several ranges a task, one in memory at a time
     sent = d.mapInArrow(_send(n, parts), _SENT)
     # the documents' own rows are spread over as many groups as there are ranges
     by = F.when(F.col("part") < 0, F.concat(F.lit("own-"), F.col("src"))).otherwise(F.col("part").cast("string"))
@@ -289,7 +299,7 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: s
     big = label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / 512).alias("blocks"))
     label = label.join(big, "label").select("id", F.xxhash64("label", F.expr("pmod(xxhash64(id), blocks)")).alias("home"))
     la, lb = (label.select(F.col("id").alias(s), F.col("home").alias(f"home_{s}")) for s in "ab")
-    placed = pairs.join(la, "a").join(lb, "b").select("a", "b", F.pmod(F.xxhash64("home_a", "home_b"), F.lit(4 * parts)).alias("bucket"))
+    placed = pairs.join(la, "a").join(lb, "b").select("a", "b", F.pmod(F.xxhash64("home_a", "home_b"), F.lit(parts)).alias("bucket"))
     wanted = placed.select("bucket", F.col("a").alias("k")).union(placed.select("bucket", F.col("b").alias("k"))).distinct()
     sides = wanted.join(key.select("k", "size", "grams", "cells"), "k").select(F.col("bucket").alias("held_in"), F.col("k").alias("id"), "size", "grams", "cells")
     checked = placed.groupBy("bucket").cogroup(sides.groupBy("held_in")).applyInPandas(_verify(t), "a long, b long, overlap long, union long")
