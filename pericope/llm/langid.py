@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import only, spans, utf8
+from pericope.llm.shared import only, sample, spans, utf8
 
 SEGMENT, CONTEXT, HIDDEN = 256, 8, 12
 #: Labelled rows that the network is fitted on, at most, and bytes of each.
@@ -222,7 +222,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_r
     """
     d = only(docs, text=text_col, lang=lang_col).where("text is not null and lang is not null and text != ''")
     d = d.select("lang", F.substring("text", 1, fit_bytes).alias("text"), F.xxhash64("text").alias("h"))
-    rows = d.orderBy("h", "lang").limit(fit_rows).collect()
+    rows = sample(d, F.col("h"), fit_rows).collect()
     classes = sorted({x["lang"] for x in rows} - {NONE})
     noise = random_strings(60)
     texts = [x["text"].encode() for x in rows if x["lang"] != NONE] + noise
