@@ -4,9 +4,9 @@ from importlib import import_module
 
 _WHERE = {
     "pericope.errors": (
-        "CorpusIntegrityError", "ReferenceValidationError", "RepositoryError", "RepositoryResourceNotFound", "RepositoryResponseError", "RepositoryResponseTooLarge", "RepositoryTimeoutError",
-        "RequestLimitError", "SearchDeadlineExceeded", "SearchLimitError", "SearchValidationError", "TranslationNotFoundError", "VerseError",
-    ),
+        "VerseError TranslationNotFoundError CorpusIntegrityError ReferenceValidationError RequestLimitError SearchValidationError SearchLimitError SearchDeadlineExceeded "
+        "RepositoryError RepositoryTimeoutError RepositoryResourceNotFound RepositoryResponseError RepositoryResponseTooLarge"
+    ).split(),
     "pericope.plans.criteria": ("RequestLimits", "SearchLimits", "SearchSpec"),
     "pericope.plans.facade": ("VerseEngine",),
     "pericope.plans.references": ("AliasBook", "BookReference", "ReferenceParser"),

@@ -32,21 +32,25 @@ def _whole(x: Any) -> bool:
     return isinstance(x, int) and not isinstance(x, bool)
 
 
+#: The name of one of _CHOICES, a number of extra words, and what lists may hold.
+Mode, Gap, Books, Texts, Size = str, int | None, tuple[int | str, ...], tuple[str, ...], int
+
+
 @dataclass(frozen=True, slots=True)
 class SearchSpec:
     """A validated search. Mode names are compared without regard to case."""
 
-    words: str = "all"
-    match: str = "whole_word"
+    words: Mode = "all"
+    match: Mode = "whole_word"
     case_sensitive: bool = False
-    scope: str = "bible"
-    books: tuple[int | str, ...] = ()
-    diacritics: str = "sensitive"
-    exclude: tuple[str, ...] = ()
-    proximity: int | None = None
-    sort: str = "canonical"
-    limit: int = 100
-    offset: int = 0
+    scope: Mode = "bible"
+    books: Books = ()
+    diacritics: Mode = "sensitive"
+    exclude: Texts = ()
+    proximity: Gap = None
+    sort: Mode = "canonical"
+    limit: Size = 100
+    offset: Size = 0
 
     def __post_init__(self) -> None:
         def put(name: str, value: Any) -> None:
@@ -59,9 +63,10 @@ class SearchSpec:
             put(name, value.casefold())
             if getattr(self, name) not in known:
                 raise SearchValidationError(f"{name}: {value!r} is none of {', '.join(known)}.")
-        put("books", (self.books,) if isinstance(self.books, (int, str)) else tuple(self.books))
-        put("exclude", (self.exclude,) if isinstance(self.exclude, str) else tuple(self.exclude))
-        if not isinstance(self.case_sensitive, bool):
+        for name, single in (("books", (int, str)), ("exclude", (str,))):
+            given = getattr(self, name)
+            put(name, (given,) if isinstance(given, single) else tuple(given))
+        if self.case_sensitive not in (True, False) or _whole(self.case_sensitive):
             raise SearchValidationError("case_sensitive has to be true or false.")
         if not all(_whole(b) or isinstance(b, str) for b in self.books):
             raise SearchValidationError("books may hold names and numbers only.")
@@ -70,7 +75,7 @@ class SearchSpec:
         if self.proximity is not None:
             if not _whole(self.proximity) or not 0 <= self.proximity <= 100:
                 raise SearchValidationError("proximity has to be a whole number from 0 to 100, or null.")
-            if self.words != "all":
+            if "all" != self.words:
                 raise SearchValidationError("proximity needs words='all'.")
         if not _whole(self.limit) or not 1 <= self.limit <= 1000:
             raise SearchValidationError("limit has to be a whole number from 1 to 1000.")
@@ -80,10 +85,8 @@ class SearchSpec:
     @classmethod
     def from_value(cls, value: SearchSpec | Mapping[str, Any] | str | None) -> SearchSpec:
         """From nothing, a spec, a mapping or a legacy text."""
-        if isinstance(value, cls):
-            return value
-        if isinstance(value, str):
-            return cls.from_legacy(value)
+        if isinstance(value, (cls, str)):
+            return value if isinstance(value, cls) else cls.from_legacy(value)
         if value is not None and not isinstance(value, Mapping):
             raise SearchValidationError("A search is described by a SearchSpec, a mapping, or a legacy text.")
         given = dict(value or {})
@@ -136,8 +139,9 @@ class SearchSpec:
                     raise SearchValidationError(f"{name} has to be a whole number.") from e
         return cls(**given)
 
-    def with_pagination(self, limit: int, offset: int) -> SearchSpec:
-        return dataclasses.replace(self, limit=limit, offset=offset)
+    def with_pagination(self, limit: Size, offset: Size) -> SearchSpec:
+        """The same search, another page."""
+        return dataclasses.replace(self, offset=offset, limit=limit)
 
     @property
     def expensive(self) -> bool:
@@ -145,7 +149,7 @@ class SearchSpec:
         cheap = SearchSpec(case_sensitive=self.case_sensitive, scope=self.scope, books=self.books, limit=min(self.limit, 100), offset=min(self.offset, 1000))
         return self != cheap
 
-    def to_dict(self) -> dict[str, Any]:
+    def to_dict(self) -> dict:
         return {f.name: list(v) if isinstance(v := getattr(self, f.name), tuple) else v for f in dataclasses.fields(self)}
 
 
@@ -157,18 +161,18 @@ def valid_limit(limit: Any) -> bool:
 
 @dataclass(frozen=True, slots=True)
 class SearchLimits:
-    max_work_units: int = 50_000_000
-    max_response_bytes: int = 4 << 20
-    max_query_length: int = 500
-    max_query_terms: int = 64
-    min_substring_length: int = 3
-    max_books: int = 83
-    max_exclusions: int = 32
-    max_exclusion_terms: int = 64
-    max_offset: int = 10_000
-    max_limit: int = 1_000
+    max_work_units: Size = 50_000_000
+    max_response_bytes: Size = 4 << 20
+    max_query_length: Size = 500
+    max_query_terms: Size = 64
+    min_substring_length: Size = 3
+    max_books: Size = 83
+    max_exclusions: Size = 32
+    max_exclusion_terms: Size = 64
+    max_offset: Size = 10_000
+    max_limit: Size = 1_000
     deadline_seconds: float = 5.0
-    checkpoint_interval: int = 256
+    checkpoint_interval: Size = 256
 
     def __post_init__(self) -> None:
         for f in dataclasses.fields(self):
@@ -179,19 +183,19 @@ class SearchLimits:
             elif not _whole(value) or value < (0 if f.name == "max_offset" else 1):
                 raise ValueError(f"{f.name} has to be a positive whole number.")
 
-    def to_dict(self) -> dict[str, Any]:
+    def to_dict(self) -> dict:
         return dataclasses.asdict(self)
 
 
 @dataclass(frozen=True, slots=True)
 class RequestLimits:
-    max_input_length: int = 1024
-    max_references: int = 8
-    max_verses_per_reference: int = 200
-    max_total_verses: int = 200
-    max_search_offset: int = 10_000
-    max_search_books: int = 83
-    max_search_exclusions: int = 32
+    max_input_length: Size = 1024
+    max_references: Size = 8
+    max_verses_per_reference: Size = 200
+    max_total_verses: Size = 200
+    max_search_offset: Size = 10_000
+    max_search_books: Size = 83
+    max_search_exclusions: Size = 32
 
     def __post_init__(self) -> None:
         for f in dataclasses.fields(self):

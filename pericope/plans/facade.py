@@ -19,12 +19,19 @@ from pericope.errors import CorpusIntegrityError, ReferenceValidationError, Repo
 from pericope.functions.text import normalise_name
 from pericope.operators import group, index, match
 from pericope.plans.criteria import SCOPES, Analysed, RequestLimits, SearchLimits, SearchSpec, analyse, valid_limit
-from pericope.plans.references import AliasBook, BookReference, ReferenceParser, reference_rows, select_verses
+from pericope.plans.references import DEFAULT_CODE, AliasBook, BookReference, ReferenceParser, reference_rows, select_verses
 from pericope.sources.repository import Repository, alias_catalogue
 from pericope.sources.store import Snapshot, SnapshotStore, SourceGeneration, books_index
 from pericope.sources.validate import code_of
 
 
+Code = str | None
+
+
+def _as_text(document: dict) -> str:
+    return json.dumps(document, ensure_ascii=False)
+
+
 class _Corpus:
     """A snapshot's persisted tables; indexes are made when first asked for."""
 
@@ -83,7 +90,7 @@ class VerseEngine:
     def __enter__(self) -> VerseEngine:
         return self
 
-    def __exit__(self, *_: object) -> None:
+    def __exit__(self, *how) -> None:
         self.close()
 
     def close(self) -> None:
@@ -100,7 +107,7 @@ class VerseEngine:
     def valid_limit(self, limit: Any) -> bool:
         return valid_limit(limit)
 
-    def valid_reference(self, reference: Any, abbreviation: str | None = "kjv") -> bool:
+    def valid_reference(self, reference: Any, abbreviation: Code = DEFAULT_CODE) -> bool:
         ok = isinstance(reference, str) and len(reference) <= self.request_limits.max_input_length
         return ok and self.references.valid(reference.strip(), abbreviation)
 
@@ -132,10 +139,12 @@ class VerseEngine:
                 return False
 
     def _code(self, abbreviation: Any) -> str:
-        code = code_of(abbreviation)
-        if not self.valid_translation(code):
-            raise TranslationNotFoundError(f"There is no translation {code}.")
-        return code
+        return self._existing(code_of(abbreviation))
+
+    def _existing(self, code: str) -> str:
+        if self.valid_translation(code):
+            return code
+        raise TranslationNotFoundError(f"There is no translation {code}.")
 
     def _corpus(self, code: str) -> _Corpus:
         snapshot = self.store.load(code)
@@ -159,15 +168,15 @@ class VerseEngine:
 
     # search
 
-    def search(self, query: str, abbreviation: str | None = "kjv", criteria: Any = None) -> dict[str, Any]:
+    def search(self, query: str, abbreviation: Code = DEFAULT_CODE, criteria: Any = None) -> dict[str, Any]:
         """A page of matching verses by chapter, with exact total, scores and cost. Everything that needs no corpus is checked first."""
         q = analyse(query, SearchSpec.from_value(criteria), self.search_limits)
         code = self._code(abbreviation)
         with self.source_operation():
             return self._search(q, code)
 
-    def search_json(self, query: str, abbreviation: str | None = "kjv", criteria: Any = None) -> str:
-        return json.dumps(self.search(query, abbreviation, criteria), ensure_ascii=False)
+    def search_json(self, query: str, abbreviation: Code = DEFAULT_CODE, criteria: Any = None) -> str:
+        return _as_text(self.search(query, abbreviation, criteria))
 
     def resolve_books(self, corpus: _Corpus, books: tuple[int | str, ...]) -> set[int]:
         out = set()
@@ -232,17 +241,16 @@ class VerseEngine:
 
     # selection
 
-    def select(self, reference: str, abbreviation: str | None = "kjv") -> dict[str, Any]:
+    def select(self, reference: str, abbreviation: Code = DEFAULT_CODE) -> dict[str, Any]:
         """Verses of references that semicolons separate, by chapter, in the order of the request."""
         code = code_of(abbreviation)
         refs = self._references(reference, code)
-        if not self.valid_translation(code):
-            raise TranslationNotFoundError(f"There is no translation {code}.")
+        self._existing(code)
         with self.source_operation():
             return self._select(refs, code)
 
-    def scripture(self, reference: str, abbreviation: str | None = "kjv") -> str:
-        return json.dumps(self.select(reference, abbreviation), ensure_ascii=False)
+    def scripture(self, reference: str, abbreviation: Code = DEFAULT_CODE) -> str:
+        return _as_text(self.select(reference, abbreviation))
 
     def _references(self, reference: Any, code: str) -> list[BookReference]:
         m = self.request_limits
@@ -294,7 +302,7 @@ class VerseEngine:
 
     # state
 
-    def warm_translation(self, abbreviation: str | None = "kjv", *, case_sensitive: bool = False, diacritics: str = "sensitive") -> dict[str, Any]:
+    def warm_translation(self, abbreviation: Code = DEFAULT_CODE, *, case_sensitive: bool = False, diacritics: str = "sensitive") -> dict[str, Any]:
         """Loads a translation and makes one of its indexes."""
         SearchSpec(case_sensitive=case_sensitive, diacritics=diacritics)
         code = self._code(abbreviation)
@@ -306,7 +314,7 @@ class VerseEngine:
             return {"abbreviation": code, "sha": s.sha, "verses": c.n, "checked_at": s.checked_at, "stale": s.stale, "indexes": [{"case_sensitive": a, "diacritics": b} for a, b in c.indexes]}
 
     @contextmanager
-    def source_operation(self) -> Iterator[SourceGeneration]:
+    def source_operation(self) -> Iterator[Any]:
         """Holds the source's generation still; may nest."""
         with self.store.barrier.shared():
             yield self.store.generation()

@@ -26,7 +26,7 @@ _AGAIN = frozenset((429, 500, 502, 503, 504))
 class Repository:
     """Bytes, texts and JSON objects of one version of a source."""
 
-    def __init__(self, path: str, version: str = "v2", timeout: tuple[float, float] = (3.05, 30.0), retries: int = 3, backoff: float = 0.25, max_response_bytes: int = 128 << 20):
+    def __init__(self, path: str, version: str = "v2", *, max_response_bytes: int = 128 << 20, timeout: tuple = (3.05, 30), retries: int = 3, backoff: float = 0.25):
         if max_response_bytes < 1 or retries < 0:
             raise ValueError("max_response_bytes has to be positive and retries not negative.")
         self.path, self.version, self.timeout = path.rstrip("/") or path, version, timeout
@@ -36,7 +36,7 @@ class Repository:
     def __enter__(self) -> Repository:
         return self
 
-    def __exit__(self, *_: object) -> None:
+    def __exit__(self, *how) -> None:
         self.close()
 
     def close(self) -> None:

@@ -64,6 +64,10 @@ class Snapshot:
     stale: bool = False
 
 
+def _canonical(x: dict) -> bytes:
+    return json.dumps(x, separators=(",", ":"), sort_keys=True).encode()
+
+
 def write_atomically(at: Path, body: bytes) -> None:
     at.parent.mkdir(parents=True, exist_ok=True)
     tmp = at.with_name(f".{at.name}.{os.getpid()}.{threading.get_ident()}")
@@ -163,13 +167,13 @@ class SnapshotStore:
             new = SourceGeneration(self.namespace, old.generation + 1, revision, self.clock())
             if purge:
                 purge(new)
-            write_atomically(self.root / "generation.json", json.dumps(asdict(new), sort_keys=True, separators=(",", ":")).encode())
+            write_atomically(self.root / "generation.json", _canonical(asdict(new)))
             self.invalidate()
             return new
 
     # snapshots
 
-    def invalidate(self, abbreviation: str | None = None) -> None:
+    def invalidate(self, abbreviation: str = "") -> None:
         with self._lock:
             for key in [abbreviation] if abbreviation else list(self._memory):
                 self._memory.pop(key, None)
@@ -270,7 +274,7 @@ class SnapshotStore:
 
     def _point(self, abbreviation: str, sha: str, now: float, generation: int) -> None:
         p = {"rules": RULES_VERSION, "abbreviation": abbreviation, "sha": sha, "checked_at": now, "generation": generation, "source": self.namespace}
-        write_atomically(self._pointer(abbreviation), json.dumps(p, sort_keys=True, separators=(",", ":")).encode())
+        write_atomically(self._pointer(abbreviation), _canonical(p))
 
 
 def _open_fields(spark: SparkSession, doc: dict) -> DataFrame | None:
