@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import CHUNK, cut, ngrams, only, spans, utf8, words
+from pericope.llm.shared import CHUNK, cut, ngrams, only, spans, utf8, without, words
 
 N, THRESHOLD = 5, 0.8
 _BITS = 23
@@ -184,8 +184,7 @@ def contained(
 
 def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, all columns, that hold no item. Rows with a null id or text stay, as nothing is found in them."""
-    bad = contained(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(bad, docs[f"`{id_col}`"] == bad["__held"], "left_anti")
+    return without(docs, contained(docs, items, id_col=id_col, **options).select("doc_id"), id_col)
 
 
 def sql(n: int = N, threshold: float = THRESHOLD, docs: str = "documents", items: str = "benchmark") -> str:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import cut, mix, ngrams, only, shuffle_partitions, spans, utf8, words
+from pericope.llm.shared import cut, mix, ngrams, only, shuffle_partitions, spans, utf8, without, words
 
 N, THRESHOLD = 3, 0.7
 _HASH_BITS = np.uint64(52)
@@ -345,8 +345,8 @@ def groups(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs, all columns, without the documents whose group has a smaller id. Rows with a null id or no words stay."""
-    gone = groups(similar(docs, id_col=id_col, **options)).where("doc_id != keeper").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["__gone"], "left_anti")
+    gone = groups(similar(docs, id_col=id_col, **options)).where("doc_id != keeper").select("doc_id")
+    return without(docs, gone, id_col)
 
 
 def sql(n: int = N, threshold: float = THRESHOLD, docs: str = "documents") -> str:

@@ -41,9 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         return at
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    at = os.path.join(tempfile.gettempdir(), "pericope-shared")
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    return os.path.join(tempfile.gettempdir(), "pericope-shared")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -68,6 +66,22 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Ids of a checked number up to which they are broadcast.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of docs, all columns, whose id isn't among ids, a table of one column. Rows with a null id stay.
+
+    The ids are written and counted first. Up to `most` of them go to every
+    executor, so that the texts stay where they are; beyond that the join
+    shuffles.
+    """
+    out = cut(ids.toDF("__out").where("__out is not null").distinct())
+    side = F.broadcast(out) if out.count() <= most else out
+    return docs.join(side, docs[f"`{id_col}`"] == out["__out"], "left_anti")
+
+
 def sample(df: DataFrame, by: Column, rows: int) -> DataFrame:
     """At most `rows` rows of df: those with the smallest hash `by`, a long, of about twice as many that a bound on its remainder leaves.
 

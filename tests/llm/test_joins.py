@@ -205,3 +205,14 @@ def test_rules(spark):
         assert v[i]["n_rules"] == len(m) and v[i]["blocked"] == (any(a == "block" for _, a in m) and not any(a == "allow" for _, a in m))
     assert urlrules.verdicts(df.limit(0), urlrules.rules_table(spark)).count() == 0
     assert urlrules.verdicts(df, urlrules.rules_table(spark).limit(0)).where("n_rules > 0").count() == 0
+
+
+def test_without(spark):
+    """Broadcast or shuffled, with nulls, repeated ids and a clashing column."""
+    from pericope.llm.shared import without
+
+    d = spark.createDataFrame([(None, 1), (1, 1), (1, 2), (2, 3), (3, None)], "doc_id long, __out int")
+    ids = spark.createDataFrame([(1,), (1,), (None,), (9,)], "x long")
+    for most in (0, 10):
+        assert sorted((r[0] or 0, r[1] or 0) for r in without(d, ids, "doc_id", most).collect()) == [(0, 1), (2, 3), (3, 0)]
+    assert without(d, ids.limit(0), "doc_id").count() == 5
