@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from pericope.llm.shared import cut, mix, ngrams, only, shuffle_partitions, spans, utf8, without, words
 
-N, THRESHOLD = 3, 0.7
+#: Half of all n-grams: copies that were edited throughout share more, documents that quote one passage less.
+N, THRESHOLD = 3, 0.5
 _HASH_BITS = np.uint64(52)
 _HASH = np.uint64((1 << 52) - 1)
 _CELLS = 16
@@ -193,25 +194,26 @@ def _gather(t: float):
         out = []
         for d in np.flatnonzero(live):
             a, z = first[d], first[d + 1]
-            out.append((ids[d], size[d], fp[d], z - a, g[a:z].tobytes(), np.bincount(cell[a:z], minlength=_CELLS).astype(np.int32).tobytes()))
+            out.append((ids[d], size[d], fp[d], z - a, _pack(g[a:z]), np.bincount(cell[a:z], minlength=_CELLS).astype(np.int32).tobytes()))
         return pd.DataFrame(out, columns=["id", "size", "fp", "shared", "grams", "cells"])
 
     return run
 
 
-def _prefixes(t: float):
+def _prefixes(t: float, share: float):
+    """The shared n-grams among a document's rarest size - ceil(share * size) + 1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, size, shared = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             own = size - shared  # n-grams of this document alone: the rarest of all
-            take = np.minimum(shared, np.maximum(0, size - np.ceil(t * size - 1e-9).astype(np.int64) + 1 - own))
-            grams = [np.frombuffer(x, np.int64, int(k)) for x, k in zip(b.column(3).to_pylist(), take)]
+            take = np.minimum(shared, np.maximum(0, size - np.ceil(share * size - 1e-9).astype(np.int64) + 1 - own))
+            grams = [_unpack(x, int(k)).view(np.int64) for x, k in zip(b.column(3).to_pylist(), take)]
             n = int(take.sum())
             place = np.arange(n) - np.repeat(np.cumsum(take) - take, take) + np.repeat(own, take)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)), pa.array(np.repeat(ids, take)), pa.array(np.repeat(size, take).astype(np.int32)), pa.array(place.astype(np.int32))],
-                ["gram", "id", "size", "place"],
-            )
+            # size and place in one number, to keep the rows of the join short
+            packed = (np.repeat(size, take) << 32) | place
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)), pa.array(np.repeat(ids, take)), pa.array(packed)], ["gram", "id", "at"])
 
     return run
 
@@ -234,7 +236,7 @@ def _verify(t: float):
         for lo in range(0, len(i), 1 << 16):
             s = slice(lo, lo + (1 << 16))
             fits[s] = np.minimum(cells[i[s]], cells[j[s]]).sum(axis=1) >= need[s]
-        grams = [np.sort(np.frombuffer(x, np.uint64)) for x in sets["grams"]]
+        grams = [np.sort(_unpack(x)) for x in sets["grams"]]
         out = []
         for k in np.flatnonzero(fits):
             x, y = grams[i[k]], grams[j[k]]
@@ -283,19 +285,21 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: s
     reps = cut(sets.join(rep.select("size", "fp", F.col("rep").alias("id")), ["size", "fp", "id"], "left_semi").dropDuplicates(["size", "fp", "id"]).withColumn("id", F.struct("id", "fp")))
     # several texts under one id: the set's fingerprint goes along in the key
     key = reps.select(F.xxhash64("id").alias("k"), "id", "size", "shared", "grams", "cells")
-    rows = key.select("k", "size", "shared", "grams").mapInArrow(_prefixes(t), "gram long, id long, size int, place int")
-    x, y = (rows.select("gram", F.col("id").alias(f"{s}"), F.col("size").alias(f"size_{s}"), F.col("place").alias(f"place_{s}")) for s in "ab")
-    met = x.join(y, "gram").where(f"a < b and size_a >= {t} * size_b - 1e-9 and size_b >= {t} * size_a - 1e-9")
-    pairs = (
-        met.groupBy("a", "b", "size_a", "size_b")
-        .agg(F.count(F.lit(1)).alias("m"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
-        .where(f"m + least(size_a - last_a, size_b - last_b) - 1 >= ceil({t / (1 + t)!r} * (size_a + size_b) - 1e-9)")
-        .select("a", "b")
-    )
+    slim = key.select("k", "size", "shared", "grams")
+    # of two sets, the smaller has to overlap by 2t/(1+t) of its size, so it takes part with a shorter prefix
+    short, full = (slim.mapInArrow(_prefixes(t, x), "gram long, id long, at long") for x in (2 * t / (1 + t), t))
+    x, y = (d.select("gram", F.col("id").alias(s), F.col("at").alias(f"at_{s}")) for d, s in ((short, "a"), (full, "b")))
+    size_a, size_b = (F.shiftright(f"at_{s}", 32) for s in "ab")
+    smaller = (size_a < size_b) | ((size_a == size_b) & (F.col("a") < F.col("b")))
+    met = x.join(y, "gram").where(smaller & (size_a >= F.lit(t) * size_b - 1e-9))
+    # places grow with the packed numbers, as a document's size is always the same
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    rest = F.least(*[F.shiftright(f"at_{s}", 32) - F.expr(f"at_{s} & 4294967295L") for s in "ab"])
+    pairs = pairs.where(F.col("m") + rest - 1 >= F.ceil(F.lit(t / (1 + t)) * (size_a + size_b) - 1e-9)).select("a", "b")
     pairs = cut(pairs)
     # a pair's neighbourhood: the smallest key that either of its ends meets; large ones are split in blocks
-    ends = pairs.select(F.col("a").alias("id"), "a").union(pairs.select(F.col("b").alias("id"), "a"))
-    label = ends.groupBy("id").agg(F.min("a").alias("label"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.least("a", "b").alias("least"))
+    label = ends.groupBy("id").agg(F.min("least").alias("label"))
     big = label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / 512).alias("blocks"))
     label = label.join(big, "label").select("id", F.xxhash64("label", F.expr("pmod(xxhash64(id), blocks)")).alias("home"))
     la, lb = (label.select(F.col("id").alias(s), F.col("home").alias(f"home_{s}")) for s in "ab")
