@@ -3,10 +3,10 @@
 Texts become subword ids of a public tokenizer, whose file is a parameter. The
 model is one causal attention layer over token and place embeddings. It predicts
 a class of the next subword; within a class, subwords follow their corpus
-counts. Counts are over all documents. Training is distributed: every partition
-steps through a fixed share of its own documents and the weights are averaged by
-the number of windows, for a few rounds; so what is learned from grows with the
-corpus and no worker sees more than its part.
+counts. Counts are over all documents, and all are trained on. Training is
+distributed: the documents are dealt out to a few rounds, so that each is learned
+from once; in a round every partition steps through its own documents, and the
+weights are averaged by the number of windows. No worker sees more than its part.
 
 Scoring reads windows of WINDOW subwords, of which the first CONTEXT belong to
 the window before, so every subword is scored once, with CONTEXT or more
@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import only, spans, utf8, words
+from pericope.llm.shared import CHUNK, cut, only, spans, utf8, words
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the tokenizer splits text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW, CONTEXT, DIM, CLASSES, INPUTS = 32, 8, 12, 64, 2048
-#: One of so many documents is trained on, in each of the rounds.
-FIT_ONE_IN, ROUNDS = 32, 2
+#: Rounds that the documents are dealt out to; each document is trained on in one of them.
+ROUNDS = 2
 _STRIDE = WINDOW - CONTEXT
 _BOS = INPUTS
 _NOSPACE = np.ones(256, bool)
@@ -135,7 +135,8 @@ def weights(vocabulary: Vocabulary, seed: int = 9) -> dict[str, np.ndarray]:
 
 
 #: place m of the scored ones sees window places 0 .. CONTEXT + m
-_FUTURE = np.where(np.arange(WINDOW)[None, :] <= CONTEXT + np.arange(_STRIDE)[:, None], 0, -1e9).astype(np.float32)
+_SEEN = np.arange(WINDOW)[None, :] <= CONTEXT + np.arange(_STRIDE)[:, None]
+_FUTURE = np.where(_SEEN, 0, -1e9).astype(np.float32)
 
 
 def windows(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,36 +154,50 @@ def windows(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, hidden: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross-entropy and its gradients. x: (N, WINDOW) inputs, hidden: not to be attended; y: (N, stride) classes, live: to be scored."""
-    n, d, c = len(x), p["T"].shape[1], CONTEXT
-    e = p["T"][x] + p["P"]
-    q, k, v = e[:, c:] @ p["Q"], e @ p["K"], e @ p["V"]
-    s = q @ k.transpose(0, 2, 1) * d**-0.5 + _FUTURE + np.where(hidden, np.float32(-1e9), np.float32(0))[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
-    a = np.exp(s)
-    a /= a.sum(axis=2, keepdims=True)
-    h = e[:, c:] + a @ v
-    z = h @ p["O"] + p["b"]
-    z -= z.max(axis=2, keepdims=True)
+    (n, w), m, d, kind = x.shape, y.shape[1], p["T"].shape[1], p["T"].dtype.type
+    e = np.take(p["T"], x, axis=0)
+    e += p["P"]
+    own = np.ascontiguousarray(e[:, CONTEXT:]).reshape(-1, d)
+    e = e.reshape(-1, d)
+    scaled = p["Q"] * kind(d**-0.5)
+    q, k, v = (own @ scaled).reshape(n, m, d), (e @ p["K"]).reshape(n, w, d), (e @ p["V"]).reshape(n, w, d)
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    np.clip(a, -60, 60, out=a)
+    np.exp(a, out=a)
+    a *= _SEEN.astype(kind)
+    if hidden.any():
+        a *= ~hidden[:, None, :]
+    a /= (a.reshape(-1, w) @ np.ones(w, kind)).reshape(n, m, 1)
+    mixed = np.matmul(a, v).reshape(-1, d)
+    h = own + mixed
+    z = h @ p["O"]
+    z += p["b"]
+    np.clip(z, -60, 60, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=2, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], kind))[:, None]
     total = max(1.0, float(live.sum()))
-    i, j = np.arange(n)[:, None], np.arange(y.shape[1])
-    loss = float(-(np.log(z[i, j, y] + 1e-12) * live).sum() / total)
-    z[i, j, y] -= 1
-    z *= live[..., None] / total
-    g = {"O": np.einsum("nsd,nsc->dc", h, z, optimize=True), "b": z.sum(axis=(0, 1))}
+    scored = live.ravel().astype(kind)
+    at, y = np.arange(len(z)), y.ravel()
+    loss = float(-(np.log(z[at, y] + 1e-12) * scored).sum() / total)
+    z[at, y] -= 1
+    z *= (scored / kind(total))[:, None]
+    g = {"O": h.T @ z, "b": np.ones(len(z), kind) @ z}
     dh = z @ p["O"].T
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * d**-0.5
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-    g["Q"] = np.einsum("nsd,nse->de", e[:, c:], dq, optimize=True)
-    g["K"] = np.einsum("nsd,nse->de", e, dk, optimize=True)
-    g["V"] = np.einsum("nsd,nse->de", e, dv, optimize=True)
-    de = dk @ p["K"].T + dv @ p["V"].T
-    de[:, c:] += dh + dq @ p["Q"].T
+    turned = dh.reshape(n, m, d)
+    ds = np.matmul(turned, v.transpose(0, 2, 1))
+    ds -= np.einsum("nd,nd->n", dh, mixed).reshape(n, m, 1)  # the sum of a times its slope, over the places
+    ds *= a
+    dq = np.matmul(ds, k).reshape(-1, d)
+    dk, dv = np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, d), np.matmul(a.transpose(0, 2, 1), turned).reshape(-1, d)
+    g["Q"], g["K"], g["V"] = (own.T @ dq) * kind(d**-0.5), e.T @ dk, e.T @ dv
+    de = dk @ p["K"].T
+    de += dv @ p["V"].T
+    dh += dq @ scaled.T
+    de = de.reshape(n, w, d)
+    de[:, CONTEXT:] += dh.reshape(n, m, d)
     g["P"] = de.sum(axis=0)
-    flat, at = de.reshape(-1, d), x.ravel()
-    g["T"] = np.stack([np.bincount(at, flat[:, i], len(p["T"])) for i in range(d)], axis=1)
+    flat, at = np.ascontiguousarray(de.reshape(-1, d).T), x.ravel()
+    g["T"] = np.stack([np.bincount(at, f, len(p["T"])) for f in flat], axis=1)
     return loss, g
 
 
@@ -201,13 +216,13 @@ def _adam(p: dict[str, np.ndarray], batches: Iterator[tuple], rate: float) -> tu
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, p: dict[str, np.ndarray], tokenizer: str):
-        self.v, self.p, self.tokenizer = vocabulary, p, tokenizer
+    def __init__(self, vocabulary: Vocabulary, p: dict[str, np.ndarray], tokenizer: str, windows: int = 0):
+        """windows: how many it was trained on."""
+        self.v, self.p, self.tokenizer, self.windows = vocabulary, p, tokenizer, windows
 
     def batch(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray):
         live = y >= 0
-        inputs = self.v.input[ids]
-        return np.where(x >= 0, inputs[np.maximum(x, 0)], _BOS), x == -1, self.v.cls[ids[np.maximum(y, 0)]], live
+        return np.where(x >= 0, np.take(self.v.input, np.take(ids, np.maximum(x, 0))), _BOS), x == -1, np.take(self.v.cls, np.take(ids, np.maximum(y, 0))), live
 
     def tables(self):
         """Queries, keys and values by input and by place, and the output by input, so that scoring needs no projection per subword."""
@@ -255,39 +270,60 @@ class Model:
 # over a table
 
 
-def _counts(tokenizer: str):
+def _encoded(tokenizer: str):
+    """The subword ids of every text, 4 bytes each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = subwords(tokenizer)
-        total = np.zeros(sub.encoding.n_vocab, np.int64)
         for b in batches:
             data, off = utf8(b.column(0))
             for lo, hi in spans(off):
                 o = off[lo : hi + 1]
-                total += np.bincount(sub.encode(data[o[0] : o[-1]], o - o[0])[0], minlength=len(total))
+                ids, cut_at = sub.encode(data[o[0] : o[-1]], o - o[0])
+                raw = ids.astype("<i4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[4 * x : 4 * z] for x, z in zip(cut_at, cut_at[1:])], pa.binary())], ["ids"])
+
+    return run
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, offsets) of stretches of rows."""
+    for b in batches:
+        raw, off = utf8(b.column(0))
+        for lo, hi in spans(off, 4 * CHUNK):
+            yield raw[off[lo] : off[hi]].copy().view("<i4"), (off[lo : hi + 1] - off[lo]) // 4
+
+
+def _counts(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for ids, _ in _decoded(batches):
+            total += np.bincount(ids, minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
 
     return run
 
 
-def _steps(model: Model, rate: float, batch: int = 96, most: int = 4096):
-    """Trains a copy on the documents of one partition; a row per part of the weights, (part, n, values)."""
+def _steps(model: Model, rate: float, batch: int = 256, first: int = 64):
+    """Trains a copy on the documents of one partition; a row per part of the weights, (part, n, values).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub = subwords(model.tokenizer)
+    The first batches are smaller, so that a partition of few documents takes some steps too.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def data() -> Iterator[tuple]:
-            for b in batches:
-                raw, off = utf8(b.column(0))
-                for lo, hi in spans(off):
-                    o = off[lo : hi + 1]
-                    ids, cut = sub.encode(raw[o[0] : o[-1]], o - o[0])
-                    if not len(ids):
-                        continue
-                    x, y, _ = windows(ids, cut)
-                    order = np.random.default_rng(len(ids)).permutation(len(x))
-                    for s in range(0, len(order), batch):
-                        yield model.batch(ids, x[order[s : s + batch]], y[order[s : s + batch]])
+            n = 0
+            for ids, cut_at in _decoded(batches):
+                if not len(ids):
+                    continue
+                x, y, _ = windows(ids, cut_at)
+                order = np.random.default_rng(len(ids)).permutation(len(x))
+                s = 0
+                while s < len(order):
+                    own = order[s : s + (batch if n >= first else first)]
+                    yield model.batch(ids, x[own], y[own])
+                    s, n = s + len(own), n + 1
 
         p, n = _adam(model.p, data(), rate)
         if n:
@@ -303,25 +339,28 @@ def _average(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [int(n.sum())], "v": [(total / n.sum()).astype(np.float32).tobytes()]})
 
 
-def train(docs: DataFrame, tokenizer: str = TOKENIZER, text_col: str = "text", fit_one_in: int = FIT_ONE_IN, rounds: int = ROUNDS) -> Model:
-    """Counts the subwords of all documents and trains on one in fit_one_in of them, chosen by the hash of the text.
+def train(docs: DataFrame, tokenizer: str = TOKENIZER, text_col: str = "text", fit_one_in: int = 1, rounds: int = ROUNDS) -> Model:
+    """Counts the subwords of all documents and trains on all of them, each in one of the rounds, by the hash of its subwords.
+
+    fit_one_in: trains on one in so many only; for tests.
 
-    Rows with a null or empty text are passed over. Without any text the model
-    holds every subword equally likely.
+    Subwords are computed once and stored. Rows with a null or empty text are
+    passed over. Without any text the model holds every subword equally likely.
     """
     d = only(docs, text=text_col).where("text is not null and text != ''")
-    got = d.mapInArrow(_counts(tokenizer), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id of the vocabulary at most
+    d = cut(d.mapInArrow(_encoded(tokenizer), "ids binary"))
     counts = np.zeros(subwords(tokenizer).encoding.n_vocab, np.int64)
+    got = d.mapInArrow(_counts(len(counts)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id of the vocabulary at most
     for r in got:
         counts[r["id"]] = r["n"]
     v = Vocabulary(counts)
     model = Model(v, weights(v), tokenizer)
-    fit = d.where(F.pmod(F.xxhash64("text"), F.lit(fit_one_in)) == 0)
     for k in range(rounds):
+        fit = d.where(F.pmod(F.xxhash64("ids"), F.lit(rounds * fit_one_in)) == k)
         # averaged where the parts are gathered; the driver gets one set of weights
         new = fit.mapInArrow(_steps(model, 0.03 / (1 + k)), "part string, n long, v binary").groupBy("part").applyInPandas(_average, "part string, n long, v binary").collect()
         if new:
-            model = Model(v, {r["part"]: np.frombuffer(bytes(r["v"]), np.float32).reshape(model.p[r["part"]].shape) for r in new}, tokenizer)
+            model = Model(v, {r["part"]: np.frombuffer(bytes(r["v"]), np.float32).reshape(model.p[r["part"]].shape) for r in new}, tokenizer, model.windows + new[0]["n"])
     return model
 
 

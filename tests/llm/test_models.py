@@ -338,6 +338,18 @@ def test_lm_learns_and_rows(spark, sf, small_lm):
     assert lm.score(d.limit(0), small_lm).count() == 0 and lm.train(d.limit(0)).v is not None
 
 
+def test_lm_trains_on_all_documents(spark, sf):
+    """With the settings of the query: all windows are trained on, and a document alone is learned from."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("text != ''")
+    m = lm.train(d)
+    texts = [r["text"].encode() for r in d.collect()]
+    ids, off = lm.subwords(lm.TOKENIZER).encode(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    assert m.windows == len(lm.windows(ids, off)[0])
+    for i in range(3):
+        alone = lm.train(spark.createDataFrame([(f"the only document {i} " * 40,)], "text string"))
+        assert alone.windows > 0 and np.abs(alone.p["O"] - lm.weights(alone.v)["O"]).max() > 0.01
+
+
 # GIF
 
 
