@@ -16,14 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import only, sample, spans, utf8
+from pericope.llm.shared import only, spans, utf8
 
 SEGMENT, CONTEXT, HIDDEN = 256, 8, 12
-#: Labelled rows that the network is fitted on, at most, and bytes of each.
-FIT_ROWS, FIT_BYTES = 800, 1500
+#: Distinct texts of every language that the network is fitted on, at most, and characters of each.
+FIT_TEXTS, FIT_CHARS = 100, 1500
 #: A text whose bytes are so likely in no language is rejected.
 MOST_NONE = 0.7
 #: The class of byte strings that are in no language; trained on random ones.
@@ -190,7 +190,7 @@ class ByteGRU:
         by = [b for b in by if len(b)]
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            rows = np.array([r.choice(by[i % len(by)]) for i in range(batch)])
+            rows = np.array([r.choice(by[i % len(by)]) for i in range((step - 1) * batch, step * batch)])  # in turn, as there may be more classes than rows
             x = np.full((length, batch), PAD, np.int64)
             for j, i in enumerate(rows):
                 at = int(r.integers(0, max(1, len(texts[i]) - length + 1)))
@@ -215,18 +215,34 @@ def random_strings(n: int, seed: int = 3) -> list[bytes]:
     return [bytes(r.choice(list(kinds[i % len(kinds)]), 200).astype(np.uint8)) for i in range(n)]
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> ByteGRU:
-    """Fits the network on at most fit_rows labelled rows, those whose text has the smallest hash, and at most fit_bytes bytes of each.
+def fit_texts(docs: DataFrame, each: int) -> DataFrame:
+    """(lang, h, text): of every language in docs, the distinct texts of the `each` smallest hashes, or all if there are fewer.
 
-    Rows with a null text or label are passed over. Without any labelled row the only class is NONE.
+    docs: (lang, text), without nulls. What is ordered is about 2 * each hashes a
+    language, and each copy of a text counts as that text.
     """
-    d = only(docs, text=text_col, lang=lang_col).where("text is not null and lang is not null and text != ''")
-    d = d.select("lang", F.substring("text", 1, fit_bytes).alias("text"), F.xxhash64("text").alias("h"))
-    rows = sample(d, F.col("h"), fit_rows).collect()
-    classes = sorted({x["lang"] for x in rows} - {NONE})
+    d = docs.withColumn("h", F.xxhash64("text"))
+    size = d.groupBy("lang").agg(F.approx_count_distinct("h").alias("size"))  # a row per language
+    h = d.select("lang", "h").join(F.broadcast(size), "lang")
+    h = h.where((F.col("size") <= 2 * each) | (F.pmod("h", F.greatest("size", F.lit(1))) < 2 * each)).select("lang", "h").distinct()
+    h = h.withColumn("nr", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nr") <= each).drop("nr")
+    return d.join(F.broadcast(h), ["lang", "h"]).select("lang", "h", "text")
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_texts_each: int = FIT_TEXTS, fit_chars: int = FIT_CHARS) -> ByteGRU:
+    """Fits the network on at most fit_texts_each distinct texts of every language of the labelled rows, those of the smallest hashes, and at most fit_chars characters of each.
+
+    Its classes are all languages of the labelled rows, however rare, and NONE.
+    Rows with a null label or a null or empty text are passed over. Without any
+    labelled row the only class is NONE.
+    """
+    d = only(docs, text=text_col, lang=lang_col).where("text is not null and lang is not null and text != ''").where(F.col("lang") != NONE)
+    piece = F.substring("text", 1, fit_chars)
+    rows = fit_texts(d, fit_texts_each).select("lang", "h", piece.alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
+    classes = sorted({x["lang"] for x in rows})
     noise = random_strings(60)
-    texts = [x["text"].encode() for x in rows if x["lang"] != NONE] + noise
-    labels = np.array([classes.index(x["lang"]) for x in rows if x["lang"] != NONE] + [len(classes)] * len(noise))
+    texts = [x["text"].encode() for x in rows] + noise
+    labels = np.array([classes.index(x["lang"]) for x in rows] + [len(classes)] * len(noise))
     return ByteGRU([*classes, NONE]).fit(texts, labels)
 
 

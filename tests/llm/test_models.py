@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pericope.llm import gif, html, langid, lm, pii, quality
 from pericope.llm.shared import CHUNK, ngrams, spans, utf8, words
@@ -93,6 +94,19 @@ def test_language_rows(spark, lang_model):
     assert langid.train(d.limit(0).selectExpr("text", "keep as lang")).classes == ["und"]
 
 
+def test_rare_language_among_copies(spark):
+    """All languages are classes, however rare; copies of one text count once."""
+    rows = [("en", "the cat sat on the mat and looked at the old dog")] * 3000 + [("en", f"a text of words and numbers like {i}") for i in range(3000)]
+    rows += [("el", "η γάτα κάθισε στο χαλί και κοίταξε τον γέρο σκύλο")] * 2
+    d = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = langid.fit_texts(d, 50).groupBy("lang").agg(F.countDistinct("text").alias("n")).collect()
+    assert {r["lang"]: r["n"] for r in got} == {"en": 50, "el": 1}
+    m = langid.train(d)
+    assert m.classes == ["el", "en", "und"]
+    r = langid.identify(spark.createDataFrame([(1, "ο γέρος σκύλος κοίταξε τη γάτα στο χαλί")], "doc_id long, text string"), m).first()
+    assert r["lang"] == "el" and r["keep"]
+
+
 def test_segments():
     """Every byte is labelled once, with its context."""
     rng = np.random.default_rng(1)
