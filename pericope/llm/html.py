@@ -28,6 +28,9 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style svg math iframe noscript template".split())
 _HEAD = frozenset("head title".split())
+#: Tags that may stand in the head; any other one, and text, ends a head that is still open.
+_IN_HEAD = _HEAD | frozenset("html base link meta script style noscript template".split())
+_TITLE_END = re.compile(r"</title\s*>|<(?:title|body|/head)\b", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACES = re.compile(r"\s+")
@@ -39,18 +42,26 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     stack: list[tuple[str, str]] = []
     text: list[str] = []
     linked = links = 0
-    raw = ""
+    raw, shut = "", 0
+
+    def leave_head() -> None:
+        i = next((i for i, (t, _) in enumerate(stack) if t in _HEAD), None)
+        if i is not None:
+            del stack[i:]
 
     def flush() -> None:
         nonlocal linked
         s = _SPACES.sub(" ", _html.unescape("".join(text))).strip()
-        if s and not any(t in _HEAD for t, _ in stack):
+        if s and not any(t == "title" for t, _ in stack):
+            leave_head()
             out.append((s, "/".join(n for _, n in stack[-4:]), linked))
         text.clear()
         linked = 0
 
     at = 0
     for m in _TAG.finditer(page):
+        if raw == "title" and m.start() >= shut:
+            raw, at = "", shut
         if raw and (m.group(3) is None or m.group(3).lower() != raw or not m.group(2)):
             continue
         if not raw and m.start() > at:
@@ -66,8 +77,18 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             continue
         tag, closing = tag.lower(), bool(m.group(2))
         raw = ""
-        if tag in _BLOCK:
+        if tag in _BLOCK or not closing and stack and stack[-1][0] == "title":
             flush()
+        if not closing and stack:
+            if tag not in _IN_HEAD:
+                leave_head()
+            elif stack[-1][0] == "title":
+                stack.pop()
+        if tag == "title" and not closing:
+            end = _TITLE_END.search(page, m.end())
+            if end and end.group().endswith(">"):
+                raw, shut = "title", end.end()
+                continue
         if tag in _RAW and not closing:
             if not m.group(4).rstrip().endswith("/"):
                 raw = tag

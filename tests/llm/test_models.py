@@ -218,6 +218,20 @@ def test_blocks():
     assert html.blocks("plain") == [("plain", "", 0)] and html.blocks("<![CDATA[z]]>") == [("z", "", 0)]
 
 
+def test_open_head_and_title(labeller):
+    """A page without </head>, </title> or both has the blocks of the page that closes them."""
+    whole = "<html><head><meta charset=x><title>The title</title><style>p{}</style></head><body><div><p>One two.</p><p>Three.</p></div></body></html>"
+    want = [(t, p) for t, p, _ in html.blocks(whole)]
+    assert want == [("One two.", "html/body/div/p"), ("Three.", "html/body/div/p")]
+    for gone in (["</head>"], ["</title>"], ["</head>", "</title>"]):
+        page = whole
+        for g in gone:
+            page = page.replace(g, "")
+        assert [(t, p) for t, p, _ in html.blocks(page)] == want
+        assert [t for t, _, _ in html.blocks(page.replace("<body>", ""))] == ["One two.", "Three."]
+    assert html.blocks("<head><title>a <b>b</b></title>text")[0][0] == "text" and len(html.blocks("<head><title>a <b>b</b></title>text")) == 1
+
+
 def test_extract(spark, labeller):
     page = "<html><body><nav><ul><li><a href=/a>home</a></li><li><a href=/b>about</a></li></ul></nav><article><h1>A title of it</h1>" + "<p>Many words stand here, one after another. And then some more of them.</p>" * 3 + "</article><footer>&copy; x.example.com</footer></body></html>"
     rows = [(1, "u", page), (1, "u", page), (None, None, page), (2, "u", None), (3, "u", ""), (4, "u", "<p>" + "word, " * 60_000 + "</p>" * 3)]
