@@ -245,7 +245,9 @@ def decode(media: DataFrame, id_col: str = "media_id", data_col: str = "data", p
     the reason in error and no frames. A file that breaks off is valid with the
     frames before the fault, the last perhaps not complete, and an error. Null
     ids are kept; repeated rows each give a row; frames of length 0 share their
-    start. Very long files are decoded whole. An empty table gives an empty
+    start. Very long files are decoded whole, but a canvas of
+    more than MOST_PIXELS pixels isn't decoded (valid false, no frames), and a
+    larger frame ends the file. An empty table gives an empty
     result. Other columns are ignored.
     """
 
