@@ -8,9 +8,11 @@ document decides how much memory a Python worker needs beyond that text itself.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +28,31 @@ CHUNK = 1 << 20
 # tables
 
 
+#: Types that an id column may have.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
-    """The named columns under internal names, so that no other column can clash.
+    """The named columns under internal names, so that no other column can clash, not even one that differs in case alone.
+
+    A column goes by its exact name, or, if there is none, by the only one that
+    differs in case. A column that becomes `id` or ends in `_id` has to be of
+    whole numbers and becomes a long; other types raise a TypeError.
 
     >>> only(docs, id="doc_id", text="text")  # doctest: +SKIP
     """
-    return df.select(*[F.col(f"`{theirs}`").alias(ours) for ours, theirs in columns.items()])
+    names, kinds, out = df.columns, [k for _, k in df.dtypes], []
+    for ours, theirs in columns.items():
+        at = [i for i, x in enumerate(names) if x == theirs] or [i for i, x in enumerate(names) if x.lower() == theirs.lower()]
+        if len(at) != 1:
+            raise ValueError(f"{len(at)} columns are named {theirs}, of {names}")
+        c = F.col(f"c{at[0]}")
+        if ours == "id" or ours.endswith("_id"):
+            if kinds[at[0]] not in (*WHOLE, "void"):
+                raise TypeError(f"{theirs} has to be of whole numbers and is {kinds[at[0]]}")
+            c = c.cast("long")
+        out.append(c.alias(ours))
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).select(*out)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,20 +65,41 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "pericope-shared")
 
 
+_cut: dict[int, str] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
     The plan that follows starts at files that outlive any executor, and every
-    consumer of the result reads the same rows.
+    consumer of the result reads the same rows. The table goes with the process,
+    or before, by release().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
+    atexit.register(drop, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _cut[id(out)] = path
+    weakref.finalize(out, _cut.pop, id(out), None)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that cut() made and that nothing is going to read any more, and lets Spark clear what the plans before them shuffled."""
+    spark = None
+    for df in tables:
+        spark = df.sparkSession
+        path = _cut.pop(id(df), None)
+        if path:
+            drop(spark, path)
+    if spark is not None:
+        gc.collect()  # Spark clears a shuffle's files once no plan refers to it
+        spark.sparkContext._jvm.System.gc()
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder, if the session still runs."""
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -71,7 +113,7 @@ BROADCAST_IDS = 500_000
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str, most: int = BROADCAST_IDS) -> DataFrame:
-    """The rows of docs, all columns, whose id isn't among ids, a table of one column. Rows with a null id stay.
+    """The rows of docs, all columns, whose id isn't among ids, a table of one column. Rows with a null id stay; rows of one id stay or go together.
 
     The ids are written and counted first. Up to `most` of them go to every
     executor, so that the texts stay where they are; beyond that the join
@@ -79,18 +121,18 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str, most: int = BROADCAST_
     """
     out = cut(ids.toDF("__out").where("__out is not null").distinct())
     side = F.broadcast(out) if out.count() <= most else out
-    return docs.join(side, docs[f"`{id_col}`"] == out["__out"], "left_anti")
+    names = docs.columns
+    d = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = names.index(id_col) if id_col in names else [x.lower() for x in names].index(id_col.lower())
+    return d.join(side, d[f"c{at}"] == out["__out"], "left_anti").toDF(*names)
 
 
 def sample(df: DataFrame, by: Column, rows: int) -> DataFrame:
-    """At most `rows` rows of df: those with the smallest hash `by`, a long, of about twice as many that a bound on its remainder leaves.
+    """At most `rows` rows of df: those with the smallest hash `by`.
 
-    What the partitions send to be ordered is about 2 * rows rows in all,
-    however many partitions there are.
+    A top-k: every partition sends `rows` rows at most. df should have few and
+    short columns.
     """
-    total = df.count()
-    if total > 2 * rows:
-        df = df.where(F.pmod(by, F.lit(total)) < 2 * rows)
     return df.orderBy(by, *df.columns).limit(rows)
 
 

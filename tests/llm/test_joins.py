@@ -95,29 +95,35 @@ def gram_set(t, n):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute_pairs(rows, n, t):
+def brute_links(rows, n, t):
+    """{doc: (class, links)} by comparing all texts with all."""
     sets = sorted({(d, gram_set(x, n)) for d, x in rows if d is not None and x is not None and gram_set(x, n)}, key=lambda p: p[0])
-    rep = {}
-    for d, s in sets:
-        rep.setdefault(s, d)
-    out = {}
-
-    def put(a, b, o, u):
-        if a != b:
-            key = (min(a, b), max(a, b))
-            out[key] = max(out.get(key, 0), round(o / u, 6))
-
-    for d, s in sets:
-        put(rep[s], d, len(s), len(s))
-    for (x, a), (y, b) in itertools.combinations(rep.items(), 2):
-        o = len(x & y)
-        if o >= math.ceil(t / (1 + t) * (len(x) + len(y)) - 1e-9):
-            put(a, b, o, len(x | y))
+    links, root = [0] * len(sets), list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        (_, a), (_, b) = sets[i], sets[j]
+        if len(a & b) >= math.ceil(t / (1 + t) * (len(a) + len(b)) - 1e-9):
+            links[i] += 1
+            links[j] += 1
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    out = {d: (d, 0) for d, _ in rows if d is not None}
+    seen = set()
+    for i, (d, _) in enumerate(sets):
+        c = sets[find(i)][0]
+        out[d] = (min(out[d][0], c) if d in seen else c, out[d][1] + links[i])
+        seen.add(d)
     return out
 
 
-@pytest.mark.parametrize("n, threshold", [(3, 0.7), (2, 0.5), (1, 0.9)])
-def test_similar(spark, n, threshold):
+@pytest.mark.parametrize("n, threshold", [(3, 0.7), (2, 0.5), (1, 0.9), (3, 0.5)])
+def test_linked(spark, n, threshold, monkeypatch):
+    monkeypatch.setattr(jaccard, "_BLOCK", 5)  # balls of several blocks
     rng = random.Random(n)
     rows = list(AWKWARD)
     for g in range(14):
@@ -130,9 +136,32 @@ def test_similar(spark, n, threshold):
     passage = text(rng, 50)
     rows += [(2000 + i, f"{text(rng, 8)} {passage} {text(rng, 40)}") for i in range(20)]
     rows += [(3000, "Same TEXT here, again"), (3001, "same text here again"), (3001, "same text here again"), (3002, text(rng, 30)), (3002, rows[20][1]), (3003, "long " * 30_000), (3004, "long " * 30_001)]
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.similar(docs_of(spark, rows), n, threshold).collect()}
-    assert got == brute_pairs(rows, n, threshold)
-    assert (3000, 3001) in got
+    base = text(rng, 80).split()  # a large group, from close to far copies
+    for k in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(0, 20)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(999)}"
+        rows += [(4000 + 2 * k, " ".join(w))] + [(4001 + 2 * k, " ".join(w))] * (k % 5 == 0)
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.linked(docs_of(spark, rows), n, threshold).collect()}
+    want = brute_links(rows, n, threshold)
+    assert {d: x for d, x in got.items() if want[d] != x} == {} and set(got) == set(want)
+    assert got[3000] == (3000, 1) == (got[3001][0], got[3001][1])
+
+
+def test_balls_hold_a_large_group(spark):
+    """Most of a group of edited copies is in one ball, so its pairs are not listed."""
+    rng = random.Random(9)
+    base = text(rng, 200, 5000).split()
+    rows = [(0, " ".join(base)), (1, " ".join(base))]
+    for k in range(2, 200):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(9999)}"
+        rows.append((k, " ".join(w)))
+    sets = jaccard._sets(spark.createDataFrame(rows, "id long, text string"), 3, 0.5)
+    b = jaccard._balls(sets, 0.5)
+    assert b.count() == 199 and b.groupBy("ball").count().agg({"count": "max"}).first()[0] > 190
+    assert jaccard._pairs(b, 0.5).count() < 50
 
 
 def test_groups(spark):
@@ -160,7 +189,7 @@ def test_keep_one(spark):
     d = docs_of(spark, rows)
     kept = jaccard.keep_one(d)
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 3, 4, 6, 7] and kept.columns == d.columns
-    assert jaccard.similar(d.limit(0)).count() == 0
+    assert jaccard.linked(d.limit(0)).count() == 0 and jaccard.keep_one(d.limit(0)).count() == 0
 
 
 # packing
