@@ -244,7 +244,7 @@ def _near(t: float):
     def run(sets: pa.Table, centre: pa.Table) -> pa.Table:
         out = sets.select(["k", "id", "copies", "size", "shared", "grams"])
         k, hub = sets["k"].to_numpy(), sets["hub"].to_numpy()
-        ball = k.copy()
+        ball, block = k.copy(), sets["block"].to_numpy()
         if len(centre) and len(sets):
             c, n = np.sort(_unpack(centre["of"][0].as_py())), int(centre["n"][0].as_py())
             size = sets["size"].to_numpy()
@@ -255,12 +255,12 @@ def _near(t: float):
                 m = int(np.count_nonzero(c[p] == g))
                 if 2 * m >= (1 + t) * (int(size[i]) + n - m) + 1e-9:
                     ball[i] = hub[i]
-        return out.append_column("ball", pa.array(ball))
+        return out.append_column("ball", pa.array(ball)).append_column("block", pa.array(np.where(ball == k, 0, block)))
 
     return run
 
 
-_BALLED = "k long, id long, copies long, size int, shared int, grams binary, ball long"
+_BALLED = "k long, id long, copies long, size int, shared int, grams binary, ball long, block long"
 _TOP = np.int64((1 << 62) - 1)
 
 
@@ -394,7 +394,7 @@ def _held(sets: list[np.ndarray], grams: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Sets of a ball that are checked against those of another at a time.
+#: Sets of a centre, on average, that are compared with it, or with those of another ball, at a time.
 _BLOCK = 256
 
 
@@ -410,8 +410,8 @@ def _sets(docs: DataFrame, n: int, t: float) -> DataFrame:
     return cut(counted.groupBy("src").applyInArrow(_gather(t), _SETS))
 
 
-def _balls(sets: DataFrame, t: float) -> DataFrame:
-    """_BALLED, stored: every different set once, with its smallest id, how many ids have it, and its ball. Releases sets."""
+def _balls(sets: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
+    """_BALLED, stored: every different set once, with its smallest id, how many ids have it, its ball and its block in it; and (ball, blocks) of the balls that may have several."""
     slim = sets.drop("grams").withColumn("uid", F.xxhash64("src", "row"))
     least = [f"m{i}" for i in range(_LEAST)]
     entry = slim.groupBy("k", "id").agg(F.min("uid").alias("uid"), *[F.first(c).alias(c) for c in ("size", "shared", *least)])
@@ -421,18 +421,18 @@ def _balls(sets: DataFrame, t: float) -> DataFrame:
     by = rep.select("k", rank.alias("rank"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("m")) for i, c in enumerate(least)])).alias("by")).select("k", "rank", "by.i", "by.m")
     hub = by.groupBy("i", "m").agg(F.max("rank").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     best = by.join(hub, ["i", "m"]).groupBy("k").agg(F.max("hub").alias("hub")).select("k", F.col("hub.k").alias("hub")).where("hub != k")
-    assigned = rep.select("k", "rep", "copies").join(best, "k", "left").withColumn("hub", F.coalesce("hub", "k"))
-    placed = sets.withColumn("uid", F.xxhash64("src", "row")).select("k", "uid", "id", "size", "shared", "grams").join(assigned.select("k", F.col("rep.uid").alias("uid"), "copies", "hub"), ["k", "uid"]).drop("uid")
-    placed = cut(placed)
-    # a centre's sets are compared in blocks, each beside a copy of the centre
-    blocks = placed.where("hub != k").groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / 512).alias("blocks"))
-    others = placed.where("hub != k").join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks"))).drop("blocks")
+    # the sets of a centre go in blocks, told apart before any n-gram moves
+    assigned = cut(rep.select("k", "rep", "copies").join(best, "k", "left").withColumn("hub", F.coalesce("hub", "k")))
+    blocks = cut(assigned.where("hub != k").groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks")))
+    assigned = assigned.join(blocks, "hub", "left").select("k", F.col("rep.uid").alias("uid"), "copies", "hub", F.when(F.col("hub") == F.col("k"), 0).otherwise(F.pmod(F.xxhash64("k"), F.col("blocks"))).alias("block"))
+    placed = cut(sets.withColumn("uid", F.xxhash64("src", "row")).select("k", "uid", "id", "size", "shared", "grams").join(assigned, ["k", "uid"]).drop("uid"))
+    # each block beside a copy of the centre
     centres = placed.select(F.col("k").alias("centre"), F.col("size").alias("n"), F.col("grams").alias("of")).join(blocks.withColumnRenamed("hub", "centre"), "centre").select("centre", "n", "of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("beside"))
-    near = others.groupBy("hub", "block").cogroup(centres.groupBy("centre", "beside")).applyInArrow(_near(t), _BALLED)
+    near = placed.where("hub != k").groupBy("hub", "block").cogroup(centres.groupBy("centre", "beside")).applyInArrow(_near(t), _BALLED)
     own = placed.where("hub = k").withColumn("ball", F.col("k")).select(*near.columns)
     out = cut(near.unionByName(own))
     release(rep, placed)
-    return out
+    return out, blocks.select(F.col("hub").alias("ball"), "blocks")
 
 
 def _pairs(balled: DataFrame, t: float) -> DataFrame:
@@ -454,14 +454,12 @@ def _pairs(balled: DataFrame, t: float) -> DataFrame:
     return cut(met.groupBy(F.col("ball_a").alias("a"), F.col("ball_b").alias("b")).agg(F.max("rest_a").alias("ra"), F.max("rest_b").alias("rb")))
 
 
-def _checked(balled: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+def _checked(balled: DataFrame, blocks: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """(x, y, n) as _verify() gives it, stored."""
-    many = balled.groupBy("ball").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks")).where("blocks > 1")
-    one = F.coalesce("blocks", F.lit(1))
-    unit = lambda ball, block: F.when(F.col("blocks").isNull(), F.col(ball)).otherwise(F.xxhash64(F.col(ball), block))
+    unit = lambda ball: F.xxhash64(F.col(ball), F.col("block"))
     p = pairs
     for s in "ab":  # a pair of balls is one of every two blocks
-        p = p.join(many.withColumnRenamed("ball", s), s, "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).withColumn(f"u{s}", unit(s, F.col("block"))).drop("block", "blocks")
+        p = p.join(blocks.withColumnRenamed("ball", s), s, "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))).withColumn(f"u{s}", unit(s)).drop("block", "blocks")
     p = cut(p.select("ua", "ub", "ra", "rb"))
     # a pair's neighbourhood: the smallest key that either of its ends meets; large ones are split in blocks
     ends = p.select(F.explode(F.array("ua", "ub")).alias("unit"), F.least("ua", "ub").alias("least"))
@@ -472,7 +470,7 @@ def _checked(balled: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     ha, hb = (home.select(F.col("unit").alias(f"u{s}"), F.col("home").alias(f"home_{s}")) for s in "ab")
     placed = cut(p.join(ha, "ua").join(hb, "ub").select("ua", "ub", "ra", "rb", F.pmod(F.xxhash64(F.least("home_a", "home_b"), F.greatest("home_a", "home_b")), F.lit(buckets)).alias("bucket")))
     wanted = placed.select("bucket", F.explode(F.array("ua", "ub")).alias("unit")).distinct()
-    members = balled.join(many, "ball", "left").withColumn("unit", unit("ball", F.pmod(F.xxhash64("k"), F.col("blocks")))).select("unit", "k", "ball", "copies", "size", "grams")
+    members = balled.withColumn("unit", unit("ball")).select("unit", "k", "ball", "copies", "size", "grams")
     sides = wanted.join(members, "unit").withColumnRenamed("bucket", "held_in")
     out = cut(placed.groupBy("bucket").cogroup(sides.groupBy("held_in")).applyInArrow(_verify(t), "x long, y long, n long"))
     release(p, label, placed)
@@ -502,10 +500,10 @@ def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: st
     d = only(docs, id=id_col, text=text_col)
     sets = _sets(d, n, t)
     entries = cut(sets.select("id", "k").distinct())
-    balled = _balls(sets, t)
+    balled, blocks = _balls(sets, t)
     release(sets)
     pairs = _pairs(balled, t)
-    checked = _checked(balled, pairs, t)
+    checked = _checked(balled, blocks, pairs, t)
     info = cut(balled.select("k", "id", "copies", "ball"))
     release(balled, pairs)
     # within a ball all are linked

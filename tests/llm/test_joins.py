@@ -159,7 +159,7 @@ def test_balls_hold_a_large_group(spark):
             w[rng.randrange(len(w))] = f"e{rng.randrange(9999)}"
         rows.append((k, " ".join(w)))
     sets = jaccard._sets(spark.createDataFrame(rows, "id long, text string"), 3, 0.5)
-    b = jaccard._balls(sets, 0.5)
+    b, _ = jaccard._balls(sets, 0.5)
     assert b.count() == 199 and b.groupBy("ball").count().agg({"count": "max"}).first()[0] > 190
     assert jaccard._pairs(b, 0.5).count() < 50
 
