@@ -18,14 +18,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pericope.llm.shared import only, spans, utf8, words
 
-LABELS = ["O", "B-EMAIL", "B-IP", "B-CARD", "I-CARD", "B-SECRET", "B-PHONE", "I-PHONE"]
-SEQUENCE, CONTEXT = 120, 8
+LABELS = ["O", "B-EMAIL", "B-IP", "B-CARD", "I-CARD", "B-SECRET", "B-PHONE", "I-PHONE", "B-SSN", "B-IBAN", "I-IBAN"]
 _STRIP = b"\"'.,;:!?[]{}<>|*#%&$~`^"
-_CUES = ["token", "secret", "password", "passwd", "api_key", "apikey", "key", "bearer", "tel", "phone", "call", "fax", "card", "visa", "email", "mail", "ip", "host", "=", ":", "version", "page", "isbn", "order"]
+_CUES = ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "key", "bearer", "tel", "phone", "call", "fax", "card", "visa", "email", "mail", "ip", "host", "=", ":", "version", "page", "isbn", "order", "ssn", "iban", "reset", "is", "must"]
 
 _NOSPACE = np.ones(256, bool)
 _NOSPACE[[9, 10, 11, 12, 13, 32]] = False
@@ -40,7 +38,7 @@ _CLASS[128:] = ord("x")
 # the labelled table
 
 
-def labelled_table(rows: int = 600, seed: int = 5) -> list[tuple[list[str], list[str]]]:
+def labelled_table(rows: int = 1500, seed: int = 5) -> list[tuple[list[str], list[str]]]:
     """(words, labels) of invented lines: names of nothing, with personal data in the forms that occur in text, and with look-alikes that are none."""
     r = np.random.default_rng(seed)
     syllables = "an the or ing tion er es ka lo mi ra de quo ba é über ña zu sch eau".split()
@@ -60,36 +58,63 @@ def labelled_table(rows: int = 600, seed: int = 5) -> list[tuple[list[str], list
             w = w[: max(1, len(w) // 2)] + "-" + w[max(1, len(w) // 2) :]
         return w
 
+    def pick(*x: str) -> str:
+        return str(r.choice(x))
+
+    def low(n: int = 4) -> str:
+        return "".join(r.choice(syllables[:16], r.integers(1, n)))
+
     def plain() -> list[str]:
-        k = r.integers(0, 15)
+        k = r.integers(0, 24)
         return [
             [digits(r.integers(1, 8))], [digits(4)], ["|"], [digits(1) + "." + digits(2)], [digits(2) + "," + digits(3)], [f"{digits(1)}.{digits(1)}.{digits(1)}"],
             [f"20{digits(2)}-0{r.integers(1, 9)}-1{digits(1)}"], [f"1{digits(1)}:3{digits(1)}"], ["version", digits(1) + "."], ["=", digits(2)], ["(c)", "20" + digits(2)], [f"p.{digits(3)}"],
             [f"https://{word().lower().strip('.,;:!?#%*$&)')}.example.org/{digits(3)}"], ["$" + digits(3)], [f"{digits(3)}-{digits(2)}"],
+            [pick("isbn", "ISBN", "ISBN:"), pick(f"978-{digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}", f"978{digits(10)}")], [f"{pick('@', '#')}{low()}"], [pick("password", "token", "key"), pick("is", "reset", "must"), low()], [f"1{digits(1)}:3{digits(1)}:{digits(2)}"],
+            [low() + "()"], [f"({low()})"], [f"({digits(4)})"], [f"{low()}.{pick('py', 'com', 'org', 'txt')}"], [f"{low()}-{digits(2)}"],
         ][k]
 
+    def address() -> str:
+        name = pick(f"{low(3)}.{digits(2)}", low(3), f"{low(3)}_{digits(1)}", digits(2), f"{low(3)}.{low(3)}", f"{low(3).capitalize()}.{digits(3)}", f"{low(3)}+{low(2)}", "".join(r.choice(list("abcdefgh"), 2)), f"{low(3)}-{low(2)}", pick("a", "b", "c"), low(3).upper())
+        host = pick(f"{pick('mail', 'web', 'post')}{pick('', digits(1))}.example", low(3), f"{low(3)}.co", f"{low(2)}.{low(3)}", f"{low(2)}-{low(2)}", f"{low(3)}{digits(1)}", pick("d", "e"))
+        return f"{name}@{host}.{pick('com', 'org', 'net', 'uk', 'de', 'io', 'fr', 'info')}"
+
     def private() -> tuple[list[str], list[str]]:
-        k = r.integers(0, 8)
-        if k == 0:
-            name = "".join(r.choice(syllables[:16], r.integers(1, 3)))
-            mail = str(r.choice([f"{name}.{digits(2)}", name, f"{name}_{digits(1)}", f"{digits(2)}", f"{name}.{name}", f"{name.capitalize()}.{digits(3)}"]))
-            return [f"{mail}@{r.choice(['mail', 'web', 'post'])}{r.choice(['', digits(1)])}.example.{r.choice(['com', 'org', 'net'])}"], ["B-EMAIL"]
-        if k == 1:
-            return [".".join(str(r.integers(0, r.choice([10, 100, 256]))) for _ in range(4))], ["B-IP"]
+        k = r.integers(0, 14)
+        if k < 2:
+            a = address()
+            if r.integers(0, 3) == 0:
+                a = [f"<{a}>", f"({a})", f"[{a}]", f"{a},{address()}", f"{a};{address()}", f"mailto:{a}", f'"{a}"'][r.integers(0, 7)]
+            return [a], ["B-EMAIL"]
         if k == 2:
-            return [digits(16)], ["B-CARD"]
+            return [".".join(str(r.integers(0, r.choice([10, 100, 256]))) for _ in range(4)) + pick("", "", "", f":{digits(4)}")], ["B-IP"]
         if k == 3:
-            return [digits(4) for _ in range(4)], ["B-CARD", "I-CARD", "I-CARD", "I-CARD"]
+            groups = [hexes(r.integers(1, 5)) for _ in range(8)]
+            return [pick(":".join(groups), f"{groups[0]}:{groups[1]}::{groups[2]}", f"fe80::{groups[0]}:{groups[1]}:{groups[2]}:{groups[3]}", f"2001:db8::{groups[4]}", f"2001:0db8:85a3:0000:0000:8a2e:0370:{digits(4)}")], ["B-IP"]
         if k == 4:
-            quote = str(r.choice(['"', "'", ""]))
-            cue = str(r.choice(["token", "secret", "api_key", "password", "key"]))
-            value = quote + str(r.choice([hexes(40), hexes(32), mixed(24), mixed(40), hexes(64)])) + quote
-            return ([cue, "=", value], ["O", "O", "B-SECRET"]) if r.integers(0, 2) else ([cue + ":", value], ["O", "B-SECRET"])
+            return [pick(digits(16), digits(16), digits(r.integers(13, 20)), digits(15), "-".join(digits(4) for _ in range(4)), f"{digits(4)}-{digits(6)}-{digits(5)}")], ["B-CARD"]
         if k == 5:
+            size = [4, 4, 4, 4] if r.integers(0, 3) else [4, 6, 5]
+            return [digits(n) for n in size], ["B-CARD"] + ["I-CARD"] * (len(size) - 1)
+        if k in (6, 7):
+            quote = pick('"', "'", "")
+            cue = pick("token", "secret", "api_key", "password", "key", "bearer") if k == 6 else pick("password", "passwd", "pwd", "secret", "Password")
+            value = pick(hexes(40), hexes(32), mixed(24), mixed(40), hexes(64), "sk-" + mixed(24)) if k == 6 else pick(low() + digits(r.integers(1, 5)), low(3).capitalize() + digits(2) + pick("!", "#", ""), mixed(r.integers(8, 14)), low(3) + "_" + digits(3), digits(1) + low(3) + digits(1))
+            value = quote + value + quote
+            return ([cue, "=", value], ["O", "O", "B-SECRET"]) if r.integers(0, 2) else ([cue + ":", value], ["O", "B-SECRET"])
+        if k == 8:
             return [f"+{r.integers(1, 99)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], ["B-PHONE", "I-PHONE", "I-PHONE"]
-        if k == 6:
+        if k == 9:
             return [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], ["B-PHONE", "I-PHONE"]
-        return ([f"{digits(3)}-{digits(3)}-{digits(4)}"], ["B-PHONE"]) if r.integers(0, 2) else ([f"+{r.integers(1, 99)}", digits(2), digits(4), digits(4)], ["B-PHONE", "I-PHONE", "I-PHONE", "I-PHONE"])
+        if k == 10:
+            return ([f"{digits(3)}{(d := pick('-', '.'))}{digits(3)}{d}{digits(4)}"], ["B-PHONE"]) if r.integers(0, 2) else ([f"+{r.integers(1, 99)}", digits(2), digits(4), digits(4)], ["B-PHONE", "I-PHONE", "I-PHONE", "I-PHONE"])
+        if k == 11:
+            return [f"{digits(3)}-{digits(2)}-{digits(4)}"], ["B-SSN"]
+        country = "".join(r.choice(list("ABCDEFGHIKLMNPRST"), 2))
+        if k == 12:
+            return [country + digits(2) + pick(digits(18), digits(20), "ABCD"[: r.integers(0, 5)] + digits(16))], ["B-IBAN"]
+        rest = [digits(4) for _ in range(r.integers(3, 6))] + [digits(2)]
+        return [country + digits(2), *rest], ["B-IBAN"] + ["I-IBAN"] * len(rest)
 
     out = []
     for i in range(rows):
@@ -119,25 +144,50 @@ def labelled_table(rows: int = 600, seed: int = 5) -> list[tuple[list[str], list
 # features
 
 
+def core(token: bytes) -> tuple[int, int]:
+    """(start, end) of a word without the marks around it, brackets too where they hold more than the digits of a phone number's area."""
+    left = len(token) - len(token.lstrip(_STRIP))
+    right = len(token.rstrip(_STRIP))
+    if right <= left:
+        return 0, len(token)
+    c = token[left:right]
+    if b"(" in c[:1] + c[-1:] or b")" in c[:1] + c[-1:]:
+        inner = c.strip(b"()")
+        if inner and not (inner.isdigit() and len(inner) <= 5):
+            left += len(c) - len(c.lstrip(b"()"))
+            right -= len(c) - len(c.rstrip(b"()"))
+            if left > 0 and right - left > 0:
+                more = token[left:right]
+                left, right = left + len(more) - len(more.lstrip(_STRIP)), right - (len(more) - len(more.rstrip(_STRIP)))
+    return (left, right) if right > left else (0, len(token))
+
+
 def features(token: bytes, cue: int) -> list[str]:
-    core = token.strip(_STRIP) or token
-    shape = _CLASS[np.frombuffer(core, np.uint8)].tobytes().decode("latin-1")
+    a, z = core(token)
+    inner = token[a:z]
+    shape = _CLASS[np.frombuffer(inner, np.uint8)].tobytes().decode("latin-1")
     short = re.sub(r"(.)\1+", r"\1+", shape)
-    n, d = len(core), shape.count("d")
+    n, d = len(inner), shape.count("d")
     flips = sum(a != b for a, b in zip(shape, shape[1:]))
     letters = shape.count("x") + shape.count("X")
     code = d > 0 and letters > 0 and d + letters == n and n >= 16
+    hexed = shape.count(":") >= 2 and bool(re.fullmatch(r"[xXd:]*", shape)) and all(len(g) <= 4 for g in shape.split(":"))
+    groups = "-".join(str(len(g)) for g in shape.split("-")) if "-" in shape and set(shape) <= {"d", "-"} else ""
     out = [
         "bias",
         "s=" + short[:20],
         "c=" + short.replace("+", "")[:20] if "+" not in shape else "c=" + re.sub(r"(.)\1+", r"\1", shape)[:20],
         "f=" + shape if n <= 16 else "long",
         f"n={min(n, 8) if n < 16 else 16 if n < 20 else 20}",
-        f"d={d}" if d <= 16 else "d>16",
+        f"d={d}" if d <= 19 else "d>19",
         f"k={'d' if d == n else 'x' if letters == n else 'm' if d else 'p' if letters == 0 else 'w'}",
-        "@" + str("@" in shape and "." in shape),
+        "@" + str(bool(re.search(r"[^@]@[^@]+\.[xX]{2}", shape))),
         "dots=" + str(min(shape.count("."), 4)),
         "code=" + str(code and flips >= 4),
+        "hex=" + str(hexed and d > 0),
+        "groups=" + groups,
+        "iban=" + ("a" if re.fullmatch(r"XXdd[dX]{11,30}", shape) else "b" if shape == "XXdd" else ""),
+        "both=" + str(d > 0 and letters > 0),
         "open=" + token[:1].decode("latin-1") if token[:1] in (b'"', b"'", b"(", b"+") else "open=",
     ]
     if cue:
@@ -266,33 +316,51 @@ class Field:
         return e
 
     def decode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Tokens, np.ndarray]:
-        """The words of a buffer and their labels. Rows are decoded in overlapping stretches; a word's label is from the stretch that has it in the middle."""
+        """The words of a buffer and their labels: the best path of every whole row.
+
+        A word whose score for O exceeds all others by more than the transitions
+        on its two sides could ever make up for is O on the best path, whatever
+        its neighbours are. The rows are cut at these words, and only the runs
+        between them are left for Viterbi, with the transitions to both ends.
+        """
         k = Tokens(data, offsets)
         labels = np.zeros(len(k.row), np.int8)
-        if not len(labels):
+        n = len(labels)
+        if not n:
             return k, labels
-        e = self.scores(k)
-        first = np.searchsorted(k.row, np.arange(len(offsets)))
-        size = np.diff(first)
-        per = -(-size // SEQUENCE)
-        row = np.repeat(np.arange(len(size)), per)
-        own = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * SEQUENCE
-        lo = np.maximum(first[row], own - CONTEXT)
-        hi = np.minimum(first[row + 1], own + SEQUENCE + CONTEXT)
-        order = np.argsort(hi - lo, kind="stable")
-        for s in range(0, len(order), 1024):
-            q = order[s : s + 1024]
-            n = hi[q] - lo[q]
-            at = lo[q] + np.arange(n.max())[:, None]
+        e, tr = self.scores(k), self.trans
+        # what another label can gain by the transitions from before, and to what comes behind; none at a row's ends
+        gain = np.maximum(0, (tr - tr[:, :1]).max(axis=0)) + np.maximum(0, (tr - tr[:1, :]).max(axis=1))
+        open_ = np.flatnonzero((e[:, :1] - e[:, 1:] <= gain[1:] + 1e-3).any(axis=1))
+        if not len(open_):
+            return k, labels
+        new = np.concatenate([[True], (np.diff(open_) > 1) | (k.row[open_[1:]] != k.row[open_[:-1]])])
+        lo = open_[new]
+        size = np.diff(np.append(np.flatnonzero(new), len(open_)))
+        hi = lo + size
+        inner = np.flatnonzero((lo > 0) & (k.row[lo] == k.row[lo - 1]))
+        e[lo[inner]] += tr[0]
+        inner = np.flatnonzero((hi < n) & (k.row[hi - 1] == k.row[np.minimum(hi, n - 1)]))
+        e[hi[inner] - 1] += tr[:, 0]
+        order = np.argsort(size, kind="stable")
+        s = 0
+        while s < len(order):
+            # runs of like length, so many that they have a bounded number of words with the padding
+            most = max(1, _WORDS // int(size[order[min(len(order) - 1, s + 1023)]]))
+            q = order[s : s + min(1024, most)]
+            s += len(q)
+            at = lo[q] + np.arange(size[q].max())[:, None]
             inside = at < hi[q]
-            x = e[np.where(inside, at, 0)]
-            y = viterbi(x, self.trans, n)
-            mine = inside & (at >= own[q]) & (at < own[q] + SEQUENCE)
-            labels[at[mine]] = y[mine]
+            y = viterbi(e[np.where(inside, at, 0)], tr, size[q])
+            labels[at[inside]] = y[inside]
         return k, labels
 
 
-def train(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 60, rate: float = 0.15, decay: float = 2e-3) -> Field:
+#: Words that Viterbi decodes at a time, unless one run has more.
+_WORDS = 1 << 16
+
+
+def train(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 70, rate: float = 0.15, decay: float = 2e-3) -> Field:
     """Maximum likelihood with a Gaussian prior, by Adam over the whole table."""
     table = labelled_table() if table is None else table
     lines = [" ".join(w).encode() for w, _ in table]
@@ -343,24 +411,39 @@ def train(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 6
 # over a table
 
 
+def luhn(digits: bytes) -> bool:
+    """Whether 13 to 19 digits end in the check digit of a card's number."""
+    d = [c - 48 for c in reversed(digits)]
+    return 13 <= len(d) <= 19 and (sum(d[::2]) + sum(2 * c - 9 * (c > 4) for c in d[1::2])) % 10 == 0
+
+
 def spans_of(k: Tokens, labels: np.ndarray) -> list[tuple[int, int, int, str]]:
-    """(row, start, end, kind) in bytes; a word's marks on the outside don't belong to it."""
+    """(row, start, end, kind) in bytes; a word's marks on the outside don't belong to it.
+
+    Addresses that commas or semicolons join in one word are spans of their own.
+    Digits that the field calls a card count as one only with a right check digit.
+    """
     out: list[tuple[int, int, int, str]] = []
     last = -2
     for i in np.flatnonzero(labels).tolist():
         name = LABELS[labels[i]]
         token = k.token(i)
-        left = len(token) - len(token.lstrip(_STRIP))
-        right = len(token.rstrip(_STRIP))
-        if right <= left:
-            left, right = 0, len(token)
-        a, z, row = int(k.start[i]) + left, int(k.start[i]) + right, int(k.row[i])
-        if name[0] == "I" and out and last == i - 1 and out[-1][0] == row and out[-1][3] == name[2:]:
-            out[-1] = (row, out[-1][1], z, name[2:])
+        left, right = core(token)
+        a, row, kind = int(k.start[i]), int(k.row[i]), name[2:]
+        if name[0] == "I" and out and last == i - 1 and out[-1][0] == row and out[-1][3] == kind:
+            out[-1] = (row, out[-1][1], a + right, kind)
+        elif kind == "EMAIL":
+            at = left
+            for piece in re.split(rb"([,;])", token[left:right]):
+                x, z = core(piece) if piece else (0, 0)
+                if b"@" in piece:
+                    x += len(b"mailto:") if piece[x:].startswith(b"mailto:") else 0
+                    out.append((row, a + at + x, a + at + z, kind))
+                at += len(piece)
         else:
-            out.append((row, a, z, name[2:]))
+            out.append((row, a + left, a + right, kind))
         last = i
-    return out
+    return [x for x in out if x[3] != "CARD" or luhn(re.sub(rb"\D", b"", k.data[x[1] : x[2]].tobytes()))]
 
 
 _OUT = "doc_id long, n_spans int, kinds string, spans array<struct<kind:string,start:int,end:int>>, text string"
@@ -405,10 +488,13 @@ def redact(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
     order; kinds: their distinct kinds, sorted, joined by commas; text: the
     whole text with every span replaced by its kind in brackets.
 
-    A null text stays null and an empty one empty, without spans. Null ids are
-    kept and repeated rows each give a row. Of label sequences with equal scores
-    one is taken, always the same. An empty table gives an empty result. Other
-    columns are ignored.
+    Kinds are EMAIL, IP, CARD (13 to 19 digits with a right check digit), SECRET,
+    PHONE, SSN and IBAN. A null text stays null and an empty one empty, without
+    spans. Texts of any length are decoded whole: the labels are the best path
+    over all words of a row. Null ids are kept and repeated rows each give a
+    row. Of label sequences with equal scores one is taken, always the same. An
+    empty table gives an empty result. Other columns are ignored, whatever their
+    names. Ids have to be of whole numbers, else a TypeError.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,11 +511,16 @@ def redact(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
                 ["doc_id", "n_spans", "kinds", "spans", "text"],
             )
 
-    return only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _OUT)
+    return only(docs, doc_id=id_col, text=text_col).mapInArrow(run, _OUT)
 
 
 def redacted(docs: DataFrame, field: Field, text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
-    """docs, all rows and columns, with the spans in text_col replaced; n_chars_col, if there is one, is the new text's length where the text changed."""
+    """docs, all rows and columns, with the spans in text_col replaced; n_chars_col, if there is one, is the new text's length where the text changed.
+
+    Rows are treated as in redact(): null and empty texts stay as they are, long
+    ones are read whole, equal rows stay equal, an empty table stays empty. Other
+    columns, whatever their names and values, aren't touched.
+    """
     fields = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
