@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from pericope.llm.shared import only, spans, utf8
 
 SEGMENT, CONTEXT, HIDDEN = 256, 8, 12
-#: Distinct texts of every language that the network is fitted on, at most, and characters of each.
-FIT_TEXTS, FIT_CHARS = 100, 1500
+#: Segments that are read at a time: what a worker's memory depends on.
+_AT_ONCE = 512
+#: Distinct texts of every language that the network is fitted on, at most; and of each so many windows of so many characters, at hashed places of the whole text.
+FIT_TEXTS, FIT_WINDOWS, FIT_CHARS = 100, 16, 96
 #: A text whose bytes are so likely in no language is rejected.
 MOST_NONE = 0.7
-#: The class of byte strings that are in no language; trained on random ones.
-NONE = "und"
+#: The class of strings that are in no language, and that of languages and scripts without a label; both are trained on generated strings.
+NONE, OTHER = "und", "other"
 PAD = 256
 
 
@@ -183,7 +185,7 @@ class ByteGRU:
             g["E"][i] = hot @ da[i].reshape(t_n * n, 3 * h)
         return loss, g
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 160, batch: int = 96, length: int = 48, rate: float = 0.02, seed: int = 11) -> ByteGRU:
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 260, batch: int = 112, length: int = 48, rate: float = 0.02, seed: int = 11) -> ByteGRU:
         """Adam over windows at random places of texts, every class as often as any other."""
         r = np.random.default_rng(seed)
         by = [np.flatnonzero(labels == c) for c in range(len(self.classes))]
@@ -208,11 +210,54 @@ class ByteGRU:
         return self
 
 
+#: Alphabets by first and last character: a text in one of them is in a language, labelled or not.
+_SCRIPTS = [
+    (0x430, 0x44F), (0x3B1, 0x3C9), (0x627, 0x64A), (0x5D0, 0x5EA), (0x905, 0x939), (0x985, 0x9B9), (0xB85, 0xBB9), (0xC05, 0xC39), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x561, 0x586),
+    (0x1200, 0x1248), (0x3041, 0x3096), (0x30A1, 0x30FA), (0xAC00, 0xD7A3), (0x4E00, 0x9FA5), (0x100, 0x17F),
+]
+
+
+def _chars(r: np.random.Generator, lo: int, hi: int, n: int) -> list[str]:
+    return [chr(c) for c in r.integers(lo, hi + 1, n)]
+
+
 def random_strings(n: int, seed: int = 3) -> list[bytes]:
-    """Byte strings in no language: digits, symbols, hexadecimal, random letters and bytes."""
+    """Strings in no language: digits, symbols, hexadecimal, random letters, and characters of many scripts without order."""
+    r = np.random.default_rng(seed)
+    kinds = ["0123456789 .,-", "!#$%&*+-/<=>?@^_|~ ", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    out = []
+    for i in range(n):
+        k = i % (len(kinds) + 2)
+        if k < len(kinds):
+            s = "".join(r.choice(list(kinds[k]), 200))
+        elif k == len(kinds):  # a letter of any script after one of any other
+            s = "".join(_chars(r, *_SCRIPTS[r.integers(0, len(_SCRIPTS))], 1)[0] for _ in range(100))
+        else:
+            s = "".join(_chars(r, *((0x2190, 0x25FF), (0xA1, 0xBF), (0xFFFD, 0xFFFD))[r.integers(0, 3)], 1)[0] for _ in range(100))
+        out.append(s.encode())
+    return out
+
+
+def other_strings(n: int, used: str = "", seed: int = 4) -> list[bytes]:
+    """Strings like text of the alphabets that `used`, the labelled texts, doesn't have: words of an alphabet's letters, some far more frequent than others, with spaces and stops where it has them."""
     r = np.random.default_rng(seed)
-    kinds = [b"0123456789 .,-", b"!#$%&*+-/<=>?@^_|~ ", b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", bytes(range(128, 256))]
-    return [bytes(r.choice(list(kinds[i % len(kinds)]), 200).astype(np.uint8)) for i in range(n)]
+    seen = np.unique(np.array([ord(c) for c in set(used)] or [0]))
+    # letters of Latin Extended-A occur in many languages, so those alone don't decide
+    free = [(lo, hi) for lo, hi in _SCRIPTS if np.count_nonzero((seen >= lo) & (seen <= hi)) < (30 if lo == 0x100 else 5)]
+    out = []
+    for i in range(n if free else 0):
+        lo, hi = free[i % len(free)]
+        letters = np.array(_chars(r, lo, hi, 40) if hi - lo > 200 else [chr(c) for c in range(lo, hi + 1)])
+        p = r.permutation(1 / np.arange(2, len(letters) + 2))
+        p /= p.sum()
+        if lo == 0x100:  # Latin letters with marks, among plain ones
+            plain = list("aeioukmnprstzvldjw")
+            words = ["".join(str(r.choice(letters)) if r.integers(0, 4) == 0 else str(r.choice(plain)) for _ in range(r.integers(2, 10))) for _ in range(40)]
+        else:
+            words = ["".join(r.choice(letters, r.integers(1, 9), p=p)) for _ in range(40)]
+        gap, stop = ("", "。") if lo in (0x4E00, 0x3041, 0x30A1) else (" ", ". ")
+        out.append("".join(w + (stop if r.integers(0, 8) == 0 else gap) for w in words).encode()[:400])
+    return out
 
 
 def fit_texts(docs: DataFrame, each: int) -> DataFrame:
@@ -229,21 +274,25 @@ def fit_texts(docs: DataFrame, each: int) -> DataFrame:
     return d.join(F.broadcast(h), ["lang", "h"]).select("lang", "h", "text")
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_texts_each: int = FIT_TEXTS, fit_chars: int = FIT_CHARS) -> ByteGRU:
-    """Fits the network on at most fit_texts_each distinct texts of every language of the labelled rows, those of the smallest hashes, and at most fit_chars characters of each.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_texts_each: int = FIT_TEXTS, windows: int = FIT_WINDOWS, chars: int = FIT_CHARS) -> ByteGRU:
+    """Fits the network on at most fit_texts_each distinct texts of every language of the labelled rows, those of the smallest hashes, in at most `windows` windows of `chars` characters of each, at hashed places of the whole text.
 
-    Its classes are all languages of the labelled rows, however rare, and NONE.
-    Rows with a null label or a null or empty text are passed over. Without any
-    labelled row the only class is NONE.
+    Its classes are all languages of the labelled rows, however rare, OTHER and
+    NONE. Rows with a null label or a null or empty text are passed over, and so
+    are labels equal to OTHER or NONE. Without any labelled row, OTHER and NONE
+    are the only classes. Copies of a text count once; other columns are ignored.
     """
-    d = only(docs, text=text_col, lang=lang_col).where("text is not null and lang is not null and text != ''").where(F.col("lang") != NONE)
-    piece = F.substring("text", 1, fit_chars)
-    rows = fit_texts(d, fit_texts_each).select("lang", "h", piece.alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
+    d = only(docs, text=text_col, lang=lang_col).where("text is not null and lang is not null and text != ''").where(~F.col("lang").isin(NONE, OTHER))
+    room = F.greatest(F.lit(1), F.length("text") - chars + 1)
+    cuts = F.transform(F.sequence(F.lit(0), F.least(F.lit(windows), F.ceil(F.length("text") / chars).cast("int")) - 1), lambda i: F.substring(F.col("text"), (F.pmod(F.xxhash64("h", i), room) + 1).cast("int"), F.lit(chars)))
+    rows = fit_texts(d, fit_texts_each).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", cuts.alias("cuts")).orderBy("lang", "h").collect()
     classes = sorted({x["lang"] for x in rows})
-    noise = random_strings(60)
-    texts = [x["text"].encode() for x in rows] + noise
-    labels = np.array([classes.index(x["lang"]) for x in rows] + [len(classes)] * len(noise))
-    return ByteGRU([*classes, NONE]).fit(texts, labels)
+    labelled = [(w.encode(), classes.index(x["lang"])) for x in rows for w in x["cuts"] if w]
+    other = other_strings(136, "".join(w for x in rows for w in x["cuts"]))
+    noise = random_strings(96)
+    texts = [w for w, _ in labelled] + other + noise
+    labels = np.array([y for _, y in labelled] + [len(classes)] * len(other) + [len(classes) + 1] * len(noise))
+    return ByteGRU([*classes, OTHER, NONE]).fit(texts, labels)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,11 +323,11 @@ def _label(model: ByteGRU, most_none: float = MOST_NONE):
             for lo, hi in spans(off, 1 << 19):
                 o = off[lo : hi + 1]
                 x, row, length = segments(data[o[0] : o[-1]], o - o[0])
-                for s in range(0, len(row), 2048):  # one very long text has many segments
-                    q = model.probabilities(x[:, s : s + 2048])[CONTEXT : CONTEXT + SEGMENT]
-                    real = (np.arange(SEGMENT)[:, None] < length[s : s + 2048]).astype(np.float32)
+                for s in range(0, len(row), _AT_ONCE):  # one very long text has many segments
+                    q = model.probabilities(x[:, s : s + _AT_ONCE])[CONTEXT : CONTEXT + SEGMENT]
+                    real = (np.arange(SEGMENT)[:, None] < length[s : s + _AT_ONCE]).astype(np.float32)
                     top = q.argmax(axis=2)
-                    rows = lo + row[s : s + 2048]
+                    rows = lo + row[s : s + _AT_ONCE]
                     np.add.at(pooled, rows, np.einsum("tnk,tn->nk", q, real))
                     np.add.at(votes, rows, np.stack([((top == c) * real).sum(axis=0) for c in range(k)], axis=1))
             some = np.maximum(size, 1)
@@ -306,22 +355,27 @@ def identify(docs: DataFrame, model: ByteGRU, id_col: str = "doc_id", text_col:
 
     confidence is the mean probability of lang over all bytes of the text,
     agreement the share of bytes that the network labels so. keep is false where
-    the mean probability of NONE is most_none or more.
+    the mean probability of NONE is most_none or more: a text in a language or
+    script without a label is OTHER and is kept.
 
     Null and empty texts give NONE with confidence and agreement 0 and aren't
-    kept: they are in no language. Null ids
-    are kept, repeated rows each give a row, ties go to the class that sorts
-    first (NONE last). An empty table gives an empty result. Other columns are
-    ignored.
+    kept: they are in no language. Texts of any length are read whole, a bounded
+    number of bytes at a time. Null ids are kept, repeated rows each give a row,
+    ties go to the class that sorts first (OTHER and NONE last). An empty table
+    gives an empty result. Other columns are ignored, whatever their names. Ids
+    have to be of whole numbers, else a TypeError.
     """
-    d = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
+    d = only(docs, doc_id=id_col, text=text_col)
     return d.mapInArrow(_label(model, most_none), _OUT)
 
 
 def accepted(docs: DataFrame, model: ByteGRU, text_col: str = "text", most_none: float = MOST_NONE) -> DataFrame:
     """The rows of docs, all columns, that identify() would keep.
 
-    Every row is judged by its own text, in place, so ids may be null or repeated.
+    Every row is judged by its own text, in place, so ids may be null or
+    repeated; null and empty texts go, texts of any length are read whole and
+    equal texts share their fate. An empty table gives an empty result; other
+    columns, whatever their names, keep their values.
     """
     fields = docs.columns
 
