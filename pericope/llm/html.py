@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import only, words
+from pericope.llm.shared import only, spans, utf8, words
 
 HIDDEN, PATH_DIM, WORD_DIM = 16, 16, 12
 _BLOCK = frozenset(
@@ -31,88 +31,172 @@ _HEAD = frozenset("head title".split())
 #: Tags that may stand in the head; any other one, and text, ends a head that is still open.
 _IN_HEAD = _HEAD | frozenset("html base link meta script style noscript template".split())
 _TITLE_END = re.compile(r"</title\s*>|<(?:title|body|/head)\b", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_MARK = re.compile("[>\"']")
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACES = re.compile(r"\s+")
+_RAW_END = {t: re.compile(f"</{t}\\b", re.I) for t in _RAW}
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(text, path, characters within links) of the leaf blocks; never raises, whatever the page holds."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []
+class Node:
+    """An open tag, with those it is in. Its vector is that of its own name and, with less weight the further up, of all others."""
+
+    __slots__ = ("depth", "name", "parent", "vector")
+
+    def __init__(self, name: str = "", parent: Node | None = None):
+        self.name, self.parent = name, parent
+        self.depth = parent.depth + 1 if parent else 0
+        self.vector = _FADE * parent.vector + _name_vector(name) if parent else np.zeros(PATH_DIM, np.float32)
+
+    def path(self) -> str:
+        """The names from the outermost tag on, joined by slashes."""
+        names, at = [], self
+        while at.parent:
+            names.append(at.name)
+            at = at.parent
+        return "/".join(reversed(names))
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag, closing, attributes or text) of the markup, in time linear in the page.
+
+    tag is None for comments and declarations, and for CDATA, which has a text.
+    A tag ends at the first > outside quotes. As soon as a tag's quotes leave no
+    such end, quotes are plain characters from there on.
+    """
+    last, quotes = page.rfind(">"), True
+    last_cdata, at = page.rfind("]]>"), 0
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last:
+            # without any > behind it, only a comment is markup, which then takes the rest
+            while at >= 0 and not page.startswith("<!--", at):
+                at = page.find("<", at + 1)
+            if at >= 0:
+                yield at, len(page), None, False, ""
+            return
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, None, False, ""
+            at = end
+        elif page.startswith("<![CDATA[", at) and at < last_cdata:
+            end = page.find("]]>", at)
+            yield at, end + 3, None, False, page[at + 9 : end]
+            at = end + 3
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1
+            yield at, end, None, False, ""
+            at = end
+        else:
+            name = _NAME.match(page, at + 1)
+            if not name:
+                at += 1
+                continue
+            end = name.end()
+            while quotes:
+                m = _MARK.search(page, end)
+                if m and m.group() == ">":
+                    end = m.end()
+                    break
+                shut = page.find(m.group(), m.end()) if m else -1
+                if shut < 0:
+                    quotes = False
+                else:
+                    end = shut + 1
+            if not quotes and page[end - 1] != ">":
+                end = page.find(">", name.end()) + 1
+                if not end:
+                    return
+            yield at, end, name.group(2).lower(), bool(name.group(1)), page[name.end() : end - 1]
+            at = end
+
+
+def blocks(page: str) -> list[tuple[str, Node, int]]:
+    """(text, innermost open tag, characters within links) of the leaf blocks; never raises, whatever the page holds, and takes time linear in its length."""
+    out: list[tuple[str, Node, int]] = []
+    stack: list[tuple[str, Node]] = []
+    inside: dict[str, int] = {}  # how many of each tag are open
     text: list[str] = []
     linked = links = 0
-    raw, shut = "", 0
+    root = Node()
+
+    def close_from(i: int) -> None:
+        for t, _ in stack[i:]:
+            inside[t] -= 1
+        del stack[i:]
 
     def leave_head() -> None:
-        i = next((i for i, (t, _) in enumerate(stack) if t in _HEAD), None)
-        if i is not None:
-            del stack[i:]
+        if inside.get("head") or inside.get("title"):
+            close_from(next(i for i, (t, _) in enumerate(stack) if t in _HEAD))
 
     def flush() -> None:
         nonlocal linked
         s = _SPACES.sub(" ", _html.unescape("".join(text))).strip()
-        if s and not any(t == "title" for t, _ in stack):
+        if s and not inside.get("title"):
             leave_head()
-            out.append((s, "/".join(n for _, n in stack[-4:]), linked))
+            out.append((s, stack[-1][1] if stack else root, linked))
         text.clear()
         linked = 0
 
-    at = 0
-    for m in _TAG.finditer(page):
-        if raw == "title" and m.start() >= shut:
-            raw, at = "", shut
-        if raw and (m.group(3) is None or m.group(3).lower() != raw or not m.group(2)):
+    at, raw, skip_to = 0, "", 0
+    raw_ends: dict[str, int] = {}
+    for start, end, tag, closing, rest in _tags(page):
+        if start < skip_to:  # in what a raw element or a title holds
             continue
-        if not raw and m.start() > at:
-            s = page[at : m.start()]
+        if raw:
+            at, raw = skip_to, ""
+        if start > at:
+            s = page[at:start]
             text.append(s)
             if links:
                 linked += len(s)
-        at = m.end()
-        tag = m.group(3)
+        at = end
         if tag is None:
-            if m.group(1):
-                text.append(m.group(1))
+            if rest:
+                text.append(rest)
             continue
-        tag, closing = tag.lower(), bool(m.group(2))
-        raw = ""
         if tag in _BLOCK or not closing and stack and stack[-1][0] == "title":
             flush()
         if not closing and stack:
             if tag not in _IN_HEAD:
                 leave_head()
             elif stack[-1][0] == "title":
-                stack.pop()
+                close_from(len(stack) - 1)
         if tag == "title" and not closing:
-            end = _TITLE_END.search(page, m.end())
-            if end and end.group().endswith(">"):
-                raw, shut = "title", end.end()
+            shut = _TITLE_END.search(page, end)
+            if shut and shut.group().endswith(">"):
+                raw, skip_to = "title", shut.end()
                 continue
         if tag in _RAW and not closing:
-            if not m.group(4).rstrip().endswith("/"):
-                raw = tag
+            if not rest.rstrip().endswith("/"):
+                if raw_ends.get(tag, 0) >= 0:
+                    m = _RAW_END[tag].search(page, end)
+                    shut_at = page.find(">", m.end()) if m else -1
+                    raw_ends[tag] = shut_at
+                raw, skip_to = tag, raw_ends[tag] + 1 if raw_ends[tag] >= 0 else len(page) + 1
             continue
         if tag == "a":
             links = max(0, links - 1) if closing else links + 1
         if tag not in _BLOCK or tag in _VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if inside.get(tag):
+                close_from(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             links = 0 if tag not in ("li", "p") else links
         else:
             if stack and stack[-1][0] == tag and tag in ("p", "li", "td", "th", "tr", "option", "dt", "dd"):
-                stack.pop()
+                close_from(len(stack) - 1)
             name = tag
-            if m.group(4):
-                c = _CLASS.search(m.group(4))
+            if rest:
+                c = _CLASS.search(rest)
                 if c:
-                    name += "." + (c.group(1) or c.group(2) or c.group(3) or "").lower()[:40]
-            stack.append((tag, name))
-    if not raw and at < len(page):
+                    name += "." + (c.group(1) or c.group(2) or c.group(3) or "").lower()
+            stack.append((tag, Node(name, stack[-1][1] if stack else root)))
+            inside[tag] = inside.get(tag, 0) + 1
+    if raw:
+        at = skip_to
+    if at < len(page):
         text.append(page[at:])
     flush()
     return out
@@ -125,24 +209,26 @@ _rng = np.random.default_rng(17)
 _PATHS = _rng.normal(0, 1, (512, PATH_DIM)).astype(np.float32)
 _WORDS = _rng.normal(0, 1, (1024, WORD_DIM)).astype(np.float32)
 _seen: dict[str, np.ndarray] = {}
+#: What an open tag counts of the one inside it.
+_FADE = np.float32(0.85)
 
 
-def _path(path: str) -> np.ndarray:
-    got = _seen.get(path)
+def _name_vector(name: str) -> np.ndarray:
+    got = _seen.get(name)
     if got is None:
-        parts = re.split(r"[/.\s_-]+", path)
-        rows = [_PATHS[zlib.crc32(x.encode()) & 511] for x in parts if x]
+        rows = [_PATHS[zlib.crc32(x.encode("utf-8", "replace")) & 511] for x in re.split(r"[/.\s_-]+", name) if x]
         got = (np.sum(rows, axis=0) if rows else np.zeros(PATH_DIM)).astype(np.float32)
         if len(_seen) > 50_000:
             _seen.clear()
-        _seen[path] = got
+        if len(name) < 200:
+            _seen[name] = got
     return got
 
 
 DIM = PATH_DIM + WORD_DIM + 6
 
 
-def block_vectors(page: list[tuple[str, str, int]]) -> np.ndarray:
+def block_vectors(page: list[tuple[str, Node, int]]) -> np.ndarray:
     """(blocks, DIM). Words are read over the whole text of every block."""
     n = len(page)
     x = np.zeros((n, DIM), np.float32)
@@ -157,14 +243,14 @@ def block_vectors(page: list[tuple[str, str, int]]) -> np.ndarray:
         np.cumsum(_WORDS[(h >> np.uint64(54)).astype(np.int64)], axis=0, out=total[1:])
         edge = np.searchsorted(row, np.arange(n + 1))
         x[:, PATH_DIM : PATH_DIM + WORD_DIM] = (total[edge[1:]] - total[edge[:-1]]) / np.maximum(1, np.sqrt(count))[:, None] * 0.5
-    x[:, :PATH_DIM] = [_path(p) for _, p, _ in page]
+    x[:, :PATH_DIM] = [p.vector for _, p, _ in page]
     size = np.array([len(t) for t, _, _ in page])
     x[:, -6] = np.log1p(count) - 2
     x[:, -5] = np.array([k for _, _, k in page]) / np.maximum(1, size)
     x[:, -4] = [sum(t.count(c) for c in ".,;!?") / max(1, k) * 4 for (t, _, _), k in zip(page, count)]
     x[:, -3] = np.arange(n) / n
     x[:, -2] = [t.rstrip()[-1:] in ".!?:" for t, _, _ in page]
-    x[:, -1] = [p.count("/") / 4 for _, p, _ in page]
+    x[:, -1] = [min(p.depth, 16) / 8 for _, p, _ in page]
     return x
 
 
@@ -246,7 +332,7 @@ class BlockLSTM:
             g["b"][i] = flat.sum(axis=0)
         return loss, g
 
-    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, batch: int = 32, rate: float = 0.02, seed: int = 1) -> BlockLSTM:
+    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], steps: int = 200, batch: int = 32, rate: float = 0.02, seed: int = 1) -> BlockLSTM:
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
@@ -262,13 +348,14 @@ class BlockLSTM:
         return self
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Whether each block is content, by page. Pages of like length go together."""
+        """Whether each block is content, by page. Pages of like length go together, of at most _CELLS places with the padding, unless one page alone has more."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
-        for lo in range(0, len(order), 256):
-            own = [i for i in order[lo : lo + 256] if len(pages[i])]
-            if not own:
-                continue
+        order = [i for i in sorted(range(len(pages)), key=lambda i: len(pages[i])) if len(pages[i])]
+        while order:
+            n = 1
+            while n < len(order) and (n + 1) * len(pages[order[n]]) <= _CELLS:
+                n += 1
+            own, order = order[:n], order[n:]
             x, live, _ = padded([(pages[i], np.zeros(len(pages[i]))) for i in own])
             y = self.forward(x, live)
             for j, i in enumerate(own):
@@ -276,6 +363,10 @@ class BlockLSTM:
         return out
 
 
+#: Places, blocks times pages, that go through the network at a time.
+_CELLS = 1 << 15
+
+
 def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     t_n = max(len(x) for x, _ in pages)
     x = np.zeros((t_n, len(pages), pages[0][0].shape[1]), np.float32)
@@ -319,6 +410,11 @@ def generated_pages(n: int = 240, seed: int = 23) -> list[str]:
         body = pick(f"&copy; {word()}.example.com &middot; {sentence()}", f"Copyright 20{r.integers(10, 30)} {word()}. All rights reserved.", f"<p>{sentence()}</p>")
         return f"<footer>{body}</footer>" if r.integers(0, 2) else f'<div class="{pick("footer", "foot", "legal")}">{body}</div>'
 
+    def deep(x: str) -> str:
+        for _ in range(r.integers(0, 6) if r.integers(0, 3) == 0 else r.integers(0, 2)):
+            x = f"<div{pick('', '', ' class=\"wrap\"', ' class=\"row\"', ' id=\"inner\"', ' class=\"col-8\"')}>{x}</div>"
+        return x
+
     def article() -> str:
         mark = "\ue000"
         open_, close = [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main"><div class="post">', "</div></div>"), ('<section class="story">', "</section>"), ("<div>", "</div>")][r.integers(0, 6)]
@@ -344,18 +440,20 @@ def generated_pages(n: int = 240, seed: int = 23) -> list[str]:
                 out.append(ad())
             else:
                 out.append(f"<p>{text}</p>")
-        return "".join(out) + close
+        return out[0] + deep("".join(out[1:])) + close
 
     pages = []
     for i in range(n):
         parts = [x() for x in (nav, ad, nav, ad) if r.integers(0, 3)][: r.integers(0, 4)] + [article()] + [x() for x in (ad, side, nav) if r.integers(0, 3) == 0]
         if r.integers(0, 6):
             parts.append(foot())
-        pages.append(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{sentence()}</title><style>p{{margin:0}}</style><script>var t="</p>";track({i});</script></head><body>{"".join(parts)}</body></html>')
+        parts = [deep(x) for x in parts]
+        whole = deep("".join(parts))
+        pages.append(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{sentence()}</title><style>p{{margin:0}}</style><script>var t="</p>";track({i});</script></head><body>{whole}</body></html>')
     return pages
 
 
-def labelled(page: str) -> tuple[list[tuple[str, str, int]], np.ndarray]:
+def labelled(page: str) -> tuple[list[tuple[str, Node, int]], np.ndarray]:
     b = blocks(page)
     return [(t.replace("\ue000", "").strip() or "-", p, k) for t, p, k in b], np.array([float("\ue000" in t) for t, _, _ in b])
 
@@ -376,16 +474,20 @@ def extract(docs: DataFrame, model: BlockLSTM, id_col: str = "page_id", url_col:
     comments and the head are no blocks. Broken markup is read as far as its
     tags can be told; text without any tag is one block.
 
-    A null or empty page has no blocks, empty labels and an empty text. Null ids
-    and urls are kept, repeated rows each give a row; a block with log-odds of
-    exactly 0 is boilerplate. An empty table gives an empty result. Other
-    columns are ignored.
+    A null or empty page has no blocks, empty labels and an empty text. Pages of
+    any length are read whole, in linear time, with all their tags and classes;
+    a batch is split by what the network holds at a time. Null ids and urls are
+    kept, repeated rows each give a row; a block with log-odds of exactly 0 is
+    boilerplate. An empty table gives an empty result. Other columns are
+    ignored, whatever their names. Ids have to be of whole numbers, else a
+    TypeError.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            _, off = utf8(b.column(2))
+            for lo, hi in spans(off, 4 << 20):
+                part = b.slice(lo, hi - lo)
                 own = [blocks(x or "") for x in part.column(2).to_pylist()]
                 flags = model.label([block_vectors(x) for x in own])
                 yield pa.RecordBatch.from_arrays(
@@ -401,4 +503,4 @@ def extract(docs: DataFrame, model: BlockLSTM, id_col: str = "page_id", url_col:
                 )
 
     d = only(docs, page_id=id_col, url=url_col, html=html_col)
-    return d.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _OUT)
+    return d.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _OUT)
