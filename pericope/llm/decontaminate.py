@@ -4,8 +4,9 @@ A shingle is a run of `n` words of the lower-cased text (all words of an item
 with fewer). A document holds an item if, in some window as long as the item,
 at least ceil(threshold * S) of the item's S distinct shingles occur.
 
-1. One scan of the documents keeps the shingles whose fingerprint is in a
-   fixed-size Bloom filter of the items' shingles: few rows, with their text.
+1. One scan of the documents keeps the shingles whose fingerprint is in a Bloom
+   filter of the items' shingles, of 32 bits for each up to a bound: few rows,
+   with their text.
 2. Each item's shingles are ordered by how often they occur in the corpus. Any
    window with `need` of S shingles holds one of the rarest S - need + 1: only
    this prefix is joined with the documents' shingles.
@@ -14,8 +15,8 @@ at least ceil(threshold * S) of the item's S distinct shingles occur.
 4. Exact containment, on the shingles' text, over the item-sized windows that
    begin at a matched shingle; a best window can always be moved to such a one.
 
-Nothing is broadcast by hand: the joins are plain joins on the shingle text,
-and the filter has the same size for any number of items.
+Nothing is broadcast by hand but the filter, of 64 MB at most: the joins are
+plain joins. Only documents with a candidate go on to the exact step.
 """
 
 from __future__ import annotations
@@ -28,15 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import CHUNK, cut, ngrams, only, spans, utf8, without, words
+from pericope.llm.shared import CHUNK, cut, ngrams, only, pieces, spans, utf8, without, words
 
 N, THRESHOLD = 5, 0.8
-_BITS = 23
-_MASK = np.uint64((1 << _BITS) - 1)
+#: Logarithms of how many bits the filter has: enough for few items; for more than 16 million shingles it stays as it is and lets more through, which costs rows but no result.
+_LEAST_BITS, _MOST_BITS = 20, 29
 
 
-def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & _MASK).astype(np.int64), ((h >> np.uint64(_BITS)) & _MASK).astype(np.int64)
+def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64((1 << bits) - 1)
+    return (h & mask).astype(np.int64), ((h >> np.uint64(bits)) & mask).astype(np.int64)
+
+
+def _passes(known: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Which fingerprints the filter, packed in bytes, lets through."""
+    p, q = _probes(h, bits)
+    return (known[p >> 3] >> (p & 7) & known[q >> 3] >> (q & 7) & 1).astype(bool)
 
 
 def _item_shingles(n: int):
@@ -68,34 +76,38 @@ def _item_shingles(n: int):
     return run
 
 
-def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << _BITS, bool)
-    for b in batches:
-        for p in _probes(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)):
-            bits[p] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+def _bitmap(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((1 << bits) // 8, np.uint8)
+        for b in batches:
+            for p in _probes(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits):
+                np.bitwise_or.at(out, p >> 3, (1 << (p & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
+
+    return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = np.zeros((1 << _BITS) // 8, np.uint8)
+    out = None
     for b in batches:
-        for x in b.column(0).to_pylist():
-            out |= np.frombuffer(x, np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
+        for x in b.column(0):
+            own = np.frombuffer(x.as_py(), np.uint8)
+            out = own.copy() if out is None else np.bitwise_or(out, own, out=out)
+    if out is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
 
 
 _HITS = "doc_id long, text_key long, size int, spots int, pos int, shingle string"
 
 
-def _doc_hits(bits: bytes, sizes: list[int]):
+def _doc_hits(known: bytes, bits: int, sizes: list[int]):
     """The shingles of the documents that pass the filter. text_key tells rows with one id and several texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-        for b in batches:
+        table = np.frombuffer(known, np.uint8)
+        for b in pieces(batches, 1):
             data, off = utf8(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            parts: list[list] = [[] for _ in range(6)]
             for lo, hi in spans(off, CHUNK):
                 o = off[lo : hi + 1] - off[lo]
                 text = data[off[lo] : off[hi]]
@@ -104,22 +116,19 @@ def _doc_hits(bits: bytes, sizes: list[int]):
                 total = np.zeros(len(h) + 1, np.uint64)
                 np.cumsum(h * (np.arange(len(h), dtype=np.uint64) - first[row].astype(np.uint64) + np.uint64(1)), out=total[1:])
                 key = (total[first[1:]] - total[first[:-1]]).view(np.int64)
+                raw = text.tobytes()
                 for k in sizes:
                     at, g = ngrams(row, h, k)
-                    p, q = _probes(g)
-                    hit = at[known[p] & known[q]]
-                    for i in hit.tolist():
-                        r = int(row[i])
-                        parts[0].append(int(ids[lo + r]))
-                        parts[1].append(int(key[r]))
-                        parts[2].append(k)
-                        parts[3].append(int(first[r + 1] - first[r]) - k + 1)
-                        parts[4].append(i - int(first[r]))
-                        parts[5].append(" ".join(text[start[j] : end[j]].tobytes().decode("utf-8", "replace") for j in range(i, i + k)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(parts, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()))],
-                ["doc_id", "text_key", "size", "spots", "pos", "shingle"],
-            )
+                    hit = at[_passes(table, g, bits)]
+                    if not len(hit):
+                        continue
+                    r = row[hit]
+                    a, z = (x[hit[:, None] + np.arange(k)].tolist() for x in (start, end))
+                    shingle = [" ".join([raw[i:j].decode("utf-8", "replace") for i, j in zip(x, y)]) for x, y in zip(a, z)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[lo + r], pa.int64()), pa.array(key[r]), pa.array(np.full(len(r), k), pa.int32()), pa.array(first[r + 1] - first[r] - k + 1, pa.int32()), pa.array(hit - first[r], pa.int32()), pa.array(shingle, pa.string())],
+                        ["doc_id", "text_key", "size", "spots", "pos", "shingle"],
+                    )
 
     return run
 
@@ -133,20 +142,22 @@ def contained(
     window, shingles their number, containment the quotient, rounded to 6 places.
 
     Null or empty texts, and texts without a word, hold nothing and are held
-    nowhere. Rows with a null id can't be named and give no result; ids are
-    whole numbers. Repeated rows count once; rows with one id and different
+    nowhere; texts of any length are read whole. Rows with a null id can't be
+    named and give no result; ids have to be of whole numbers, else a TypeError.
+    Of equally good windows it doesn't matter which is taken. Repeated rows count once; rows with one id and different
     texts are looked at separately and give the best of them. Items with equal
     texts are each found. Other columns are ignored. Either table may be empty.
     """
-    d = only(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
-    it = only(items, item_id=item_id, text=item_text).where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.lower("text").alias("text"))
+    d = only(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null").select("doc_id", F.lower("text").alias("text"))
+    it = only(items, item_id=item_id, text=item_text).where("item_id is not null and text is not null").select("item_id", F.lower("text").alias("text"))
     # an id that several texts share stands for each of them: a copy number tells them apart
     it = it.distinct().withColumn("v", F.row_number().over(W.partitionBy("item_id").orderBy("text")))
     named = it.select(F.struct("item_id", "v").alias("k"), "text").withColumn("n", F.xxhash64("k"))
     s = cut(named.select("n", "text").mapInArrow(_item_shingles(n), "item_id long, size int, spots int, h long, shingle string"))
-    bits = s.select("h").mapInArrow(_bitmap, "bits binary").coalesce(1).mapInArrow(_merge, "bits binary").collect()
-    sizes = sorted(r["size"] for r in s.select("size").distinct().collect())
-    hits = cut(d.mapInArrow(_doc_hits(bytes(bits[0]["bits"]) if bits else bytes((1 << _BITS) // 8), sizes), _HITS))
+    sizes = {r["size"]: r["count"] for r in s.groupBy("size").count().collect()}  # n sizes at most
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (32 * sum(sizes.values())).bit_length()))
+    known = s.select("h").mapInArrow(_bitmap(bits), "bits binary").coalesce(1).mapInArrow(_merge, "bits binary").collect()
+    hits = cut(d.mapInArrow(_doc_hits(bytes(known[0]["bits"]) if known else bytes((1 << bits) // 8), bits, sorted(sizes)), _HITS))
 
     seen = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("freq"))
     by = W.partitionBy("item_id")
@@ -160,11 +171,13 @@ def contained(
     prefix = ranked.where("rank <= total - need + 1")
     found = hits.join(prefix, ["shingle", "size"]).where("spots >= need and least(pos + width, spots) - greatest(pos - width + 1, 0) >= need")
     candidates = found.select("doc_id", "text_key", "item_id").distinct()
+    # first the hits of documents with a candidate, then only shingles of the candidate item
     m = (
-        hits.join(ranked.drop("rank"), ["shingle", "size"])
-        .join(candidates, ["doc_id", "text_key", "item_id"], "left_semi")
+        hits.join(candidates, ["doc_id", "text_key"])
+        .join(ranked.drop("rank"), ["item_id", "shingle", "size"])
         .select("doc_id", "text_key", "item_id", "pos", "shingle", "width", "total", "need", F.expr("pos div width").alias("cell"))
     )
+    m = cut(m)
     # a window from `pos` lies in the cell of pos and the next one
     at = m.select("doc_id", "text_key", "item_id", F.col("pos").alias("from"), "width", "total", "need", F.explode(F.array("cell", F.col("cell") + 1)).alias("cell")).distinct()
     inside = at.join(m.select("doc_id", "text_key", "item_id", "cell", "pos", "shingle"), ["doc_id", "text_key", "item_id", "cell"]).where("pos >= `from` and pos < `from` + width")
@@ -183,7 +196,14 @@ def contained(
 
 
 def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, all columns, that hold no item. Rows with a null id or text stay, as nothing is found in them."""
+    """The rows of docs, all columns, that hold no item.
+
+    Rows with a null id or a null or empty text stay, as nothing is found in
+    them. Texts of any length are read whole. Rows are told apart by their id
+    alone: repeated rows, and rows of one id with several texts, go together as
+    soon as one of them holds an item. Empty tables are allowed: without items
+    all rows stay. Other columns keep their names and values.
+    """
     return without(docs, contained(docs, items, id_col=id_col, **options).select("doc_id"), id_col)
 
 

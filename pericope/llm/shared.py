@@ -8,9 +8,11 @@ document decides how much memory a Python worker needs beyond that text itself.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -140,6 +142,38 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+# --------------------------------------------------------------------------
+# memory of Python workers
+
+#: Bytes of a text column that one piece of a batch has, unless one text is longer.
+PIECE = 4 << 20
+_tidied = [0.0]
+
+
+def tidy() -> None:
+    """Gives memory that is free back to the system, at most once a second: Spark keeps workers for other stages, beside which it would stay taken."""
+    if time.monotonic() - _tidied[0] < 1:
+        return
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not with every C library
+        pass
+    _tidied[0] = time.monotonic()
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batches, in slices of about `most` bytes of a text or binary column, so that what is made of a batch needs little memory beside it."""
+    for b in batches:
+        if not b.num_rows:
+            yield b
+            continue
+        _, off = utf8(b.column(column))
+        for lo, hi in spans(off, most):
+            yield b.slice(lo, hi - lo)
+        tidy()
+
+
 # --------------------------------------------------------------------------
 # Arrow strings as bytes
 
