@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import cut, mix, only, sample, spans, utf8, words
+from pericope.llm.shared import cut, mix, only, pieces, release, sample, spans, utf8, words
 
 #: Labelled documents that the classifier is fitted on, at most: those whose id has the smallest hash.
 FIT_ROWS = 8000
@@ -90,18 +90,13 @@ class Classifier:
         return np.bincount(row, self.words[bucket], len(offsets) - 1) + ((dense - self.mean) / self.scale) @ self.dense + self.bias
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 80, rate: float = 0.1, decay: float = 1e-4, least: int = 8, score: float = 4.0) -> Classifier:
-        """rows: (buckets, dense) by document. Only buckets of `least` documents or more get a weight, and of those the ones whose share of good documents is off by `score` standard deviations or more."""
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 80, rate: float = 0.1, decay: float = 1e-4) -> Classifier:
+        """rows: (buckets, dense) by document, of the buckets that telling() keeps."""
         if not len(y):
             return cls(np.zeros(BUCKETS), np.zeros(_DENSE), 0.0, np.zeros(_DENSE), np.ones(_DENSE))
         n = len(y)
         at = np.repeat(np.arange(n), [len(b) for b, _ in rows])
         bucket = np.concatenate([b for b, _ in rows])
-        share = min(max(y.mean(), 1 / (n + 2)), 1 - 1 / (n + 2))
-        count, good = np.bincount(bucket, minlength=BUCKETS), np.bincount(bucket, y[at], BUCKETS)
-        off = np.abs(good - count * share) / np.sqrt(np.maximum(count, 1) * share * (1 - share))
-        keep = ((count >= least) & (off >= score))[bucket]
-        at, bucket = at[keep], bucket[keep]
         d = np.stack([x for _, x in rows])
         mean, scale = d.mean(axis=0), d.std(axis=0) + 1e-6
         d = (d - mean) / scale
@@ -122,31 +117,62 @@ class Classifier:
         return cls(p[0], p[1], float(p[2]) + float(np.log(rate_good / (1 - rate_good))), mean, scale)
 
 
+def telling(count: np.ndarray, good: np.ndarray, n: int, n_good: int, least: int = 8, score: float = 4.0) -> np.ndarray:
+    """Which buckets get a weight: those of `least` documents or more whose share of good documents is off by `score` standard deviations or more."""
+    share = min(max(n_good / max(n, 1), 1 / (n + 2)), 1 - 1 / (n + 2))
+    off = np.abs(good - count * share) / np.sqrt(np.maximum(count, 1) * share * (1 - share))
+    return (count >= least) & (off >= score)
+
+
 def _labels(labels: DataFrame, id_col: str) -> DataFrame:
     """(doc_id, good): one row per labelled id. good is 1 for quality 1 that isn't toxic; a null toxic counts as 0, a null quality is no label; of contradicting rows the worst counts."""
     lab = only(labels, doc_id=id_col, quality="quality", toxic="toxic").where("doc_id is not null and quality is not null")
-    return lab.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.expr("int(quality = 1 and coalesce(toxic, 0) = 0)")).alias("good"))
+    return lab.groupBy("doc_id").agg(F.min(F.expr("int(quality = 1 and coalesce(toxic, 0) = 0)")).alias("good"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Classifier:
-    """Fits the classifier on at most fit_rows labelled documents. With no such document, or of one kind only, it knows the prior alone."""
+    """Fits the classifier on at most fit_rows labelled documents, those whose id has the smallest hash. With no such document, or of one kind only, it knows the prior alone.
+
+    Rows with a null id or text are passed over, an empty text has no words;
+    repeated rows each count. The driver gets the telling words of each document
+    only, however long it is.
+    """
     lab = sample(_labels(labels, id_col), F.xxhash64("doc_id"), fit_rows)
-    d = only(docs, doc_id=id_col, text=text_col).where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = only(docs, doc_id=id_col, text=text_col).where("text is not null")
     d = d.join(F.broadcast(lab), "doc_id").select("text", "good")  # fit_rows rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 0):
             data, off = utf8(b.column(0))
-            buckets, dense = [], []
             for lo, hi in spans(off):
                 o = off[lo : hi + 1]
                 row, bucket, x = vectors(data[o[0] : o[-1]], o - o[0])
                 edge = np.searchsorted(row, np.arange(hi - lo + 1))
-                buckets += [bucket[edge[i] : edge[i + 1]].astype(np.uint16).tobytes() for i in range(hi - lo)]
-                dense += [r.tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.binary()), pa.array(dense, pa.binary()), b.column(1)], ["b", "d", "good"])
+                buckets = [bucket[edge[i] : edge[i + 1]].astype(np.uint16).tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.binary()), pa.array([r.tobytes() for r in x], pa.binary()), b.column(1).slice(lo, hi - lo)], ["b", "d", "good"])
 
-    got = sorted((bytes(r["b"]), bytes(r["d"]), r["good"]) for r in d.mapInArrow(run, "b binary, d binary, good int").collect())
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, BUCKETS), np.int64)
+        for b in batches:
+            for x, y in zip(b.column(0), b.column(1)):
+                n[:, np.frombuffer(x.as_py(), np.uint16)] += [[1], [y.as_py()]]
+        at = np.flatnonzero(n[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[0, at]), pa.array(n[1, at])], ["bucket", "n", "good"])
+
+    fitted = cut(d.mapInArrow(run, "b binary, d binary, good int"))
+    total = fitted.agg(F.count(F.lit(1)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    n = np.zeros((2, BUCKETS), np.int64)
+    for r in fitted.select("b", "good").mapInArrow(count, "bucket int, n long, good long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).collect():  # BUCKETS rows at most
+        n[:, r["bucket"]] = r["n"], r["good"]
+    keep = telling(n[0], n[1], *total)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(x.as_py(), np.uint16) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[keep[x]].tobytes() for x in own], pa.binary()), b.column(1), b.column(2)], ["b", "d", "good"])
+
+    got = sorted((bytes(r["b"]), bytes(r["d"]), r["good"]) for r in fitted.mapInArrow(kept, "b binary, d binary, good int").collect())
+    release(fitted)
     rows = [(np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(x, np.float64)) for b, x, _ in got]
     return Classifier.fit(rows, np.array([y for _, _, y in got], np.float64))
 
@@ -162,7 +188,12 @@ def _strength(n: Column, rate: Column, centre: Column) -> Column:
 
 
 def rates(scored: DataFrame) -> DataFrame:
-    """(host, path, n, host_rate, path_rate) from rows of (host, path, value), value being a label or a probability of good."""
+    """(host, path, n, host_rate, path_rate) from rows of (host, path, value), value being a label or a probability of good.
+
+    Null hosts and paths are groups of their own; values must not be null.
+    Repeated rows each count; a host may hold any share of the rows, as counts
+    are combined before they are shuffled. Without rows the result is empty.
+    """
     by_path = scored.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("k"))
     by_host = by_path.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
     whole = by_host.agg(F.sum("hn").alias("gn"), F.sum("hk").alias("gk")).select(((F.col("gk") + 0.5) / (F.col("gn") + 1)).alias("g"))
@@ -189,14 +220,16 @@ def score(
     path; for pages use the columns that site() makes.
 
     A null or empty text has evidence 0, that is none, so its site alone
-    decides. Null hosts and paths are a host and a path of their own. Null ids
+    decides; texts of any length are read whole. A posterior of exactly the
+    threshold is kept. Null hosts and paths are a host and a path of their own. Null ids
     are kept and have no label; repeated rows each give a row and each count.
     Figures are rounded to 6 places. An empty table gives an empty result.
-    Other columns are ignored.
+    Other columns are ignored, whatever their names. Ids have to be of whole
+    numbers, else a TypeError.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 3):
             data, off = utf8(b.column(3))
             e = np.zeros(b.num_rows)
             for lo, hi in spans(off):
@@ -206,7 +239,7 @@ def score(
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.clip(e, -30, 30))], ["doc_id", "host", "path", "evidence"])
 
     d = only(docs, doc_id=id_col, host=host_col, path=path_col, text=text_col)
-    d = d.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("host").cast("string").alias("host"), F.col("path").cast("string").alias("path"), "text")
+    d = d.select("doc_id", F.col("host").cast("string").alias("host"), F.col("path").cast("string").alias("path"), "text")
     slim = d.mapInArrow(run, "doc_id long, host string, path string, evidence double")
     slim = cut(slim.join(_labels(labels, id_col), "doc_id", "left"))
     prob = 1 / (1 + F.exp(-F.col("evidence")))
