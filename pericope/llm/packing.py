@@ -33,10 +33,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, shar
     (shard, class, bin) names a bin and slot a place in it. Only a shard's last
     bin of a class can be short.
 
-    Null and empty texts have no tokens and give no row. A null doc_id is
-    packed, in shard 0, and stays null. Repeated rows are packed each; equal
-    ids tie by length and are then interchangeable. An empty table gives an
-    empty result. Other columns are ignored.
+    Null and empty texts have no tokens and give no row. A null doc_id stays
+    null; such rows are dealt out to the shards by length and piece. Repeated rows are packed each; equal
+    ids tie by length and are then interchangeable. Texts of any length are
+    packed whole. An empty table gives an empty result. Other columns are
+    ignored, whatever their names. Ids have to be of whole numbers, else a
+    TypeError.
     """
     d = only(docs, doc_id=id_col, text=text_col).select("doc_id", F.octet_length("text").cast("long").alias("n")).where("n > 0")
     n_shards = shards(only(docs, doc_id=id_col).count(), shard_rows)
@@ -49,7 +51,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, shar
     ).withColumns(
         {
             "class": F.least(F.lit(classes).cast("long"), F.expr(f"{capacity}L div length")),
-            "shard": F.coalesce(F.pmod(F.col("doc_id"), F.lit(n_shards)), F.lit(0)).cast("long"),
+            "shard": F.pmod(F.coalesce("doc_id", F.col("length") + F.col("piece")), F.lit(n_shards)).cast("long"),
         }
     )
     rank = F.row_number().over(W.partitionBy("shard", "class").orderBy("doc_id", "piece", "length")).cast("long") - 1
@@ -64,7 +66,7 @@ WITH d AS (SELECT doc_id, strlen(text) AS n FROM {table} WHERE strlen(text) > 0)
 s AS (SELECT greatest(1, (count(*) + {shard_rows - 1}) // {shard_rows}) AS n_shards FROM {table}),
 p AS (SELECT doc_id, n, unnest(range(0, (n - 1) // {capacity} + 1)) AS piece FROM d),
 q AS (SELECT doc_id, piece, piece * {capacity} AS start, least({capacity}, n - piece * {capacity}) AS length FROM p),
-r AS (SELECT doc_id, piece, start, length, least({classes}, {capacity} // length) AS class, coalesce(doc_id % n_shards, 0) AS shard FROM q, s),
+r AS (SELECT doc_id, piece, start, length, least({classes}, {capacity} // length) AS class, coalesce(doc_id, length + piece) % n_shards AS shard FROM q, s),
 t AS (SELECT *, row_number() OVER (PARTITION BY shard, class ORDER BY doc_id NULLS FIRST, piece, length) - 1 AS rank FROM r)
 SELECT doc_id, CAST(piece AS INTEGER) AS piece, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(class AS BIGINT) AS class,
   CAST(shard AS BIGINT) AS shard, CAST(rank // class AS BIGINT) AS bin, CAST(rank % class AS BIGINT) AS slot FROM t"""
