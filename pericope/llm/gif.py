@@ -1,8 +1,9 @@
 """GIF media columns: decodes LZW streams, palettes, disposal and transparency into timed frames.
 
-decode() turns a binary column into one row per file with its frames, each with
-the time at which it is shown, how long, what it covers and a colour histogram
-of the whole canvas as shown.
+decode() turns a binary column into one row per frame, with the time at which it
+is shown, how long, what it covers, and a colour histogram of the whole canvas
+as shown. A large canvas comes in bands of rows, each a row of the table, so that
+no file needs more memory than a band and its own bytes.
 """
 
 from __future__ import annotations
@@ -18,20 +19,20 @@ from pericope.llm.shared import only
 
 #: Of each of red, green and blue: how many bins a histogram has.
 BINS = 4
-#: A canvas of more pixels is not decoded but reported.
-MOST_PIXELS = 1 << 26
+#: A canvas of more pixels comes in bands of about so many.
+BAND_PIXELS = 1 << 22
 
 
 class BadGif(ValueError):
     pass
 
 
-def lzw_decode(data: bytes, root: int, want: int) -> np.ndarray:
-    """The first `want` colour indices of a code stream whose codes begin root + 1 bits wide; fewer if it ends or breaks before."""
+def lzw_chunks(data: bytes, root: int, want: int, size: int = 1 << 20) -> Iterator[bytes]:
+    """The first `want` colour indices of a code stream whose codes begin root + 1 bits wide, about `size` at a time; fewer if it ends or breaks before."""
     clear, stop = 1 << root, (1 << root) + 1
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
     table, width, mask = list(base), root + 1, (1 << (root + 1)) - 1
-    out, n = [], 0
+    out, n, given = [], 0, 0
     bits = have = 0
     last: bytes | None = None
     for byte in data:
@@ -44,11 +45,13 @@ def lzw_decode(data: bytes, root: int, want: int) -> np.ndarray:
             if code == clear:
                 table, width, mask, last = list(base), root + 1, (1 << (root + 1)) - 1, None
                 continue
-            if code == stop or n >= want:
-                return np.frombuffer(b"".join(out)[:want], np.uint8)
+            if code == stop or given + n >= want:
+                have = -1
+                break
             if last is None:
                 if code >= clear:
-                    return np.frombuffer(b"".join(out)[:want], np.uint8)
+                    have = -1
+                    break
                 word = table[code]
             else:
                 if code < len(table):
@@ -56,7 +59,8 @@ def lzw_decode(data: bytes, root: int, want: int) -> np.ndarray:
                 elif code == len(table) and code < 4096:
                     word = last + last[:1]
                 else:
-                    return np.frombuffer(b"".join(out)[:want], np.uint8)
+                    have = -1
+                    break
                 if len(table) < 4096:
                     table.append(last + word[:1])
                     if len(table) > mask and width < 12:
@@ -65,7 +69,18 @@ def lzw_decode(data: bytes, root: int, want: int) -> np.ndarray:
             out.append(word)
             n += len(word)
             last = word
-    return np.frombuffer(b"".join(out)[:want], np.uint8)
+        if have < 0:
+            break
+        if n >= size:
+            yield b"".join(out)[: want - given]
+            out, n, given = [], 0, given + n
+    if n and given < want:
+        yield b"".join(out)[: want - given]
+
+
+def lzw_decode(data: bytes, root: int, want: int) -> np.ndarray:
+    """lzw_chunks() in one array."""
+    return np.frombuffer(b"".join(lzw_chunks(data, root, want)), np.uint8)
 
 
 def lzw_encode(pixels: bytes, root: int) -> bytes:
@@ -143,8 +158,8 @@ class _Reader:
             out.append(self.take(n))
 
 
-def read(data: bytes) -> dict:
-    """width, height, loops (null: plays once), frames: each with left, top, width, height, delay_ms, disposal, interlaced, transparent, complete and canvas, an (height, width, 4) array as shown.
+def parse(data: bytes) -> dict:
+    """What a file says, without its pixels: width, height, loops (null: plays once), error, and frames, each with left, top, width, height, start_ms, delay_ms, disposal, interlaced, transparent, colours, root and codes.
 
     Raises BadGif if there is no readable header. What comes before a fault
     further on is kept, and error says what the fault was.
@@ -154,12 +169,9 @@ def read(data: bytes) -> dict:
         raise BadGif("no GIF header")
     width, height = r.word(), r.word()
     flags, _background, _ = r.take(3)
-    if width * height > MOST_PIXELS:
-        raise BadGif("canvas too large")
     palette = np.frombuffer(r.take(3 << ((flags & 7) + 1)), np.uint8).reshape(-1, 3) if flags & 128 else None
     out = {"width": width, "height": height, "loops": None, "frames": [], "error": None}
-    canvas = np.zeros((height, width, 4), np.uint8)
-    delay, disposal, transparent = 0, 0, None
+    delay, disposal, transparent, at = 0, 0, None, 0
     try:
         while True:
             kind = r.take(1)
@@ -167,60 +179,70 @@ def read(data: bytes) -> dict:
                 break
             if kind == b"!":
                 label = r.take(1)[0]
-                if label == 0xF9:
-                    body = r.blocks()
-                    if len(body) >= 4:
-                        disposal = body[0] >> 2 & 7
-                        delay = int.from_bytes(body[1:3], "little") * 10
-                        transparent = body[3] if body[0] & 1 else None
-                else:
-                    body = r.blocks()
-                    if label == 0xFF and body[:11] in (b"NETSCAPE2.0", b"ANIMEXTS1.0") and len(body) >= 14 and body[11] == 1:
-                        out["loops"] = int.from_bytes(body[12:14], "little")
+                body = r.blocks()
+                if label == 0xF9 and len(body) >= 4:
+                    disposal = body[0] >> 2 & 7
+                    delay = int.from_bytes(body[1:3], "little") * 10
+                    transparent = body[3] if body[0] & 1 else None
+                elif label == 0xFF and body[:11] in (b"NETSCAPE2.0", b"ANIMEXTS1.0") and len(body) >= 14 and body[11] == 1:
+                    out["loops"] = int.from_bytes(body[12:14], "little")
                 continue
             if kind != b",":
                 raise BadGif(f"unknown block {kind[0]}")
             left, top, w, h = r.word(), r.word(), r.word(), r.word()
-            if w * h > MOST_PIXELS:
-                raise BadGif("frame too large")
             own = r.take(1)[0]
             colours = np.frombuffer(r.take(3 << ((own & 7) + 1)), np.uint8).reshape(-1, 3) if own & 128 else palette
             root = r.take(1)[0]
             if not 1 <= root <= 8:
                 raise BadGif("bad code size")
-            got = lzw_decode(r.blocks(), root, w * h)
             if colours is None:
                 colours = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)  # no palette at all: shades of grey
-            index = np.zeros(w * h, np.int64)
-            index[: len(got)] = got
-            drawn = np.zeros(w * h, bool)
-            drawn[: len(got)] = True
-            order = _rows(h, bool(own & 64))
-            image, mask = np.empty((h, w), np.int64), np.empty((h, w), bool)
-            image[order], mask[order] = index.reshape(h, w), drawn.reshape(h, w)
-            if transparent is not None:
-                mask &= image != transparent
-            mask &= image < len(colours)
-            # what lies outside the canvas isn't shown
-            box = np.s_[top : min(top + h, height), left : min(left + w, width)]
-            image, mask = image[: max(0, height - top), : max(0, width - left)], mask[: max(0, height - top), : max(0, width - left)]
-            before = canvas.copy() if disposal == 3 else None
-            part = canvas[box]
-            part[mask, :3] = colours[image[mask]]
-            part[mask, 3] = 255
-            out["frames"].append(
-                {"left": left, "top": top, "width": w, "height": h, "delay_ms": delay, "disposal": disposal, "interlaced": bool(own & 64), "transparent": transparent, "complete": len(got) == w * h, "canvas": canvas.copy()}
-            )
-            if disposal == 2:
-                canvas[box] = 0
-            elif disposal == 3:
-                canvas = before
+            frame = {"left": left, "top": top, "width": w, "height": h, "start_ms": at, "delay_ms": delay, "disposal": disposal, "interlaced": bool(own & 64), "transparent": transparent}
+            out["frames"].append(frame | {"colours": colours, "root": root, "codes": r.blocks()})
+            at += delay
             delay, disposal, transparent = 0, 0, None
     except BadGif as e:
         out["error"] = str(e)
     return out
 
 
+def render(g: dict, first: int = 0, rows: int | None = None) -> Iterator[tuple[np.ndarray, bool]]:
+    """(canvas, complete) of every frame of parse(): `rows` rows from the first of the canvas as shown, RGBA, in an array that the next step changes; and whether the file has all of the frame's pixels."""
+    width = g["width"]
+    rows = g["height"] - first if rows is None else rows
+    canvas = np.zeros((rows, width, 4), np.uint8)
+    for f in g["frames"]:
+        w, h, colours = f["width"], f["height"], f["colours"]
+        # what lies outside the canvas or the band isn't shown
+        box = np.s_[max(0, f["top"] - first) : max(0, min(rows, f["top"] + h - first)), f["left"] : min(f["left"] + w, width)]
+        before = canvas.copy() if f["disposal"] == 3 else None
+        order, at = _rows(h, f["interlaced"]), 0
+        for chunk in lzw_chunks(f["codes"], f["root"], w * h):
+            index = np.frombuffer(chunk, np.uint8)
+            place = np.arange(at, at + len(index))
+            y, x = order[place // w] + f["top"] - first, place % w + f["left"]
+            seen = (y >= 0) & (y < rows) & (x < width) & (index < len(colours))
+            if f["transparent"] is not None:
+                seen &= index != f["transparent"]
+            y, x = y[seen], x[seen]
+            canvas[y, x, :3] = colours[index[seen]]
+            canvas[y, x, 3] = 255
+            at += len(index)
+        yield canvas, at == w * h
+        if f["disposal"] == 2:
+            canvas[box] = 0
+        elif f["disposal"] == 3:
+            canvas = before
+
+
+def read(data: bytes) -> dict:
+    """parse() with each frame's canvas and whether it is complete; for files that fit in memory."""
+    g = parse(data)
+    for f, (canvas, complete) in zip(g["frames"], render(g)):
+        f |= {"canvas": canvas.copy(), "complete": complete}
+    return g
+
+
 def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Opaque pixels by colour, bins to each of red, green and blue, blue fastest; in the last place the transparent ones."""
     c = canvas.reshape(-1, 4)
@@ -230,55 +252,69 @@ def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
     return np.append(h, np.count_nonzero(~seen))
 
 
-_FRAME = "struct<frame:int,start_ms:long,delay_ms:int,left:int,top:int,width:int,height:int,disposal:int,interlaced:boolean,complete:boolean,histogram:array<int>,pixels:binary>"
-_OUT = f"id long, valid boolean, error string, width int, height int, loops int, n_frames int, duration_ms long, frames array<{_FRAME}>"
+_INTS = ("delay_ms", "left", "top", "width", "height", "disposal")
+_OUT = (
+    "id long, valid boolean, error string, canvas_width int, canvas_height int, loops int, n_frames int, duration_ms long, frame int, band int, first_row int, start_ms long, "
+    + ", ".join(f"{c} int" for c in _INTS)
+    + ", interlaced boolean, complete boolean, histogram array<int>, pixels binary"
+)
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+
+
+def _file_rows(key: int | None, data: bytes | None, pixels: bool, bins: int) -> Iterator[dict]:
+    row = {"id": key, "valid": False, "error": "no data", "n_frames": 0, "duration_ms": 0}
+    if not data:
+        yield row
+        return
+    try:
+        g = parse(data)
+    except BadGif as e:
+        yield row | {"error": str(e)}
+        return
+    row |= {"valid": True, "error": g["error"], "canvas_width": g["width"], "canvas_height": g["height"], "loops": g["loops"], "n_frames": len(g["frames"]), "duration_ms": sum(f["delay_ms"] for f in g["frames"])}
+    if not g["frames"]:
+        yield row
+        return
+    rows = max(1, BAND_PIXELS // max(1, g["width"]))
+    for band, first in enumerate(range(0, max(1, g["height"]), rows)):
+        for i, (f, (canvas, complete)) in enumerate(zip(g["frames"], render(g, first, min(rows, g["height"] - first)))):
+            own = {k: f[k] for k in ("start_ms", *_INTS, "interlaced")} | {"histogram": histogram(canvas, bins), "pixels": canvas.tobytes() if pixels else None}
+            yield row | {"frame": i, "band": band, "first_row": first, "complete": complete} | own
 
 
 def decode(media: DataFrame, id_col: str = "media_id", data_col: str = "data", pixels: bool = True, bins: int = BINS) -> DataFrame:
-    """One row per row of media: (id_col, valid, error, width, height, loops, n_frames, duration_ms, frames).
-
-    frames are in file order: number, start and length in milliseconds, place,
-    disposal, whether interlaced and complete, the histogram() of the canvas as
-    shown, and with `pixels` the canvas itself, RGBA by rows.
-
-    A null or empty column, and data without a GIF header, is not valid, with
-    the reason in error and no frames. A file that breaks off is valid with the
-    frames before the fault, the last perhaps not complete, and an error. Null
-    ids are kept; repeated rows each give a row; frames of length 0 share their
-    start. Very long files are decoded whole, but a canvas of
-    more than MOST_PIXELS pixels isn't decoded (valid false, no frames), and a
-    larger frame ends the file. An empty table gives an empty
-    result. Other columns are ignored.
+    """One row per frame of every row of media, in file order: (id_col, valid, error, canvas_width, canvas_height, loops, n_frames, duration_ms, frame, band, first_row, start_ms, delay_ms, left, top, width, height, disposal, interlaced, complete, histogram, pixels).
+
+    start_ms and delay_ms are when and how long the frame is shown; left to
+    height its place; histogram is histogram() of the canvas as shown, and with
+    `pixels` the canvas itself, RGBA by rows. A canvas of more than BAND_PIXELS
+    pixels comes in bands: rows of one frame with a number each, from first_row
+    of the canvas on, whose histograms add up.
+
+    A null or empty column, data without a GIF header, and a file without a
+    frame give one row with a null frame: the first two aren't valid, with the
+    reason in error. A file that breaks off is valid with the frames before the
+    fault, the last perhaps not complete, and an error. Null ids are kept;
+    repeated rows each give their rows; frames of length 0 share their start.
+    Files of any length and canvases of any size are decoded whole. An empty
+    table gives an empty result. Other columns are ignored, whatever their
+    names. Ids have to be of whole numbers, else a TypeError.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 64):
-                b = whole.slice(lo, 64)
-                rows = []
-                for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    row = {"id": key, "valid": False, "error": "no data", "width": None, "height": None, "loops": None, "n_frames": 0, "duration_ms": 0, "frames": []}
-                    if data:
-                        try:
-                            g = read(data)
-                            at, frames = 0, []
-                            for i, f in enumerate(g["frames"]):
-                                c = f["canvas"]
-                                frames.append({"frame": i, "start_ms": at} | {k: f[k] for k in ("delay_ms", "left", "top", "width", "height", "disposal", "interlaced", "complete")} | {"histogram": histogram(c, bins), "pixels": c.tobytes() if pixels else None})
-                                at += f["delay_ms"]
-                            row |= {"valid": True, "error": g["error"], "width": g["width"], "height": g["height"], "loops": g["loops"], "n_frames": len(frames), "duration_ms": at, "frames": frames}
-                        except BadGif as e:
-                            row["error"] = str(e)
+        schema = pa.schema([(n, _TYPES[k]) for n, k in (x.strip().split(" ") for x in _OUT.split(", "))])
+        rows, held = [], 0
+        for b in batches:
+            for key, data in zip(b.column(0), b.column(1)):
+                for row in _file_rows(key.as_py(), data.as_py(), pixels, bins):
                     rows.append(row)
-                if schema is None:
-                    frame = pa.struct(
-                        [("frame", pa.int32()), ("start_ms", pa.int64()), *((k, pa.int32()) for k in ("delay_ms", "left", "top", "width", "height", "disposal")), ("interlaced", pa.bool_()), ("complete", pa.bool_()), ("histogram", pa.list_(pa.int32())), ("pixels", pa.binary())]
-                    )
-                    schema = pa.schema([("id", pa.int64()), ("valid", pa.bool_()), ("error", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("loops", pa.int32()), ("n_frames", pa.int32()), ("duration_ms", pa.int64()), ("frames", pa.list_(frame))])
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    d = only(media, id=id_col, data=data_col).select(F.col("id").cast("long"), F.col("data").cast("binary"))
+                    held += len(row.get("pixels") or b"")
+                    if len(rows) >= 1024 or held > 4 * BAND_PIXELS:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, held = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+    d = only(media, id=id_col, data=data_col).select("id", F.col("data").cast("binary"))
     return d.mapInArrow(run, _OUT).withColumnRenamed("id", id_col)
 
 
@@ -335,7 +371,7 @@ def vector_gif(key: int, vector: np.ndarray) -> bytes:
 
 
 def from_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id_col, data): vector_gif() of every row. A null vector gives null data, a null id counts as 0 for the looks."""
+    """(id_col, data): vector_gif() of every row. A null vector gives null data, a null id counts as 0 for the looks; null values within a vector as 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -343,5 +379,5 @@ def from_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             data = [None if x is None else vector_gif(i or 0, np.array([np.nan if y is None else y for y in x])) for i, x in zip(ids, v)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["id", "data"])
 
-    d = only(vectors, id=id_col, v=vector_col).select(F.col("id").cast("long"), "v")
+    d = only(vectors, id=id_col, v=vector_col)
     return d.mapInArrow(run, "id long, data binary").withColumnRenamed("id", id_col)
