@@ -13,13 +13,14 @@ import html as _html
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import only, spans, utf8, words
+from pericope.llm.shared import only, pieces, words
 
 HIDDEN, PATH_DIM, WORD_DIM = 16, 16, 12
 _BLOCK = frozenset(
@@ -458,7 +459,9 @@ def labelled(page: str) -> tuple[list[tuple[str, Node, int]], np.ndarray]:
     return [(t.replace("\ue000", "").strip() or "-", p, k) for t, p, k in b], np.array([float("\ue000" in t) for t, _, _ in b])
 
 
+@lru_cache(1)
 def train(pages: int = 240) -> BlockLSTM:
+    """The labeller of generated pages, fitted once in a process."""
     got = [labelled(p) for p in generated_pages(pages)]
     return BlockLSTM().fit([(block_vectors(b), y) for b, y in got])
 
@@ -484,23 +487,20 @@ def extract(docs: DataFrame, model: BlockLSTM, id_col: str = "page_id", url_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, off = utf8(b.column(2))
-            for lo, hi in spans(off, 4 << 20):
-                part = b.slice(lo, hi - lo)
-                own = [blocks(x or "") for x in part.column(2).to_pylist()]
-                flags = model.label([block_vectors(x) for x in own])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array([len(x) for x in own], pa.int32()),
-                        pa.array([int(f.sum()) for f in flags], pa.int32()),
-                        pa.array(["".join("BC"[int(y)] for y in f) for f in flags], pa.string()),
-                        pa.array(["\n".join(t for (t, _, _), y in zip(x, f) if y) for x, f in zip(own, flags)], pa.string()),
-                    ],
-                    ["page_id", "url", "n_blocks", "n_content", "labels", "text"],
-                )
+        for part in pieces(batches, 2):
+            own = [blocks(x or "") for x in part.column(2).to_pylist()]
+            flags = model.label([block_vectors(x) for x in own])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    part.column(1),
+                    pa.array([len(x) for x in own], pa.int32()),
+                    pa.array([int(f.sum()) for f in flags], pa.int32()),
+                    pa.array(["".join("BC"[int(y)] for y in f) for f in flags], pa.string()),
+                    pa.array(["\n".join(t for (t, _, _), y in zip(x, f) if y) for x, f in zip(own, flags)], pa.string()),
+                ],
+                ["page_id", "url", "n_blocks", "n_content", "labels", "text"],
+            )
 
     d = only(docs, page_id=id_col, url=url_col, html=html_col)
     return d.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _OUT)

@@ -224,8 +224,11 @@ def test_rules(spark):
     urls = [f"{s}://{h}{t}" for s in ("http", "https") for h in hosts for t in tails] + [None, "", "HTTPS://WWW.SPAM-FARM.example.org/en/1.html", "https://x.example.org/en/12.html?" + "q" * 100_000]
     rows = [(i, u, 1, "block") for i, u in enumerate(urls)] + [(0, urls[0], 1, ""), (None, urls[1], 2, ""), (3, None, 1, "")]
     df = spark.createDataFrame(rows, "page_id long, url string, rule_id int, action string")
-    rules = urlrules.RULES + [(90, "block", None, ["x"]), (91, "tag", "b\\.net", None)]
+    rules = urlrules.RULES + [(90, "block", None, ["x"]), (91, "tag", "b\\.net", None), (92, "tag", "^$", []), (93, "tag", "casinos?\\.", ["casino|casinos"])]
     got = {(r["page_id"], r["rule_id"], r["action"]) for r in urlrules.match_rules(df, spark.createDataFrame(rules, urlrules.SCHEMA)).collect()}
+    urlrules.MOST_RULES, most = 0, urlrules.MOST_RULES
+    assert got == {(r["page_id"], r["rule_id"], r["action"]) for r in urlrules.match_rules(df, spark.createDataFrame(rules, urlrules.SCHEMA)).collect()}
+    urlrules.MOST_RULES = most
     want = {(i, k, a) for i, u, *_ in rows for k, a, p, _ in rules if p and re.search(p, (u or "").lower())}
     assert got == want
     v = {r["page_id"]: r for r in urlrules.verdicts(df, urlrules.rules_table(spark)).collect()}
@@ -236,6 +239,24 @@ def test_rules(spark):
     assert urlrules.verdicts(df, urlrules.rules_table(spark).limit(0)).where("n_rules > 0").count() == 0
 
 
+@pytest.mark.parametrize("rule", [r for r in urlrules.RULES if r[3]], ids=lambda r: str(r[0]))
+def test_literals_are_in_every_match(rule):
+    """A wrong literal would hide matches: URLs made from the pattern itself have all of them as whole tokens."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=150, deadline=None, derandomize=True, database=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(re.compile(rule[2], re.ASCII), fullmatch=False, alphabet=st.characters(min_codepoint=33, max_codepoint=126, exclude_categories=["Lu"])))
+    def check(u):
+        if not re.search(rule[2], u):
+            return
+        tokens = re.findall("[a-z0-9]+", u)
+        for literal in rule[3]:
+            assert any(x in tokens or x == urlrules.NUMBER and any(y.isdigit() for y in tokens) for x in literal.split("|")), (u, literal)
+
+    check()
+
+
 def test_without(spark):
     """Broadcast or shuffled, with nulls, repeated ids and a clashing column."""
     from pericope.llm.shared import without

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import time
 
@@ -27,6 +28,14 @@ def slopes(params, loss_and_gradients, tolerance=1e-5, e=1e-5):
             assert abs((a - b) / (2 * e) - g[k].reshape(-1)[i]) < tolerance, k
 
 
+def larger(name):
+    """Tables of another size beside those of the tests."""
+    at = os.path.join(os.path.dirname(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")), name)
+    if not os.path.isdir(at):
+        pytest.skip(f"no {name}")
+    return at
+
+
 def double(p):
     return {k: v.astype(np.float64) for k, v in p.items()}
 
@@ -75,7 +84,7 @@ def lang_model(spark, sf):
 
 def test_language_accuracy(spark, lang_model):
     """On documents that the fit didn't see: those of a larger table."""
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    d = spark.read.parquet(f"{larger('sf0.01')}/documents.parquet")
     got = langid.identify(d, lang_model).join(d.select("doc_id", d["lang"].alias("gold")), "doc_id").collect()
     assert np.mean([r["lang"] == r["gold"] for r in got if r["n_bytes"] > 100]) > 0.95
     assert np.mean([r["keep"] for r in got]) > 0.97
@@ -406,9 +415,49 @@ def test_rates(spark):
         assert math.isclose(got[h, p][0], host[h], rel_tol=1e-9) and math.isclose(got[h, p][1], (k + s * host[h]) / (n + s), rel_tol=1e-9)
 
 
+def test_posterior_by_brute_force(spark, sf):
+    """The query's rows from the classifier's own evidence, with all sums in plain Python."""
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = quality.train(d, lab)
+    got = {r["doc_id"]: r for r in quality.score(d, lab, m).collect()}
+    rows = d.collect()
+    good = {}
+    for r in lab.collect():
+        good[r["doc_id"]] = min(good.get(r["doc_id"], 1), int(r["quality"] == 1 and not r["toxic"]))
+    ev, one = {}, lambda e: 1 / (1 + math.exp(-e))
+    for r in rows:
+        raw = (r["text"] or "").encode()
+        ev[r["doc_id"]] = max(-30.0, min(30.0, float(m.evidence(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]))) if raw else 0.0
+    v = spark.createDataFrame([(r["source"], r["lang"], float(good.get(r["doc_id"], one(ev[r["doc_id"]])))) for r in rows], "host string, path string, value double")
+    rate = {(r["host"], r["path"]): r["path_rate"] for r in quality.rates(v).collect()}  # itself held against plain Python above
+    base = np.mean([one(e) for e in ev.values()])
+    logit = lambda p: math.log(p / (1 - p))
+    for r in rows:
+        g = got[r["doc_id"]]
+        assert abs(g["evidence"] - ev[r["doc_id"]]) < 1e-5
+        assert abs(g["posterior"] - one(ev[r["doc_id"]] - logit(base) + logit(rate[r["source"], r["lang"]]))) < 1e-5
+        assert g["keep"] == (g["posterior"] >= quality.THRESHOLD) or abs(g["posterior"] - quality.THRESHOLD) < 1e-5
+
+
+def test_evidence_by_brute_force():
+    """Hashed words and figures of each text, by regular expressions."""
+    import re
+
+    texts = ["Some words, SOME more words 12.", "", "é", "beginning begins " * 3]
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    row, bucket, dense = quality.vectors(data, off)
+    for i, x in enumerate(raw):
+        w = re.findall(rb"[0-9a-z\x80-\xff]+", x.lower())
+        want = set(w) | {(y[:k], k) for y in w for k in quality.PREFIXES if len(y) > k}
+        assert np.count_nonzero(row == i) == len(want)
+        n = max(1, len(x))
+        assert np.allclose(dense[i][[0, 1]], [sum(65 <= c <= 90 for c in x) / n, sum(48 <= c <= 57 for c in x) / n]) and math.isclose(dense[i][5], math.log1p(len(w)) / 10)
+
+
 def test_quality_accuracy(spark):
     """Fitted on one half of the labels, held against the other."""
-    at = "/root/testdata/sf0.1"
+    at = larger("sf0.1")
     d, lab = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
     half = lab.where("doc_id % 2 = 0")
     got = quality.score(d, half, quality.train(d, half)).join(lab.where("doc_id % 2 = 1"), "doc_id").collect()
@@ -566,23 +615,90 @@ def test_histogram():
 
 def test_decode_rows(spark):
     good = gif.vector_gif(5, np.arange(64.0))
-    rows = [(1, good), (1, good), (None, good), (2, None), (3, b""), (4, b"PNG...not"), (5, good[: len(good) // 2]), (6, good[:20]), (7, good[:13] + b"\x00" * 60)]
-    d = spark.createDataFrame([(i, x if x is None else bytearray(x), 1, "e") for i, x in rows], "media_id long, data binary, width int, error string").coalesce(1)
+    rows = [(1, good), (1, good), (None, good), (2, None), (3, b""), (4, b"PNG...not"), (5, good[: len(good) // 2]), (6, good[:20]), (7, good[:13] + b"\x00" * 60), (8, b"GIF89a\0\0\0\0\0\0\0,\0\0\0\0\0\0\0\0\0\x02\0;")]
+    d = spark.createDataFrame([(i, x if x is None else bytearray(x), 1, "e", 2) for i, x in rows], "media_id long, data binary, width int, error string, ID int").coalesce(1)
     got = gif.decode(d).collect()
-    assert got[0] == got[1] and got[2]["media_id"] is None and [r["valid"] for r in got[:7]] == [True] * 3 + [False] * 3 + [True]
-    a = got[0]
-    assert a["n_frames"] == 3 and a["error"] is None and a["duration_ms"] == sum(f["delay_ms"] for f in a["frames"]) and a["frames"][1]["start_ms"] == a["frames"][0]["delay_ms"]
-    assert all(sum(f["histogram"]) == a["width"] * a["height"] and len(f["pixels"]) == 4 * a["width"] * a["height"] for f in a["frames"])
-    assert [r["error"] for r in got[3:6]] == ["no data", "no data", "no GIF header"] and got[6]["error"] and got[6]["n_frames"] < 3
+    by = {k: [r for r in got if r["media_id"] == k] for k in (1, None, *range(2, 9))}
+    assert len(by[1]) == 6 and by[1][:3] == by[1][3:] and [r[1:] for r in by[None]] == [r[1:] for r in by[1][:3]]
+    a = by[1]
+    assert [r["frame"] for r in a[:3]] == [0, 1, 2] and all(r["n_frames"] == 3 and r["error"] is None and r["valid"] for r in a)
+    assert a[0]["duration_ms"] == sum(r["delay_ms"] for r in a[:3]) and a[1]["start_ms"] == a[0]["delay_ms"]
+    assert all(sum(r["histogram"]) == r["canvas_width"] * r["canvas_height"] and len(r["pixels"]) == 4 * r["canvas_width"] * r["canvas_height"] for r in a)
+    assert [(by[i][0]["error"], by[i][0]["valid"], by[i][0]["frame"]) for i in (2, 3, 4)] == [("no data", False, None)] * 2 + [("no GIF header", False, None)]
+    assert by[5][0]["error"] and by[5][0]["valid"] and by[5][0]["n_frames"] < 3 and by[8][0]["complete"] and by[8][0]["pixels"] == b""
     assert gif.decode(d.limit(0)).count() == 0
 
 
+def test_bands(spark, monkeypatch):
+    """A canvas in bands of rows is the canvas as one, with all that disposal and interlacing do."""
+    r = np.random.default_rng(6)
+    frames = [{"pixels": r.integers(0, 4, (r.integers(1, 30), r.integers(1, 25))), "left": int(r.integers(0, 9)), "top": int(r.integers(0, 12)), "disposal": int(i % 4), "interlaced": i % 2 == 0, "transparent": i % 5} for i in range(12)]
+    data = gif.encode(20, 31, PALETTE, frames)
+    whole = np.stack([f["canvas"] for f in frames_of(data)])
+    monkeypatch.setattr(gif, "BAND_PIXELS", 100)
+    rows = list(gif._file_rows(1, data, True, 4))
+    assert len(rows) == 12 * 7
+    for i in range(12):
+        own = [np.frombuffer(x["pixels"], np.uint8).reshape(-1, 20, 4) for x in rows if x["frame"] == i]
+        assert (np.concatenate(own) == whole[i]).all()
+    # the largest canvas that there is, of which 4 pixels are drawn: 65535 bands would be 17 GB, so one band is looked at
+    g = gif.parse(gif.encode(65535, 65535, PALETTE, [{"pixels": np.full((2, 2), 1), "left": 65533, "top": 65533}]))
+    canvas, complete = next(gif.render(g, 65500, 35))
+    assert complete and canvas.shape == (35, 65535, 4) and np.count_nonzero(canvas[..., 3]) == 4
+
+
+def test_streams_of_other_encoders():
+    """Files that weren't made by encode(): from a published walk-through, the usual one-pixel file, and two encoders of another kind."""
+    made = bytes.fromhex("4749463839610a000a00910000ffffffff00000000ff00000021f90400000000002c000000000a000a000002168c2d99872a1cdc33a00275ec95faa8de608c04914c01003b")
+    index = np.array([[1] * 5 + [2] * 5] * 3 + [[1] * 3 + [0] * 4 + [2] * 3] * 2 + [[2] * 3 + [0] * 4 + [1] * 3] * 2 + [[2] * 5 + [1] * 5] * 3)
+    colours = np.array([[255, 255, 255], [255, 0, 0], [0, 0, 255], [0, 0, 0]])
+    assert (frames_of(made)[0]["canvas"][..., :3] == colours[index]).all() and frames_of(made)[0]["complete"]
+    import base64
+
+    dot = frames_of(base64.b64decode("R0lGODlhAQABAIAAAAAAAP///yH5BAEAAAAALAAAAAABAAEAAAIBRAA7"))
+    assert len(dot) == 1 and dot[0]["canvas"].tolist() == [[[0, 0, 0, 0]]] and dot[0]["complete"]
+
+    def stream(codes):
+        """(code, width) pairs as bytes, the lowest bits first."""
+        total = have = 0
+        for code, width in codes:
+            total |= code << have
+            have += width
+        return total.to_bytes(-(-have // 8), "little")
+
+    r = np.random.default_rng(7)
+    for root in (2, 4, 8):
+        p = r.integers(0, 1 << root, 9000)
+        # no compression: the table is cleared before codes would widen
+        codes = []
+        for i, x in enumerate(p.tolist()):
+            if i % ((1 << root) - 2) == 0:
+                codes.append((1 << root, root + 1))
+            codes.append((x, root + 1))
+        assert (gif.lzw_decode(stream([*codes, ((1 << root) + 1, root + 1)]), root, len(p)) == p).all()
+        # the table is never cleared, also when it is full
+        table, width, size, codes, word = {(i,): i for i in range(1 << root)}, root + 1, (1 << root) + 2, [(1 << root, root + 1)], ()
+        for x in p.tolist():
+            if (*word, x) in table:
+                word = (*word, x)
+                continue
+            codes.append((table[word], width))
+            if size < 4096:
+                table[*word, x] = size
+                if size == 1 << width and width < 12:
+                    width += 1
+                size += 1
+            word = (x,)
+        codes.append((table[word], width))
+        assert (gif.lzw_decode(stream(codes), root, len(p)) == p).all()
+
+
 def test_every_vector_round_trips(spark, sf):
     """Against a second reading of what was drawn: the first frame's pixels are the vector's shades."""
     v = spark.read.parquet(f"{sf}/embeddings.parquet").limit(40)
     from pericope.llm import queries
 
-    assert gif.decode(gif.from_vectors(v), id_col="vec_id").where("valid and error is null and n_frames = 3").count() == 40
+    assert gif.decode(gif.from_vectors(v), id_col="vec_id").where("valid and error is null and n_frames = 3 and complete").count() == 120
     for r in v.collect():
         x = np.array(r["embedding"])
         side = max(4, math.ceil(math.sqrt(len(x))))
