@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import cut, mix, ngrams, only, release, shuffle_partitions, spans, utf8, without, words
+from pericope.llm.shared import cut, mix, ngrams, only, release, shuffle_partitions, spans, tidy, utf8, without, words
 
 #: Half of all n-grams: copies that were edited throughout share more, documents that quote one passage less.
 N, THRESHOLD = 3, 0.5
@@ -81,7 +81,7 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
 
 
 #: Bytes of text that one packed row per range is made of, and that one range has the n-grams of.
-_STRETCH, _RANGE = 8 << 20, 8 << 20
+_STRETCH, _RANGE = 4 << 20, 8 << 20
 
 
 def _pack(g: np.ndarray) -> bytes:
@@ -168,6 +168,7 @@ def _send(n: int, parts: int):
                 o = off[lo : hi + 1]
                 yield batch(ids[lo:hi], data[o[0] : o[-1]], o - o[0], src)
                 src += 1
+            tidy()
 
     return run
 
@@ -187,6 +188,7 @@ def _count(table: pa.Table) -> pa.Table:
     cls = np.zeros(len(g), np.uint8)
     cls[order] = np.repeat(np.minimum(255, np.floor(8 * np.log2(runs))).astype(np.uint8), runs)
     del g, s, order
+    tidy()
     out, lo = [], 0
     for src, rows, body in zip(table["src"].to_pylist(), table["rows"].to_pylist(), bodies):
         c = cls[lo : lo + len(body)]
@@ -233,6 +235,7 @@ def _gather(t: float):
         first = np.searchsorted(row, at)
         last = np.append(first[1:], len(row)) if len(at) else first
         least = [np.minimum.reduceat(mix(g ^ s), first).view(np.int64) if len(at) else [] for s in _SALT]
+        tidy()
         return _batch(_SETS, ids[at], np.full(len(at), src), at, key[at], size[at], (last - first), [_pack(g[a:z]) for a, z in zip(first, last)], *least)
 
     return run
@@ -377,6 +380,7 @@ def _verify(t: float):
             links[c:e] += copies[a:z] @ ok
             if ok.any():
                 link(a, c)
+        tidy()
         at = np.flatnonzero(links)
         x, y = (list(v) for v in zip(*edges)) if edges else ([], [])
         return _batch("x long, y long, n long", [*k[at].tolist(), *map(int, x)], [None] * len(at) + [int(v) for v in y], [*links[at].tolist(), *[None] * len(x)])

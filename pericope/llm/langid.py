@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import only, spans, utf8
+from pericope.llm.shared import only, pieces, spans, utf8
 
 SEGMENT, CONTEXT, HIDDEN = 256, 8, 12
 #: Segments that are read at a time: what a worker's memory depends on.
@@ -316,7 +316,7 @@ _OUT = "doc_id long, lang string, confidence double, agreement double, n_bytes l
 def _label(model: ByteGRU, most_none: float = MOST_NONE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none, k = len(model.classes) - 1, len(model.classes)
-        for b in batches:
+        for b in pieces(batches, 1):
             data, off = utf8(b.column(1))
             size = np.diff(off)
             pooled, votes = np.zeros((b.num_rows, k)), np.zeros((b.num_rows, k))
@@ -381,7 +381,7 @@ def accepted(docs: DataFrame, model: ByteGRU, text_col: str = "text", most_none:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label, at = _label(model, most_none), fields.index(text_col)
-        for b in batches:
+        for b in pieces(batches, at):
             own = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(at)], ["doc_id", "text"])
             for r in label(iter([own])):
                 yield b.filter(r.column(5))

@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from pericope.llm.shared import only, spans, utf8, words
+from pericope.llm.shared import only, pieces, spans, utf8, words
 
 LABELS = ["O", "B-EMAIL", "B-IP", "B-CARD", "I-CARD", "B-SECRET", "B-PHONE", "I-PHONE", "B-SSN", "B-IBAN", "I-IBAN"]
 _STRIP = b"\"'.,;:!?[]{}<>|*#%&$~`^"
@@ -235,25 +236,24 @@ class Tokens:
 def forward_backward(e: np.ndarray, trans: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log partition, label marginals (T, N, L), expected transitions (L, L)) of N sequences with scores e: (T, N, L)."""
     t_n, n, k = e.shape
-
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        m = x.max(axis=axis, keepdims=True)
-        return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
-
     live = np.arange(t_n)[:, None] < length
-    a, b = np.empty_like(e), np.zeros_like(e)
-    a[0] = e[0]
-    for t in range(1, t_n):
-        a[t] = np.where(live[t][:, None], lse(a[t - 1][:, :, None] + trans, 1) + e[t], a[t - 1])
+    top = e.max(axis=2)
+    x, m = np.exp(e - top[..., None]), np.exp(trans)
+    # each place's messages are scaled to a sum of 1; the scales make up the partition
+    a, b, s = np.empty_like(x), np.ones_like(x), np.ones((t_n, n))
+    for t in range(t_n):
+        own = x[0] if t == 0 else (a[t - 1] @ m) * x[t]
+        total = own.sum(axis=1)
+        s[t] = np.where(live[t], total, 1)
+        a[t] = np.where(live[t][:, None], own / total[:, None], a[t - 1] if t else own)
     for t in reversed(range(t_n - 1)):
-        b[t] = np.where(live[t + 1][:, None], lse(trans + (e[t + 1] + b[t + 1])[:, None, :], 2), 0)
-    z = lse(a[-1], 1)
-    marginal = np.exp(a + b - z[:, None]) * live[..., None]
+        b[t] = np.where(live[t + 1][:, None], (x[t + 1] * b[t + 1]) @ m.T / s[t + 1][:, None], 1)
+    z = ((np.log(s) + top) * live).sum(axis=0)
+    marginal = a * b * live[..., None]
     pair = np.zeros((k, k))
     for t in range(1, t_n):
-        p = np.exp(a[t - 1][:, :, None] + trans + (e[t] + b[t])[:, None, :] - z[:, None, None])
-        pair += (p * live[t][:, None, None]).sum(axis=0)
-    return z, marginal, pair
+        pair += a[t - 1].T @ (x[t] * b[t] * (live[t] / s[t])[:, None])
+    return z, marginal, pair * m
 
 
 def viterbi(e: np.ndarray, trans: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -360,9 +360,14 @@ class Field:
 _WORDS = 1 << 16
 
 
-def train(table: list[tuple[list[str], list[str]]] | None = None, steps: int = 70, rate: float = 0.15, decay: float = 2e-3) -> Field:
+@lru_cache(1)
+def train() -> Field:
+    """The field of labelled_table(), fitted once in a process."""
+    return fit(labelled_table())
+
+
+def fit(table: list[tuple[list[str], list[str]]], steps: int = 70, rate: float = 0.15, decay: float = 2e-3) -> Field:
     """Maximum likelihood with a Gaussian prior, by Adam over the whole table."""
-    table = labelled_table() if table is None else table
     lines = [" ".join(w).encode() for w, _ in table]
     data = np.frombuffer(b"".join(lines), np.uint8)
     k = Tokens(data, np.concatenate([[0], np.cumsum([len(x) for x in lines])]))
@@ -498,7 +503,7 @@ def redact(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             found, text = _found(field, b.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -525,7 +530,7 @@ def redacted(docs: DataFrame, field: Field, text_col: str = "text", n_chars_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = fields.index(text_col)
-        for b in batches:
+        for b in pieces(batches, at):
             found, text = _found(field, b.column(at))
             cols = [text if i == at else c for i, c in enumerate(b.columns)]
             if n_chars_col in fields:
