@@ -1,12 +1,16 @@
 """Language-model scores of documents by a causal self-attention model in numpy.
 
-Texts become subword ids of a public tokenizer, whose file is a parameter. The
-model is one causal attention layer over token and place embeddings. It predicts
-a class of the next subword; within a class, subwords follow their corpus
+Texts become subword ids of a public tokenizer, whose file is a parameter; they
+are stored once, and everything after reads them. The model is one causal
+attention layer over token and place embeddings. It predicts the class of the
+next subword; the most frequent subwords are classes of their own, and all others
+are put in classes by the company they keep: the subwords that stand to their
+left and right all over the corpus. Within a class, subwords follow their corpus
 counts. Counts are over all documents, and all are trained on. Training is
 distributed: the documents are dealt out to a few rounds, so that each is learned
 from once; in a round every partition steps through its own documents, and the
-weights are averaged by the number of windows. No worker sees more than its part.
+weights are averaged, in a tree, by the number of windows. No worker sees more
+than its part, and the result depends on how the table is partitioned.
 
 Scoring reads windows of WINDOW subwords, of which the first CONTEXT belong to
 the window before, so every subword is scored once, with CONTEXT or more
@@ -19,17 +23,18 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import CHUNK, cut, only, spans, utf8, words
+from pericope.llm.shared import CHUNK, cut, only, pieces, spans, tidy, utf8, words
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the tokenizer splits text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WINDOW, CONTEXT, DIM, CLASSES, INPUTS = 32, 8, 12, 64, 2048
+WINDOW, CONTEXT, DIM, CLASSES, INPUTS = 32, 8, 12, 64, 4096
+#: Classes of one subword each, and how many frequent subwords are told apart as neighbours.
+ALONE, NEIGHBOURS = 16, 64
 #: Rounds that the documents are dealt out to; each document is trained on in one of them.
 ROUNDS = 2
 _STRIDE = WINDOW - CONTEXT
@@ -99,27 +104,51 @@ def subwords(file: str) -> Subwords:
 
 
 class Vocabulary:
-    """From corpus counts by id: what the model reads (input), what it predicts (cls) and the log share within the class."""
+    """From corpus counts by id: what the model reads (input), what it predicts (cls) and the log share within the class.
 
-    def __init__(self, counts: np.ndarray):
+    near: by id, how often each of the NEIGHBOURS most frequent subwords, and any
+    other, stands to its left and to its right. Without it classes are bands of
+    frequency.
+    """
+
+    def __init__(self, counts: np.ndarray, near: np.ndarray | None = None):
         order = np.lexsort((np.arange(len(counts)), -counts))
-        rank = np.empty(len(counts), np.int64)
-        rank[order] = np.arange(len(counts))
+        self.rank = np.empty(len(counts), np.int64)
+        self.rank[order] = np.arange(len(counts))
         own = INPUTS - 128
-        self.input = np.where(rank < own, rank, own + rank % 128).astype(np.int32)
-        alone = CLASSES // 2
+        self.input = np.where(self.rank < own, self.rank, own + self.rank % 128).astype(np.int32)
         soft = (counts + 0.5).astype(np.float64)
-        rest = np.cumsum(soft[order[alone:]])
+        rest, k = order[ALONE:], CLASSES - ALONE
         cls = np.empty(len(counts), np.int64)
-        cls[order[:alone]] = np.arange(min(alone, len(order)))
+        cls[order[:ALONE]] = np.arange(min(ALONE, len(order)))
         if len(rest):
-            cls[order[alone:]] = alone + np.minimum(CLASSES - alone - 1, ((rest - soft[order[alone:]] / 2) / rest[-1] * (CLASSES - alone)).astype(np.int64))
+            mass = np.cumsum(soft[rest])
+            cls[rest] = ALONE + np.minimum(k - 1, ((mass - soft[rest] / 2) / mass[-1] * k).astype(np.int64))
+            seen = rest[counts[rest] > 0]
+            if near is not None and len(seen) > k:
+                cls[seen] = ALONE + _alike(near[seen], cls[seen] - ALONE, counts[seen], k)
         mass = np.bincount(cls, soft, CLASSES)
         self.cls, self.log_share = cls.astype(np.int32), np.log(soft / mass[cls]).astype(np.float32)
         self.log_class = np.log(np.maximum(mass, 1e-9) / mass.sum()).astype(np.float32)
         self.log_unigram = np.log(soft / soft.sum())
 
 
+def _alike(near: np.ndarray, first: np.ndarray, counts: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Classes, 0 .. k - 1, of rows of neighbour counts: spherical k-means over the roots of their shares, from the classes given."""
+    x = near.astype(np.float32)
+    x /= np.maximum(1, x.sum(axis=1))[:, None]
+    np.sqrt(x, out=x)
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
+    weight, cls = np.sqrt(counts).astype(np.float32), first
+    for _ in range(rounds):
+        hot = np.zeros((k, len(x)), np.float32)
+        hot[cls, np.arange(len(x))] = weight
+        centre = hot @ x
+        centre /= np.linalg.norm(centre, axis=1, keepdims=True) + 1e-9
+        cls = (x @ centre.T).argmax(axis=1)
+    return cls
+
+
 def weights(vocabulary: Vocabulary, seed: int = 9) -> dict[str, np.ndarray]:
     r, d, f = np.random.default_rng(seed), DIM, np.float32
     s = d**-0.5
@@ -270,34 +299,35 @@ class Model:
 # over a table
 
 
-def _encoded(tokenizer: str):
-    """The subword ids of every text, 4 bytes each."""
+def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids), stored: the subword ids of every text, 4 bytes each. Null and empty texts, and those of white space alone, have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = subwords(tokenizer)
-        for b in batches:
-            data, off = utf8(b.column(0))
+        for b in pieces(batches, 1):
+            data, off = utf8(b.column(1))
             for lo, hi in spans(off):
                 o = off[lo : hi + 1]
-                ids, cut_at = sub.encode(data[o[0] : o[-1]], o - o[0])
+                ids, at = sub.encode(data[o[0] : o[-1]], o - o[0])
                 raw = ids.astype("<i4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[4 * x : 4 * z] for x, z in zip(cut_at, cut_at[1:])], pa.binary())], ["ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([raw[4 * x : 4 * z] for x, z in zip(at, at[1:])], pa.binary())], ["doc_id", "ids"])
 
-    return run
+    return cut(only(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, ids binary"))
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, offsets) of stretches of rows."""
+def _decoded(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, ids, offsets) of stretches of rows."""
     for b in batches:
-        raw, off = utf8(b.column(0))
+        raw, off = utf8(b.column(column))
         for lo, hi in spans(off, 4 * CHUNK):
-            yield raw[off[lo] : off[hi]].copy().view("<i4"), (off[lo : hi + 1] - off[lo]) // 4
+            yield b.slice(lo, hi - lo), raw[off[lo] : off[hi]].copy().view("<i4"), (off[lo : hi + 1] - off[lo]) // 4
+        tidy()
 
 
 def _counts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for ids, _ in _decoded(batches):
+        for _, ids, _ in _decoded(batches):
             total += np.bincount(ids, minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
@@ -305,16 +335,37 @@ def _counts(size: int):
     return run
 
 
+def _neighbours(kind: np.ndarray):
+    """(id, place, n): how often a subword of a kind stands to the left of an id, and to the right, where places go on."""
+    k, size = NEIGHBOURS + 1, len(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * 2 * k, np.int32)
+        for _, ids, off in _decoded(batches):
+            inner = np.ones(len(ids), bool)
+            inner[off[:-1][off[:-1] < len(ids)]] = False
+            at = np.flatnonzero(inner)  # not the first of its text
+            left, right = ids[at - 1], ids[at]
+            cell, n = np.unique(np.concatenate([right * (2 * k) + kind[left], left * (2 * k) + k + kind[right]]), return_counts=True)
+            total[cell] += n.astype(np.int32)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((cell // (2 * k)).astype(np.int32)), pa.array((cell % (2 * k)).astype(np.int16)), pa.array(total[cell].astype(np.int64))], ["id", "place", "n"])
+
+    return run
+
+
 def _steps(model: Model, rate: float, batch: int = 256, first: int = 64):
-    """Trains a copy on the documents of one partition; a row per part of the weights, (part, n, values).
+    """Trains a copy on the documents of one partition; a row per part of the weights, (part, src, n, v), src being the partition.
 
     The first batches are smaller, so that a partition of few documents takes some steps too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         def data() -> Iterator[tuple]:
             n = 0
-            for ids, cut_at in _decoded(batches):
+            for _, ids, cut_at in _decoded(batches):
                 if not len(ids):
                     continue
                 x, y, _ = windows(ids, cut_at)
@@ -327,68 +378,75 @@ def _steps(model: Model, rate: float, batch: int = 256, first: int = 64):
 
         p, n = _adam(model.p, data(), rate)
         if n:
-            names = sorted(p)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([n] * len(names), pa.int64()), pa.array([p[k].astype(np.float32).tobytes() for k in names], pa.binary())], ["part", "n", "v"])
+            names, k = sorted(p), len(p)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([TaskContext.get().partitionId()] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array([p[x].astype(np.float32).tobytes() for x in names], pa.binary())], ["part", "src", "n", "v"])
 
     return run
 
 
-def _average(pdf: pd.DataFrame) -> pd.DataFrame:
-    n = pdf["n"].to_numpy(np.float64)
-    total = sum(np.frombuffer(v, np.float32) * w for v, w in zip(pdf["v"], n))
-    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [int(n.sum())], "v": [(total / n.sum()).astype(np.float32).tobytes()]})
+_PARTS = "part string, src long, n long, v binary"
+#: How many sets of weights one task averages.
+_FAN = 64
+
 
+def _average(t: pa.Table) -> pa.Table:
+    n = t["n"].to_numpy().astype(np.float64)
+    total = sum(np.frombuffer(v.as_py(), np.float32) * w for v, w in zip(t["v"], n))
+    return pa.Table.from_arrays([t["part"].slice(0, 1), t["src"].slice(0, 1), pa.array([int(n.sum())], pa.int64()), pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())], ["part", "src", "n", "v"])
 
-def train(docs: DataFrame, tokenizer: str = TOKENIZER, text_col: str = "text", fit_one_in: int = 1, rounds: int = ROUNDS) -> Model:
-    """Counts the subwords of all documents and trains on all of them, each in one of the rounds, by the hash of its subwords.
 
-    fit_one_in: trains on one in so many only; for tests.
+def train(table: DataFrame, tokenizer: str = TOKENIZER, rounds: int = ROUNDS) -> Model:
+    """Counts the subwords of all texts of encoded() and trains on all of them, each in one of the rounds, by the hash of its subwords.
 
-    Subwords are computed once and stored. Rows with a null or empty text are
-    passed over. Without any text the model holds every subword equally likely.
+    Rows without subwords are passed over; repeated rows each count. Without any
+    subword the model holds every one equally likely.
     """
-    d = only(docs, text=text_col).where("text is not null and text != ''")
-    d = cut(d.mapInArrow(_encoded(tokenizer), "ids binary"))
-    counts = np.zeros(subwords(tokenizer).encoding.n_vocab, np.int64)
-    got = d.mapInArrow(_counts(len(counts)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id of the vocabulary at most
+    d = table.where("octet_length(ids) > 0").select("ids")
+    size = subwords(tokenizer).encoding.n_vocab
+    counts = np.zeros(size, np.int64)
+    got = d.mapInArrow(_counts(size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id of the vocabulary at most
     for r in got:
         counts[r["id"]] = r["n"]
-    v = Vocabulary(counts)
-    model = Model(v, weights(v), tokenizer)
+    kind = np.minimum(Vocabulary(counts).rank, NEIGHBOURS).astype(np.int64)
+    near = np.zeros((size, 2 * (NEIGHBOURS + 1)), np.float32)
+    cells = d.mapInArrow(_neighbours(kind), "id int, place short, n long").groupBy("id", "place").agg(F.sum("n").alias("n"))
+    for r in cells.groupBy("id").agg(F.collect_list(F.struct("place", F.col("n").cast("float").alias("n"))).alias("cells")).toLocalIterator():  # again a row per id, of a fixed number of places
+        for place, n in r["cells"]:
+            near[r["id"], place] = n
+    v = Vocabulary(counts, near)
+    model, parts = Model(v, weights(v), tokenizer), d.rdd.getNumPartitions()
     for k in range(rounds):
-        fit = d.where(F.pmod(F.xxhash64("ids"), F.lit(rounds * fit_one_in)) == k)
-        # averaged where the parts are gathered; the driver gets one set of weights
-        new = fit.mapInArrow(_steps(model, 0.03 / (1 + k)), "part string, n long, v binary").groupBy("part").applyInPandas(_average, "part string, n long, v binary").collect()
+        new = d.where(F.pmod(F.xxhash64("ids"), F.lit(rounds)) == k).mapInArrow(_steps(model, 0.03 / (1 + k)), _PARTS)
+        # averaged where the parts are gathered, a bounded number at a time; the driver gets one set of weights
+        n = parts
+        while n > 1:
+            n = -(-n // _FAN)
+            new = new.withColumn("src", F.expr(f"src div {_FAN}L")).groupBy("part", "src").applyInArrow(_average, _PARTS)
+        new = new.collect()
         if new:
             model = Model(v, {r["part"]: np.frombuffer(bytes(r["v"]), np.float32).reshape(model.p[r["part"]].shape) for r in new}, tokenizer, model.windows + new[0]["n"])
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (doc_id, n_tokens, log_prob, perplexity).
+def score(table: DataFrame, model: Model) -> DataFrame:
+    """One row per row of encoded(): (doc_id, n_tokens, log_prob, perplexity).
 
     log_prob is the natural logarithm of the text's probability, the sum over
     all its subwords; perplexity is exp(-log_prob / n_tokens).
 
     Null and empty texts, and texts of white space alone, have no subwords:
-    n_tokens 0, log_prob 0 and a null perplexity. Null ids are kept, repeated
-    rows each give a row with equal scores. An empty table gives an empty
-    result. Other columns are ignored.
+    n_tokens 0, log_prob 0 and a null perplexity. Texts of any length are scored
+    whole. Null ids are kept, repeated rows each give a row with equal scores,
+    ties can't matter. An empty table gives an empty result. encoded() ignores
+    other columns, whatever their names; ids have to be of whole numbers, else
+    it raises a TypeError.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub = subwords(model.tokenizer)
-        for b in batches:
-            data, off = utf8(b.column(1))
-            n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for lo, hi in spans(off):
-                o = off[lo : hi + 1]
-                ids, at = sub.encode(data[o[0] : o[-1]], o - o[0])
-                lp = np.concatenate([[0.0], np.cumsum(model.log_probs(ids, at), dtype=np.float64)])
-                n[lo:hi], total[lo:hi] = np.diff(at), lp[at[1:]] - lp[at[:-1]]
-            none = n == 0
+        for b, ids, at in _decoded(batches, 1):
+            lp = np.concatenate([[0.0], np.cumsum(model.log_probs(ids, at), dtype=np.float64)])
+            n, total = np.diff(at), lp[at[1:]] - lp[at[:-1]]
             ppl = np.exp(np.minimum(700, -total / np.maximum(n, 1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.round(total, 4)), pa.array(np.round(ppl, 4), mask=none)], ["doc_id", "n_tokens", "log_prob", "perplexity"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.round(total, 4)), pa.array(np.round(ppl, 4), mask=n == 0)], ["doc_id", "n_tokens", "log_prob", "perplexity"])
 
-    d = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    return d.mapInArrow(run, "doc_id long, n_tokens long, log_prob double, perplexity double")
+    return table.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, perplexity double")

@@ -22,8 +22,8 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    return lm.score(docs, lm.train(docs))
+    ids = lm.encoded(_read(spark, sf_dir, "documents"))
+    return lm.score(ids, lm.train(ids))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

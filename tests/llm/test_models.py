@@ -488,7 +488,7 @@ def test_quality_rows(spark):
 
 @pytest.fixture(scope="module")
 def small_lm(spark, sf):
-    return lm.train(spark.read.parquet(f"{sf}/documents.parquet"), fit_one_in=2)
+    return lm.train(lm.encoded(spark.read.parquet(f"{sf}/documents.parquet")))
 
 
 def test_attention_gradients():
@@ -508,6 +508,35 @@ def test_vocabulary():
     assert np.allclose(by[np.bincount(v.cls, minlength=lm.CLASSES) > 0], 1, atol=1e-4)
 
 
+def test_classes_by_company():
+    """Subwords of one language stand beside each other, so classes by neighbours keep languages apart."""
+    r = np.random.default_rng(4)
+    size, k = 3000, 2 * (lm.NEIGHBOURS + 1)
+    counts = r.integers(1, 50, size)
+    near = np.zeros((size, k))
+    for i in range(size):
+        near[i, (i % 2) * 30 + r.integers(0, 30, 40)] += 1
+    v = lm.Vocabulary(counts, near)
+    rest = np.flatnonzero(v.cls >= lm.ALONE)
+    mixed = [len({i % 2 for i in rest[v.cls[rest] == c]}) for c in set(v.cls[rest])]
+    assert max(mixed) == 1 and len(set(v.cls)) > lm.ALONE + 2
+
+
+def test_neighbours():
+    import pyarrow as pa
+
+    kind = np.minimum(np.arange(100), lm.NEIGHBOURS)
+    ids, k = [np.array([1, 2, 1, 99], np.int32), np.array([], np.int32), np.array([2], np.int32), np.array([5, 1], np.int32)], lm.NEIGHBOURS + 1
+    out = next(iter(lm._neighbours(kind)(iter([pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids], pa.binary())], ["ids"])]))))
+    got = {(i, p): n for i, p, n in zip(*(c.to_pylist() for c in out.columns))}
+    want = {}
+    for x in ids:
+        for a, b in zip(x.tolist(), x.tolist()[1:]):
+            for key in ((b, int(kind[a])), (a, k + int(kind[b]))):
+                want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
 def test_scores_by_brute_force(small_lm):
     """Every subword, scored alone with full matrices and its own causal mask."""
     m = small_lm
@@ -537,23 +566,25 @@ def test_scores_by_brute_force(small_lm):
 def test_lm_learns_and_rows(spark, sf, small_lm):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     untrained = lm.Model(small_lm.v, lm.weights(small_lm.v), lm.TOKENIZER)
-    nll = lambda m: (lambda r: -r[0] / r[1])(lm.score(d, m).selectExpr("sum(log_prob)", "sum(n_tokens)").first())
+    e = lm.encoded(d)
+    nll = lambda m: (lambda r: -r[0] / r[1])(lm.score(e, m).selectExpr("sum(log_prob)", "sum(n_tokens)").first())
     assert nll(small_lm) < nll(untrained) - 0.2
     rows = [(1, None), (2, ""), (3, " \n "), (None, "some text"), (4, "some text"), (4, "some text"), (5, "the of " * 50_000), (6, "x" * 100_000)]
-    got = lm.score(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_tokens int").coalesce(1), small_lm).collect()
+    got = lm.score(lm.encoded(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_tokens int").coalesce(1)), small_lm).collect()
     assert all(r["n_tokens"] == 0 and r["log_prob"] == 0 and r["perplexity"] is None for r in got[:3]) and got[4][1:] == got[5][1:] == got[3][1:] and got[6]["n_tokens"] >= 100_000 and got[7]["n_tokens"] > 0
-    assert lm.score(d.limit(0), small_lm).count() == 0 and lm.train(d.limit(0)).v is not None
+    none = lm.encoded(d.limit(0))
+    assert lm.score(none, small_lm).count() == 0 and lm.train(none).v is not None
 
 
 def test_lm_trains_on_all_documents(spark, sf):
     """With the settings of the query: all windows are trained on, and a document alone is learned from."""
     d = spark.read.parquet(f"{sf}/documents.parquet").where("text != ''")
-    m = lm.train(d)
+    m = lm.train(lm.encoded(d.repartition(70)))  # averaged in two steps
     texts = [r["text"].encode() for r in d.collect()]
     ids, off = lm.subwords(lm.TOKENIZER).encode(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
     assert m.windows == len(lm.windows(ids, off)[0])
     for i in range(3):
-        alone = lm.train(spark.createDataFrame([(f"the only document {i} " * 40,)], "text string"))
+        alone = lm.train(lm.encoded(spark.createDataFrame([(i, f"the only document {i} " * 40)], "doc_id long, text string")))
         assert alone.windows > 0 and np.abs(alone.p["O"] - lm.weights(alone.v)["O"]).max() > 0.01
 
 
