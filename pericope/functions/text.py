@@ -1,18 +1,20 @@
 """Unicode text functions: normalisation, tokens, names and aliases.
 
-normalised() is exact for any text and stays in the JVM for most: characters
-whose normal forms and case folding the JVM's own functions give are handled
-there, and only texts with any other character go through a pandas UDF. The UDF
-sees a null for every text that doesn't need it.
+normalised() and with_normalised() are exact for any text and stay in the JVM for
+most: characters whose normal forms and case folding the JVM's own functions give
+are handled there, and only texts with any other character go through a pandas
+UDF. with_normalised() takes the two kinds apart, so that simple texts never meet
+the UDF; normalised() is the same within one expression.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -66,26 +68,45 @@ def native(text: Column, case_sensitive: bool = False, diacritics: str = "sensit
     return out if case_sensitive else F.replace(F.lower(out), F.lit("ß"), F.lit("ss"))
 
 
-def may_contain(text: Column, parts: list[str], every: bool, case_sensitive: bool = False, diacritics: str = "sensitive") -> Column:
-    """True wherever the normalised text holds every one, or any, of the parts, and wherever that takes the exact function to tell.
+def simple(text: Column) -> Column:
+    """Whether native() is exact for a text. ASCII is told by its length, without a regular expression."""
+    return (F.octet_length(text) == F.length(text)) | text.rlike(_SIMPLE)
 
-    A test in the JVM alone, to be made before the texts are normalised exactly
-    and cut into tokens.
+
+def computed(d: DataFrame, **columns: Column) -> DataFrame:
+    """d with further columns, each computed once per row.
+
+    Catalyst puts a projected expression in place of its name wherever a filter
+    on it is pushed below the projection, and then computes it twice. Nothing
+    passes below a generator, of one row here, which stays in generated code.
     """
-    norm = native(text, case_sensitive, diacritics)
+    return d.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_normalised(d: DataFrame, text: str = "text", out: str = "norm", case_sensitive: bool = False, diacritics: str = "sensitive", exact: bool = True, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """d with the normal form of a column. keep: which normal forms go on, tested before anything else is computed. A null text stays null, unless keep drops it."""
+    t = F.col(text)
+    own = computed(d.where(simple(t) | t.isNull()) if exact else d, **{out: native(t, case_sensitive, diacritics)})
+    if exact:
+        rest = d.where(~simple(t)).withColumn(f"{out}_", _udf(case_sensitive, diacritics)(t))
+        own = own.unionByName(computed(rest, **{out: F.col(f"{out}_")}).drop(f"{out}_"))
+    return own.where(keep(F.col(out))) if keep else own
+
+
+def holds(norm: Column, parts: list[str], every: bool) -> Column:
+    """Whether a normal form holds every one, or any, of the parts; cheap, to be tested before texts are cut into tokens."""
     has = [F.contains(norm, F.lit(p)) for p in parts]
     out = has[0]
     for h in has[1:]:
         out = (out & h) if every else (out | h)
-    return ~text.rlike(_SIMPLE) | out
+    return out
 
 
 def normalised(text: Column, case_sensitive: bool = False, diacritics: str = "sensitive", exact: bool = True) -> Column:
     """normalise() of a column; null stays null. exact=False takes native() for every text."""
     if not exact:
         return native(text, case_sensitive, diacritics)
-    simple = text.rlike(_SIMPLE)
-    rest = _udf(case_sensitive, diacritics)(F.when(~simple, text))
+    rest = _udf(case_sensitive, diacritics)(F.when(~simple(text), text))
     return F.coalesce(rest, native(text, case_sensitive, diacritics))
 
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pericope.functions.text import normalised, tokens
+from pericope.functions.text import computed, tokens, with_normalised
 from pericope.plans.criteria import Analysed
 
 KEY = ["abbreviation", "book_nr", "chapter", "verse"]
 
 
-def with_tokens(verses: DataFrame, case_sensitive: bool = False, diacritics: str = "sensitive", exact: bool = True) -> DataFrame:
-    """verses with norm, the normalised text, and tokens."""
-    return verses.withColumn("norm", normalised(F.col("text"), case_sensitive, diacritics, exact)).withColumn("tokens", tokens(F.col("norm")))
+def with_tokens(verses: DataFrame, case_sensitive: bool = False, diacritics: str = "sensitive", exact: bool = True, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """verses with norm, the normalised text, and tokens. keep: a test of norm that comes before tokens are made."""
+    return computed(with_normalised(verses, "text", "norm", case_sensitive, diacritics, exact, keep), tokens=tokens(F.col("norm")))
 
 
 def postings(tokenised: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -38,18 +41,31 @@ def build_units(verses: DataFrame) -> DataFrame:
     return verses.groupBy("abbreviation").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars")).withColumn("units", F.col("n") + 2 * F.col("chars"))
 
 
+def part_units(q: Analysed) -> Column:
+    """What looking for parts of words in a vocabulary (token, cf) is reckoned at, to be summed over its rows."""
+    each = [F.least(F.length("token"), F.lit(len(t))) + 1 + F.when(F.col("token").contains(t), F.col("cf")).otherwise(0) for t in (*q.terms, *q.excluded)]
+    return sum(each[1:], each[0])
+
+
+def word_units(q: Analysed) -> Column:
+    """The same for whole words: their occurrences, once for each time a word is named; of phrases, again to test the order."""
+    named = [*q.terms, *q.excluded, *(q.terms if q.spec.words == "phrase" else ())]
+    return F.col("cf") * sum([F.when(F.col("token") == t, n).otherwise(0) for t, n in Counter(named).items()], F.lit(0))
+
+
+def match_units(vocabulary_: DataFrame, q: Analysed) -> DataFrame:
+    """(abbreviation, units): what the terms of a search cost in each translation's vocabulary."""
+    units = part_units(q) if q.spec.match == "substring" else word_units(q)
+    d = vocabulary_ if q.spec.match == "substring" else vocabulary_.where(F.col("token").isin([*q.terms, *q.excluded]))
+    return d.groupBy("abbreviation").agg(F.sum(units).cast("long").alias("units"))
+
+
 def search_units(n: int, build: int, vocabulary_: DataFrame, norm_chars: int, q: Analysed, strict_subset: bool) -> tuple[int, int]:
-    """The two reservations of a search over one translation: before the index is there, and with its vocabulary (token, cf)."""
+    """The two reservations of a search over one translation: before the index is there, and with its vocabulary (abbreviation, token, cf)."""
     spec = q.spec
     first = build + n + 8 * spec.limit
-    terms = [*q.terms, *q.excluded]
-    if spec.match == "substring":
-        each = [F.least(F.length("token"), F.lit(len(t))) + 1 + F.when(F.col("token").contains(t), F.col("cf")).otherwise(0) for t in terms]
-        units = sum(each[1:], each[0])
-        m = vocabulary_.agg(F.coalesce(F.sum(units), F.lit(0))).first()[0] + (norm_chars if spec.words == "phrase" else 0)
-    else:
-        cf = {r["token"]: r["cf"] for r in vocabulary_.where(F.col("token").isin(terms)).select("token", "cf").collect()}
-        m = sum(cf.get(t, 0) for t in terms) + (sum(cf.get(t, 0) for t in q.terms) if spec.words == "phrase" else 0)
+    units = match_units(vocabulary_, q).first()
+    m = (units["units"] if units else 0) + (norm_chars if spec.words == "phrase" and spec.match == "substring" else 0)
     second = build + (n if strict_subset else 0) + m + 8 * spec.limit
     if spec.proximity is not None:
         second += n * max(1, len(q.terms))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pericope.functions.text import WORD_CLASS, may_contain
+from pericope.functions.text import WORD_CLASS, computed, holds
 from pericope.operators.index import with_tokens
 from pericope.plans.criteria import SCOPES, Analysed
 
@@ -19,16 +19,6 @@ def term_count(match: str, term: str, tokens: Column | str = "tokens") -> Column
     return F.size(F.filter(tokens, _hit(match, term))).cast("long")
 
 
-def once(f, column: str = "tokens") -> Column:
-    """f of a column that is computed one time, however often f names it.
-
-    Catalyst puts a computed column's expression in place of its name wherever
-    a filter is pushed below it, within lambdas too, where it would run for
-    every element; a lambda's own variable stays one value.
-    """
-    return F.get(F.transform(F.array(F.col(column)), f), F.lit(0))
-
-
 def in_scope(scope: str, book: str = "book_nr") -> Column:
     lo, hi = SCOPES[scope]
     cond = F.lit(True)
@@ -46,9 +36,7 @@ def phrase_pattern(terms: tuple[str, ...]) -> str:
 
 def near(terms: tuple[str, ...], gap: int, tokens: Column | str = "tokens") -> Column:
     """Whether some stretch of tokens with all terms, as whole tokens, has at most `gap` more tokens than there are terms."""
-    if isinstance(tokens, str):
-        return once(lambda t: near(terms, gap, t), tokens)
-    t, span = tokens, len(terms) + gap
+    t, span = F.col(tokens) if isinstance(tokens, str) else tokens, len(terms) + gap
     wanted = F.array(*[F.lit(x) for x in terms])
     here = lambda i: F.forall(wanted, lambda x: F.array_contains(F.slice(t, i, F.lit(span)), x))
     # a stretch can always be made to begin with a term
@@ -59,9 +47,9 @@ def near(terms: tuple[str, ...], gap: int, tokens: Column | str = "tokens") -> C
 def hits(tokenised: DataFrame, q: Analysed, books: list[int] | None = None) -> DataFrame:
     """The verses that match, with score, occurrences and terms; no order.
 
-    tokenised has norm and tokens in the query's mode. Scope and books come
-    first, where the scan can use them; cheap token tests precede regular
-    expressions. books: None for all.
+    tokenised has norm and tokens in the query's mode, computed or stored, so that
+    naming them costs nothing. Scope and books come first, where the scan can use
+    them; cheap token tests precede regular expressions. books: None for all.
     """
     s = q.spec
     d = tokenised.where(in_scope(s.scope))
@@ -74,33 +62,31 @@ def hits(tokenised: DataFrame, q: Analysed, books: list[int] | None = None) -> D
             count = ((F.length("norm") - F.length(F.replace(F.col("norm"), quote, F.lit("")))) / len(q.normalised)).cast("long")
             d = d.where(F.contains("norm", quote))
         else:
-            d = d.where(once(lambda t: F.forall(F.array(*[F.lit(x) for x in dict.fromkeys(q.terms)]), lambda x: F.array_contains(t, x))))
+            d = d.where(F.forall(F.array(*[F.lit(x) for x in dict.fromkeys(q.terms)]), lambda x: F.array_contains("tokens", x)))
             count = F.regexp_count("norm", F.lit(phrase_pattern(q.terms))).cast("long")
-        d = d.withColumn("occurrences", count).where("occurrences > 0").withColumns({"score": F.col("occurrences") * len(q.terms), "terms": F.array(*[F.lit(t) for t in q.terms])})
+        d = computed(d, occurrences=count).where("occurrences > 0").withColumns({"score": F.col("occurrences") * len(q.terms), "terms": F.array(*[F.lit(t) for t in q.terms])})
     else:
-        each = lambda t: F.array(*[F.struct(F.lit(x).alias("t"), term_count(s.match, x, t).alias("n")) for x in q.terms])
-        found = once(lambda t: F.filter(each(t), lambda x: x["n"] > 0))
-        d = d.withColumn("found", found).where(F.size("found") >= (1 if s.words == "any" else len(q.terms)))
+        each = F.array(*[F.struct(F.lit(x).alias("t"), term_count(s.match, x).alias("n")) for x in q.terms])
+        d = computed(d, found=F.filter(each, lambda x: x["n"] > 0)).where(F.size("found") >= (1 if s.words == "any" else len(q.terms)))
         occ = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["n"])
         d = d.withColumns({"occurrences": occ, "score": occ, "terms": F.transform("found", lambda x: x["t"])}).drop("found")
     if q.excluded:
         bad = F.array(*[F.lit(x) for x in dict.fromkeys(q.excluded)])
-        test = (lambda t: F.arrays_overlap(t, bad)) if s.match == "whole_word" else (lambda t: F.exists(bad, lambda e: F.exists(t, lambda x: F.contains(x, e))))
-        d = d.where(~once(test))
+        t = F.col("tokens")
+        d = d.where(~(F.arrays_overlap(t, bad) if s.match == "whole_word" else F.exists(bad, lambda e: F.exists(t, lambda x: F.contains(x, e)))))
     if s.proximity is not None:
         d = d.where(near(q.terms, s.proximity))
     return d
 
 
 def search(verses: DataFrame, q: Analysed, books: list[int] | None = None, exact: bool = True) -> DataFrame:
-    """hits() from verses without tokens: what can't match is left out before anything is normalised exactly or cut into tokens."""
+    """hits() from verses without tokens. Every text is normalised once, what can't match is left out, and the rest is cut into tokens once."""
     s = q.spec
     d = verses.where(in_scope(s.scope))
     if books is not None:
         d = d.where(F.col("book_nr").isin([int(b) for b in books]) if books else F.lit(False))
     parts = [q.normalised] if s.words == "phrase" and s.match == "substring" else list(dict.fromkeys(q.terms))
-    d = d.where(may_contain(F.col("text"), parts, s.words != "any", s.case_sensitive, s.diacritics))
-    return hits(with_tokens(d, s.case_sensitive, s.diacritics, exact), q)
+    return hits(with_tokens(d, s.case_sensitive, s.diacritics, exact, lambda norm: holds(norm, parts, s.words != "any")), q)
 
 
 def order(sort: str) -> list[Column]:
@@ -121,6 +107,17 @@ def totals(matched: DataFrame, offset: int, limit: int) -> DataFrame:
     return t.select("total", returned.alias("returned"), (F.lit(offset) + returned < F.col("total")).alias("has_more"))
 
 
+def counted_by_vocabulary(q: Analysed) -> bool:
+    """Whether a search's total over a whole translation is in its vocabulary."""
+    return len(q.terms) == 1 and q.spec.match == "whole_word" and not q.excluded and q.spec.proximity is None
+
+
+def vocabulary_total(vocabulary: DataFrame, q: Analysed) -> int:
+    """In how many verses the one word is, without looking at any."""
+    row = vocabulary.where(F.col("token") == q.terms[0]).select("df").first()
+    return int(row["df"]) if row else 0
+
+
 def by_postings(postings: DataFrame, q: Analysed, key: list[str]) -> DataFrame:
     """(abbreviation, key..., score) for all/any whole-word queries from a stored index: an equality filter on token, which prunes a table laid out by token, and one aggregate."""
     by = postings.where(F.col("token").isin(list(q.terms))).groupBy("abbreviation", *key).agg(F.count(F.lit(1)).alias("k"), F.sum("tf").alias("score"))

@@ -7,11 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pericope.functions.text import normalised
+
 _VERSE = T.StructType([T.StructField("chapter", T.IntegerType()), T.StructField("verse", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("text", T.StringType())])
 _CHAPTER = T.StructType([T.StructField("chapter", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("verses", T.ArrayType(_VERSE))])
 _BOOK = T.StructType([T.StructField("nr", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("chapters", T.ArrayType(_CHAPTER))])
 METADATA = ("translation", "abbreviation", "lang", "language", "direction", "encoding")
 TRANSLATION = T.StructType([*(T.StructField(x, T.StringType()) for x in METADATA), T.StructField("books", T.ArrayType(_BOOK))])
+#: A chapter's file.
+CHAPTER_FILE = T.StructType([*(T.StructField(x, T.StringType()) for x in METADATA), T.StructField("book_nr", T.IntegerType()), T.StructField("book_name", T.StringType()), *_CHAPTER.fields])
 BOOKS_INDEX = T.MapType(T.StringType(), T.StructType([*(T.StructField(x, T.StringType()) for x in METADATA), T.StructField("nr", T.IntegerType()), T.StructField("name", T.StringType())]))
 
 
@@ -23,6 +27,12 @@ def flatten(translations: DataFrame) -> DataFrame:
     return v.select("abbreviation", "book_nr", "book_name", "chapter", "chapter_name", F.col("v.verse").alias("verse"), F.col("v.name").alias("reference"), F.col("v.text").alias("text"))
 
 
+def flatten_chapters(chapters: DataFrame) -> DataFrame:
+    """The same from rows of chapter files."""
+    c = chapters.select("abbreviation", "book_nr", "book_name", "chapter", F.col("name").alias("chapter_name"), F.explode("verses").alias("v"))
+    return c.select("abbreviation", "book_nr", "book_name", "chapter", "chapter_name", F.col("v.verse").alias("verse"), F.col("v.name").alias("reference"), F.col("v.text").alias("text"))
+
+
 def numbered(verses: DataFrame) -> DataFrame:
     """verses with ordinal: dense from 0 by book, chapter and verse within each abbreviation.
 
@@ -79,7 +89,5 @@ def available_books(verses: DataFrame) -> DataFrame:
 def book_names(verses: DataFrame) -> DataFrame:
     """(abbreviation, name, book_nr): of equal names, the book that comes last."""
     b = verses.groupBy("abbreviation", "book_nr").agg(F.max("book_name").alias("book_name"))
-    from pericope.functions.text import normalised
-
     name = F.regexp_replace(F.replace(normalised(F.col("book_name"), False, "insensitive"), F.lit("."), F.lit("")), r"\s+", "")
     return b.withColumn("name", name).groupBy("abbreviation", "name").agg(F.max("book_nr").alias("book_nr"))

@@ -7,16 +7,17 @@ query runs over all of them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pericope.functions.text import normalised, tokens
 from pericope.operators import group, index, match, verses
 from pericope.plans.criteria import SearchSpec, analyse
 from pericope.plans.references import AliasBook, ReferenceParser, reference_rows, resolve_aliases, select_verses
 from pericope.sources import validate
+from pericope.sources.repository import checksum_faults
 
 KEY = ["abbreviation", "book_nr", "chapter", "verse"]
 _ALIASES = [
@@ -73,7 +74,8 @@ def flatten_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tokens(normalised(F.col("text"))).alias("t"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    d = index.with_tokens(d).select("doc_id", F.col("tokens").alias("t"))
     return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("joined"))
 
 
@@ -97,18 +99,18 @@ def vocabulary_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relevance_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = analyse("and the", SearchSpec(sort="relevance", limit=20, offset=10))
-    d = match.search(_verses(spark, sf_dir).where("abbreviation = 'en'"), q)
+    d = match.search(_verses(spark, sf_dir), q)
     return match.page(d, q.spec.sort, q.spec.offset, q.spec.limit).select(*KEY, "score")
 
 
 def canonical_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = analyse("with", SearchSpec(limit=25, offset=5))
-    d = match.search(_verses(spark, sf_dir).where("abbreviation = 'en'"), q)
+    d = match.search(_verses(spark, sf_dir), q)
     return match.page(d, q.spec.sort, q.spec.offset, q.spec.limit).select(*KEY, "score")
 
 
 def total_has_more(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = match.search(_verses(spark, sf_dir).where("abbreviation = 'en'"), analyse("and the", SearchSpec(sort="relevance", limit=20, offset=10)))
+    d = match.search(_verses(spark, sf_dir), analyse("and the", SearchSpec(sort="relevance", limit=20, offset=10)))
     return match.totals(d, 10, 20)
 
 
@@ -130,7 +132,7 @@ def select_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document source asks for names in turn, so that the lookup runs over the whole table."""
+    """Every document asks for a name in turn, so that the lookup runs over the whole table."""
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.when(F.col("doc_id") % 3 == 0, F.lit("alt")).otherwise(F.lit("none")).alias("code"), F.element_at(F.array(*[F.lit(x) for x in ("GEN.", "1  John", "Ioannes", "Génesis", "84", "62", "nobody")]), (F.col("doc_id") % 7 + 1).cast("int")).alias("name"))
     return resolve_aliases(n, _aliases(spark))
 
@@ -142,9 +144,10 @@ def validate_dup_verse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validate_books_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _verses(spark, sf_dir)
-    corpus, other = v.where("abbreviation = 'en'").select("book_nr", "book_name"), v.where("abbreviation = 'es'").select("book_nr", "book_name")
-    return validate.book_differences(corpus, other, ["book_nr", "book_name"]).select("side", "book_nr", "book_name")
+    """The books of every translation against an index: the books of its labelled documents."""
+    d, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id")
+    keys = ["abbreviation", "book_nr", "book_name"]
+    return validate.book_differences(verses.from_documents(d).select(*keys), verses.from_documents(d.join(labels, "doc_id", "left_semi")).select(*keys), keys).select("side", *keys)
 
 
 def work_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,11 +155,134 @@ def work_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second reservation's part that depends on the vocabulary, for three parts of words, by translation."""
-    v = index.vocabulary(_tokenised(spark, sf_dir))
-    parts = ("tion", "heit", "ment")
-    each = [F.least(F.length("token"), F.lit(len(t))) + 1 + F.when(F.contains("token", F.lit(t)), F.col("cf")).otherwise(0) for t in parts]
-    return v.groupBy("abbreviation").agg(F.sum(each[0] + each[1] + each[2]).cast("long").alias("units"))
+    """What three parts of words cost in each translation's vocabulary, as a search reckons it."""
+    q = analyse("tion heit ment", SearchSpec(words="any", match="substring"))
+    return index.match_units(index.vocabulary(_tokenised(spark, sf_dir)), q).select("abbreviation", "units")
+
+
+def search_cost_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = analyse("of the", SearchSpec(words="phrase", exclude=("and of",)))
+    return index.match_units(index.vocabulary(_tokenised(spark, sf_dir)), q).select("abbreviation", "units")
+
+
+def postings_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = analyse("die and", SearchSpec(words="any"))
+    return match.by_postings(index.postings(_tokenised(spark, sf_dir)), q, KEY[1:]).select(*KEY, "score")
+
+
+def search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with the record that they are of."""
+    return match.search(_verses(spark, sf_dir), analyse("with", SearchSpec())).select("abbreviation", "reference", "book_name", "chapter_name", "text")
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a translation of its own, nested as files have it."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    book, chapter = F.expr("int(doc_id % 83 + 1)"), F.expr("int(doc_id div 83 + 1)")
+    name = F.concat(F.lit("Book "), book)
+    head = F.concat(name, F.lit(" "), chapter)
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(chapter.alias("chapter"), (i + 1).alias("verse"), F.concat(head, F.lit(":"), i + 1).alias("name"), x.alias("text")))
+    chapters = F.array(F.struct(chapter.alias("chapter"), head.alias("name"), lines.alias("verses")))
+    meta = {"translation": F.concat(F.upper("lang"), F.lit(" text")), "abbreviation": F.col("lang"), "lang": F.col("lang"), "language": F.upper("lang"), "direction": F.lit("LTR"), "encoding": F.lit("UTF-8")}
+    return d.select("doc_id", *[c.alias(k) for k, c in meta.items()], F.col("source").alias("description"), F.array(F.struct(book.alias("nr"), name.alias("name"), chapters.alias("chapters"))).alias("books"))
+
+
+def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verses.flatten(_nested(spark, sf_dir))
+
+
+def chapter_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verses.chapter_metadata(_nested(spark, sf_dir)).distinct()
+
+
+def translation_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verses.translation_metadata(_nested(spark, sf_dir))
+
+
+def _broken(nr: Any = 1, name: str = "B", chapter: int = 1, inside: int | None = None, verses_: tuple = (1,), books: int = 1, chapters: int = 1, of_book: tuple = (), of_verse: tuple = (), translation: str = "T") -> Column:
+    """A translation of one document's text as JSON, with faults."""
+    lit = lambda x, n: F.lit(x).alias(n)
+    verse = [F.struct(lit(chapter if inside is None else inside, "chapter"), lit(v, "verse"), lit("B 1:1", "name"), F.col("text").alias("text"), *[lit(1, k) for k in of_verse]) for v in verses_]
+    none = F.array().cast("array<struct<chapter:int,verse:int,name:string,text:string>>")
+    c = F.struct(lit(chapter, "chapter"), lit("B 1", "name"), (F.array(*verse) if verse else none).alias("verses"))
+    empty = F.array().cast("array<struct<chapter:int,name:string,verses:array<int>>>")
+    b = F.struct(F.lit(nr).cast("int").alias("nr"), lit(name, "name"), (F.array(*[c] * chapters) if chapters else empty).alias("chapters"), *[lit(1, k) for k in of_book])
+    return F.to_json(F.struct(lit(translation, "translation"), F.concat(F.lit("d"), F.col("doc_id")).alias("abbreviation"), (F.array(*[b] * books) if books else F.array().cast("array<struct<nr:int,name:string>>")).alias("books")))
+
+
+_LONG = "k" * 129
+#: By rule: a document that breaks it, as raw text and, below, as nested rows.
+_RAW_FAULTS = {
+    "V1": lambda: F.lit("{"), "V2": lambda: F.lit('{"translation": "T", "abbreviation": "t", "books": 5}'), "V4": lambda: _broken(nr=0), "V7": lambda: _broken(chapter=1001), "V10": lambda: _broken(verses_=(0,)),
+    "V16": lambda: _broken(translation=" "), "V17": lambda: _broken(of_book=(_LONG,)), "V18": lambda: _broken(of_verse=(_LONG,)),
+}
+_NESTED_FAULTS = {
+    "V3": lambda: _broken(books=0), "V4": lambda: _broken(nr=None), "V5": lambda: _broken(books=2), "V6": lambda: _broken(chapters=0), "V7": lambda: _broken(chapter=1001), "V8": lambda: _broken(chapters=2),
+    "V9": lambda: _broken(verses_=()), "V10": lambda: _broken(verses_=(2001,)), "V11": lambda: _broken(inside=2), "V12": lambda: _broken(verses_=(1, 1)),
+}
+
+
+def _faulty(spark: SparkSession, sf_dir: str, faults: dict[str, Callable[[], Column]]) -> DataFrame:
+    """(abbreviation, raw): every document broken in one way, by its number, or in none."""
+    raw = _broken()
+    for i, f in enumerate(faults.values(), 1):
+        raw = F.when(F.col("doc_id") % (len(faults) + 1) == i, f()).otherwise(raw)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select(F.concat(F.lit("d"), F.col("doc_id")).alias("abbreviation"), raw.alias("raw"))
+
+
+def _faulty_sql(faults: dict) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{rule}'" for i, rule in enumerate(faults, 1))
+    return f"SELECT 'd' || doc_id AS abbreviation, CASE doc_id % {len(faults) + 1} {cases} END AS rule FROM documents WHERE text IS NOT NULL AND doc_id % {len(faults) + 1} != 0"
+
+
+def validate_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.raw_violations(_faulty(spark, sf_dir, _RAW_FAULTS)).select("abbreviation", "rule")
+
+
+def validate_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _faulty(spark, sf_dir, _NESTED_FAULTS).select("abbreviation", F.from_json("raw", verses.TRANSLATION)["books"].alias("books"))
+    return validate.nested_violations(d).select("abbreviation", "rule")
+
+
+def validate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entry of an index per document: right, under no number, under another number, and of number 0."""
+    nr = F.expr("int(case when doc_id % 4 = 3 then 0 else doc_id % 83 + 1 end)")
+    key = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("x"), F.col("doc_id"))).when(F.col("doc_id") % 4 == 2, (nr + 1).cast("string")).otherwise(nr.cast("string"))
+    return validate.index_faults(spark.read.parquet(f"{sf_dir}/documents.parquet").select(key.alias("key"), nr.alias("nr"), F.col("lang").alias("abbreviation"))).select("key", "rule")
+
+
+def checksum_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums of all texts against published ones, of which one third is right, one third another's and one third missing."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("d/"), F.col("doc_id"), F.lit(".json")).alias("path"), F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("sha"), "doc_id")
+    published = d.where("doc_id % 3 != 1").select("path", F.when(F.col("doc_id") % 3 == 2, F.lit("0" * 40)).otherwise(F.col("sha")).alias("sha"))
+    return checksum_faults(d.select("path", "sha"), published).select("path", "sha", "published")
+
+
+def _chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(abbreviation, book_nr, chapter, raw): every document as a chapter file, broken in one way, by its number, or in none."""
+    n = _nested(spark, sf_dir)
+    k, c = F.col("doc_id") % 8, F.col("books")[0]["chapters"][0]
+    other = lambda at, x, y: F.when(k == at, y).otherwise(x)
+    lines = F.transform(c["verses"], lambda v: F.struct(other(4, v["chapter"], v["chapter"] + 1).alias("chapter"), other(5, v["verse"], F.lit(1)).alias("verse"), v["name"].alias("name"), v["text"].alias("text")))
+    lines = other(6, F.when(k == 5, F.concat(lines, lines)).otherwise(lines), F.slice(lines, 1, 0))
+    nr = F.col("books")[0]["nr"]
+    doc = F.struct("translation", other(1, F.col("abbreviation"), F.lit("zz")).alias("abbreviation"), "lang", other(2, nr, nr + 1).alias("book_nr"), F.col("books")[0]["name"].alias("book_name"), other(3, c["chapter"], c["chapter"] + 1).alias("chapter"), c["name"].alias("name"), lines.alias("verses"))
+    return n.select("abbreviation", nr.alias("book_nr"), c["chapter"].alias("chapter"), other(7, F.to_json(doc), F.lit("[")).alias("raw"))
+
+
+def validate_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.chapter_violations(_chapters(spark, sf_dir)).select("abbreviation", "book_nr", "chapter", "rule", "fault")
+
+
+def chapter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verses of every chapter file that breaks no constraint."""
+    return verses.flatten_chapters(validate.sound_chapters(_chapters(spark, sf_dir))).select("abbreviation", "book_nr", "book_name", "chapter", "chapter_name", "verse", "reference", "text")
+
+
+def code_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sources, with and without their language, could be codes of translations."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.array("source", F.concat_ws("-", "lang", "source"), F.concat_ws("/", "lang", "source"), F.upper("source"), F.repeat("lang", 16))).alias("name")).distinct()
+    return d.select("name", validate.valid_code(F.col("name")).alias("valid"))
 
 
 def available_books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +294,8 @@ def book_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chapter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verses(spark, sf_dir).where("abbreviation = 'en' and book_nr = 2").select("chapter", "verse", "reference", "text")
+    """One book of every translation."""
+    return _verses(spark, sf_dir).where("book_nr = 2").select("abbreviation", "chapter", "verse", "reference", "text")
 
 
 def checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,12 +347,15 @@ _SEARCHES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 }
 
 _T = _t()
-_PAGE = "SELECT abbreviation, book_nr, chapter, verse, score FROM (SELECT *, CAST({score} AS BIGINT) AS score FROM t WHERE abbreviation = 'en') WHERE {cond} ORDER BY {order} LIMIT {limit} OFFSET {offset}"
+_PAGE = "SELECT abbreviation, book_nr, chapter, verse, score FROM (SELECT *, CAST({score} AS BIGINT) AS score FROM t) WHERE {cond} ORDER BY {order} LIMIT {limit} OFFSET {offset}"
 _BOTH = f"{_tf('and')} > 0 AND {_tf('the')} > 0"
 _CF = f"{_T}, c AS (SELECT abbreviation, token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT abbreviation, book_nr, chapter, verse, token, count(*) AS tf FROM (SELECT abbreviation, book_nr, chapter, verse, unnest(tokens) AS token FROM t) GROUP BY ALL) GROUP BY ALL)"
 _PARTS = "(VALUES ('tion'), ('heit'), ('ment')) p(term)"
 _NAMES = "(VALUES ('gen', 'GEN.'), ('1john', '1  John'), ('ioannes', 'Ioannes'), ('génesis', 'Génesis'), ('84', '84'), ('62', '62'), ('nobody', 'nobody'))"
 
+_RECORD = "abbreviation, book_nr, 'Book ' || book_nr AS book_name, chapter, 'Book ' || book_nr || ' ' || chapter AS chapter_name, verse, 'Book ' || book_nr || ' ' || chapter || ':' || verse AS reference, text"
+_CHAPTER_FAULTS = "WHEN 1 THEN 'abbreviation' WHEN 2 THEN 'book_nr' WHEN 3 THEN 'chapter' WHEN 4 THEN 'verse of another chapter' WHEN 5 THEN 'repeated verse' WHEN 6 THEN 'verses' WHEN 7 THEN 'not JSON'"
+
 _OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "flatten_ordinal": (flatten_ordinal, f"WITH {_V} SELECT abbreviation, book_nr, chapter, verse, row_number() OVER (PARTITION BY abbreviation ORDER BY book_nr, chapter, verse) - 1 AS ordinal FROM v"),
     "tokenize": (tokenize, f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS joined FROM (SELECT doc_id, {_TOKENS.format(_SPACED.format("replace(lower(text), 'ß', 'ss')"))} AS t FROM documents)"),
@@ -235,7 +365,7 @@ _OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "vocabulary_substring": (vocabulary_substring, f"WITH {_CF} SELECT abbreviation, term, count(*) AS n_tokens, CAST(sum(cf) AS BIGINT) AS occurrences FROM c, {_PARTS} WHERE contains(token, term) GROUP BY ALL"),
     "relevance_page": (relevance_page, f"WITH {_T} " + _PAGE.format(score=f"{_tf('and')} + {_tf('the')}", cond=_BOTH, order="score DESC, book_nr, chapter, verse", limit=20, offset=10)),
     "canonical_page": (canonical_page, f"WITH {_T} " + _PAGE.format(score=_tf("with"), cond=f"{_tf('with')} > 0", order="book_nr, chapter, verse", limit=25, offset=5)),
-    "total_has_more": (total_has_more, f"WITH {_T}, n AS (SELECT count(*) AS total FROM t WHERE abbreviation = 'en' AND {_BOTH}) SELECT total, greatest(0, least(20, total - 10)) AS returned, 10 + greatest(0, least(20, total - 10)) < total AS has_more FROM n"),
+    "total_has_more": (total_has_more, f"WITH {_T}, n AS (SELECT count(*) AS total FROM t WHERE {_BOTH}) SELECT total, greatest(0, least(20, total - 10)) AS returned, 10 + greatest(0, least(20, total - 10)) < total AS has_more FROM n"),
     "grouped_response": (grouped_response, f"WITH {_T} SELECT abbreviation || '_' || book_nr || '_' || chapter AS key, string_agg(verse, ',' ORDER BY verse) AS verses, count(*) AS n, count(*) AS n_refs FROM t WHERE book_nr BETWEEN 40 AND 66 AND {_BOTH} GROUP BY 1"),
     "select_refs": (
         select_refs,
@@ -258,13 +388,30 @@ UNION ALL SELECT 'V13', NULL, NULL, NULL, count(*) FROM c HAVING count(*) > 1000
     ),
     "validate_books_match": (
         validate_books_match,
-        f"WITH {_V}, b AS (SELECT DISTINCT abbreviation, book_nr, 'Book ' || book_nr AS book_name FROM v), e AS (SELECT book_nr, book_name FROM b WHERE abbreviation = 'en'), s AS (SELECT book_nr, book_name FROM b WHERE abbreviation = 'es') SELECT 'corpus' AS side, * FROM (SELECT * FROM e EXCEPT SELECT * FROM s) UNION ALL SELECT 'index', * FROM (SELECT * FROM s EXCEPT SELECT * FROM e)",
+        "WITH b AS (SELECT DISTINCT lang AS abbreviation, CAST(doc_id % 83 + 1 AS INTEGER) AS book_nr, doc_id IN (SELECT doc_id FROM labels) AS labelled FROM documents WHERE text IS NOT NULL) "
+        "SELECT 'corpus' AS side, abbreviation, book_nr, 'Book ' || book_nr AS book_name FROM b GROUP BY ALL HAVING NOT bool_or(labelled)",
     ),
     "work_units": (work_units, f"WITH {_V} SELECT abbreviation, count(*) AS n, CAST(sum(len(text)) AS BIGINT) AS chars, CAST(count(*) + 2 * sum(len(text)) AS BIGINT) AS units FROM v GROUP BY 1"),
     "search_cost": (search_cost, f"WITH {_CF} SELECT abbreviation, CAST(sum(1 + least(len(token), 4) + CASE WHEN contains(token, term) THEN cf ELSE 0 END) AS BIGINT) AS units FROM c, {_PARTS} GROUP BY 1"),
     "available_books": (available_books, f"WITH {_V} SELECT abbreviation, count(DISTINCT book_nr) AS n_books, min(book_nr) AS first, max(book_nr) AS last FROM v GROUP BY 1"),
     "book_names": (book_names, f"WITH {_V} SELECT DISTINCT abbreviation, 'book' || book_nr AS name, book_nr FROM v"),
-    "chapter_scan": (chapter_scan, f"WITH {_V} SELECT chapter, verse, 'Book 2 ' || chapter || ':' || verse AS reference, text FROM v WHERE abbreviation = 'en' AND book_nr = 2"),
+    "chapter_scan": (chapter_scan, f"WITH {_V} SELECT abbreviation, chapter, verse, 'Book 2 ' || chapter || ':' || verse AS reference, text FROM v WHERE book_nr = 2"),
+    "search_cost_words": (search_cost_words, f"WITH {_CF} SELECT abbreviation, CAST(sum(cf * CASE token WHEN 'of' THEN 3 WHEN 'the' THEN 2 ELSE 1 END) AS BIGINT) AS units FROM c WHERE token IN ('of', 'the', 'and') GROUP BY 1"),
+    "postings_any": (postings_any, f"WITH {_T} SELECT abbreviation, book_nr, chapter, verse, CAST({_tf('and')} + {_tf('die')} AS BIGINT) AS score FROM t WHERE {_tf('and')} > 0 OR {_tf('die')} > 0"),
+    "search_records": (search_records, f"WITH {_T} SELECT abbreviation, 'Book ' || book_nr || ' ' || chapter || ':' || verse AS reference, 'Book ' || book_nr AS book_name, 'Book ' || book_nr || ' ' || chapter AS chapter_name, text FROM t WHERE {_tf('with')} > 0"),
+    "flatten_nested": (flatten_nested, f"WITH {_V} SELECT {_RECORD} FROM v"),
+    "chapter_metadata": (chapter_metadata, "SELECT DISTINCT upper(lang) || ' text' AS translation, lang AS abbreviation, lang, upper(lang) AS language, 'LTR' AS direction, 'UTF-8' AS encoding FROM documents WHERE text IS NOT NULL"),
+    "translation_metadata": (translation_metadata, "SELECT doc_id, upper(lang) || ' text' AS translation, lang AS abbreviation, lang, upper(lang) AS language, 'LTR' AS direction, 'UTF-8' AS encoding, source AS description FROM documents WHERE text IS NOT NULL"),
+    "validate_raw": (validate_raw, _faulty_sql(_RAW_FAULTS)),
+    "validate_nested": (validate_nested, _faulty_sql(_NESTED_FAULTS)),
+    "validate_index": (validate_index, "SELECT CASE doc_id % 4 WHEN 1 THEN 'x' || doc_id WHEN 2 THEN CAST(doc_id % 83 + 2 AS VARCHAR) ELSE '0' END AS key, 'V15' AS rule FROM documents WHERE doc_id % 4 != 0"),
+    "checksum_compare": (checksum_compare, "SELECT 'd/' || doc_id || '.json' AS path, sha1(coalesce(text, '')) AS sha, CASE WHEN doc_id % 3 = 2 THEN repeat('0', 40) END AS published FROM documents WHERE doc_id % 3 != 0"),
+    "validate_chapters": (
+        validate_chapters,
+        f"SELECT lang AS abbreviation, CAST(doc_id % 83 + 1 AS INTEGER) AS book_nr, CAST(doc_id // 83 + 1 AS INTEGER) AS chapter, 'V19' AS rule, CASE doc_id % 8 {_CHAPTER_FAULTS} END AS fault FROM documents WHERE text IS NOT NULL AND doc_id % 8 != 0",
+    ),
+    "chapter_files": (chapter_files, f"WITH {_V} SELECT {_RECORD} FROM v WHERE ((chapter - 1) * 83 + book_nr - 1) % 8 = 0"),
+    "code_grammar": (code_grammar, "SELECT DISTINCT name, regexp_full_match(lower(name), '[a-z0-9][a-z0-9_-]{0,29}') AS valid FROM (SELECT unnest([source, lang || '-' || source, lang || '/' || source, upper(source), repeat(lang, 16)]) AS name FROM documents)"),
     "checksum": (checksum, "SELECT doc_id, sha1(text) AS sha FROM documents"),
     "verse_lists": (verse_lists, "SELECT CAST(conv_id % 50 + 1 AS INTEGER) AS book_nr, CAST(conv_id + 1 AS INTEGER) AS chapter, CAST(len(role) AS INTEGER) AS verse, min(turn) AS turn FROM conversations GROUP BY ALL"),
     "chapter_sizes": (chapter_sizes, f"WITH {_V}, c AS (SELECT abbreviation, book_nr, chapter, count(*) AS verses FROM v GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY abbreviation, book_nr ORDER BY chapter) AS INTEGER) AS place FROM c"),

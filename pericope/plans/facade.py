@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import copy
 import json
 import threading
 import time
 import uuid
-from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict
@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pericope.errors import CorpusIntegrityError, ReferenceValidationError, RepositoryResourceNotFound, RequestLimitError, SearchDeadlineExceeded, SearchLimitError, SearchValidationError, TranslationNotFoundError
 from pericope.functions.text import normalise_name
 from pericope.operators import group, index, match
+from pericope.plans.caches import KeyedLocks, Recent
 from pericope.plans.criteria import SCOPES, Analysed, RequestLimits, SearchLimits, SearchSpec, analyse, valid_limit
-from pericope.plans.references import DEFAULT_CODE, AliasBook, BookReference, ReferenceParser, reference_rows, select_verses
+from pericope.plans.references import DEFAULT_CODE, AliasBook, BookReference, ReferenceParser
 from pericope.sources.repository import Repository, alias_catalogue
-from pericope.sources.store import Snapshot, SnapshotStore, SourceGeneration, books_index
+from pericope.sources.store import ChapterStore, Snapshot, SnapshotStore, SourceGeneration, books_index
 from pericope.sources.validate import code_of
 
 
@@ -53,6 +54,7 @@ class _Corpus:
             if key not in self.indexes:
                 t = index.with_tokens(self.verses, *key).persist()
                 v = index.vocabulary(t).persist()
+                v.count()  # fills both tables
                 self.indexes[key] = (t, v, t.agg(F.coalesce(F.sum(F.length("norm")), F.lit(0))).first()[0])
             return self.indexes[key]
 
@@ -66,26 +68,28 @@ class _Corpus:
 class VerseEngine:
     """Searches and selects verses of translations in a repository.
 
-    aliases: an AliasBook, or the path of a folder of catalogues.
+    aliases: an AliasBook, or the path of a folder of catalogues; English names if
+    there is none. Limits of caches: None for no limit, 0 to keep nothing.
     """
 
     def __init__(
         self, spark: SparkSession, repository: str | Repository, aliases: AliasBook | str | None = None, store: str | None = None, *, search_limits: SearchLimits | None = None,
         request_limits: RequestLimits | None = None, corpus_limit: int | None = 4, reference_limit: int | None = 5000, snapshot_ttl: float = 86_400.0, negative_ttl: float = 300.0,
-        negative_limit: int = 64, strict_freshness: bool = False, require_checksum: bool | None = None, purge: Callable[[SourceGeneration], None] | None = None,
+        negative_limit: int = 64, books_limit: int | None = 64, chapter_limit: int | None = 2048, snapshot_limit: int | None = 4, strict_freshness: bool = False, require_checksum: bool | None = None, purge: Callable[[SourceGeneration], None] | None = None,
     ):
         self.spark = spark
         self.repository = Repository(repository) if isinstance(repository, str) else repository
-        self.search_limits, self.request_limits = search_limits or SearchLimits(), request_limits or RequestLimits()
-        book = AliasBook.from_table(alias_catalogue(spark, aliases)) if isinstance(aliases, str) else aliases or AliasBook()
+        m = self.request_limits = request_limits or RequestLimits()
+        self.search_limits = search_limits or SearchLimits(max_offset=m.max_search_offset, max_books=m.max_search_books, max_exclusions=m.max_search_exclusions)
+        book = AliasBook.from_table(alias_catalogue(spark, aliases)) if isinstance(aliases, str) else aliases or AliasBook.default()
         self.references = ReferenceParser(book, reference_limit)
-        self.store = SnapshotStore(spark, store, self.repository, snapshot_ttl, strict_freshness, require_checksum)
-        self.corpus_limit, self.negative_ttl, self.negative_limit, self.purge = corpus_limit, negative_ttl, negative_limit, purge
-        self._corpora: OrderedDict[tuple[str, str], _Corpus] = OrderedDict()
-        self._books: dict[str, tuple[float, dict]] = {}
-        self._missing: OrderedDict[str, float] = OrderedDict()
-        self._lock = threading.RLock()
-        self._counters = dict.fromkeys(("corpus_hits", "corpus_misses", "corpus_evictions", "negative_hits", "negative_misses", "negative_evictions"), 0)
+        self.store = SnapshotStore(spark, store, self.repository, snapshot_ttl, strict_freshness, require_checksum, limit=snapshot_limit)
+        self.chapters = ChapterStore(self.store, chapter_limit)
+        self.negative_ttl, self.purge = negative_ttl, purge
+        self._corpora = Recent(corpus_limit, _Corpus.unpersist)
+        self._books = Recent(books_limit)
+        self._missing = Recent(negative_limit)
+        self._locks = KeyedLocks()
 
     def __enter__(self) -> VerseEngine:
         return self
@@ -94,12 +98,8 @@ class VerseEngine:
         self.close()
 
     def close(self) -> None:
-        with self._lock:
-            for c in self._corpora.values():
-                c.unpersist()
-            self._corpora.clear()
-            self._missing.clear()
-            self._books.clear()
+        for c in (self._corpora, self._missing, self._books, self.chapters.kept):
+            c.clear()
         self.repository.close()
 
     # what there is
@@ -116,26 +116,23 @@ class VerseEngine:
             code = code_of(abbreviation)
         except (TypeError, ValueError):
             return False
-        with self._lock:
-            now = time.monotonic()
-            for k in [k for k, t in self._missing.items() if t <= now]:
-                del self._missing[k]
-            if code in self._missing:
-                self._counters["negative_hits"] += 1
+        with self._locks.hold(f"books:{code}"):
+            now = time.time()
+            until = self._missing.get(code)
+            if until is not None and until > now:
+                self._missing.hit(True)
                 return False
             known = self._books.get(code)
-            if known and known[0] > now:
+            self._books.hit(bool(known and self.store.fresh(code, known[0], now)))
+            if known and self.store.fresh(code, known[0], now):
                 return True
             try:
-                self._books[code] = (now + 300, books_index(self.repository, code))
+                self._books.put(code, (now, books_index(self.repository, code)))
                 return True
             except RepositoryResourceNotFound:
-                self._counters["negative_misses"] += 1
-                if self.negative_ttl > 0 and self.negative_limit > 0:
-                    self._missing[code] = now + self.negative_ttl
-                    while len(self._missing) > self.negative_limit:
-                        self._missing.popitem(last=False)
-                        self._counters["negative_evictions"] += 1
+                self._missing.hit(False)
+                if self.negative_ttl > 0:
+                    self._missing.put(code, now + self.negative_ttl)
                 return False
 
     def _code(self, abbreviation: Any) -> str:
@@ -146,25 +143,28 @@ class VerseEngine:
             return code
         raise TranslationNotFoundError(f"There is no translation {code}.")
 
-    def _corpus(self, code: str) -> _Corpus:
+    @contextmanager
+    def _corpus(self, code: str) -> Iterator[_Corpus]:
+        """The corpus, for as long as it is used; where none are kept, its tables are let go at the end."""
         snapshot = self.store.load(code)
-        with self._lock:
-            key = (code, snapshot.sha)
-            got = self._corpora.pop(key, None)
+        key = (code, snapshot.sha)
+        with self._locks.hold(f"corpus:{code}"):
+            got = self._corpora.get(key)
+            self._corpora.hit(got is not None)
             if got is not None:
-                self._counters["corpus_hits"] += 1
                 got.snapshot = snapshot
+                kept = True
             else:
-                self._counters["corpus_misses"] += 1
-                for old in [k for k in self._corpora if k[0] == code]:
-                    self._corpora.pop(old).unpersist()
+                for old in [k for k in self._corpora.keys() if k[0] == code]:
+                    if gone := self._corpora.pop(old):
+                        gone.unpersist()
                 got = _Corpus(snapshot)
-            if self.corpus_limit != 0:
-                self._corpora[key] = got
-                while self.corpus_limit is not None and len(self._corpora) > self.corpus_limit:
-                    self._corpora.popitem(last=False)[1].unpersist()
-                    self._counters["corpus_evictions"] += 1
-            return got
+                kept = self._corpora.put(key, got)
+        try:
+            yield got
+        finally:
+            if not kept:
+                got.unpersist()
 
     # search
 
@@ -192,23 +192,27 @@ class VerseEngine:
 
     def _search(self, q: Analysed, code: str) -> dict[str, Any]:
         spec, limits = q.spec, self.search_limits
-        corpus = self._corpus(code)
-        lo, hi = SCOPES[spec.scope]
-        books = {b for b in corpus.books if (lo is None or b >= lo) and (hi is None or b <= hi)}
-        if spec.books:
-            books &= self.resolve_books(corpus, spec.books)
-        narrow = books != set(corpus.books)
-        first = corpus.build + corpus.n + 8 * spec.limit
-        self._reserve(first)
-        with self._deadline():
+        with self._corpus(code) as corpus:
+            lo, hi = SCOPES[spec.scope]
+            books = {b for b in corpus.books if (lo is None or b >= lo) and (hi is None or b <= hi)}
+            if spec.books:
+                books &= self.resolve_books(corpus, spec.books)
+            narrow = books != set(corpus.books)
+            first = corpus.build + corpus.n + 8 * spec.limit
+            self._reserve(first)
+            # a translation's index is made once, as warm_translation() does it, and doesn't count towards a search's time
             tokenised, vocabulary, chars = corpus.index(spec.case_sensitive, spec.diacritics)
-            _, second = index.search_units(corpus.n, corpus.build, vocabulary, chars, q, narrow)
-            self._reserve(second)
-            found = match.hits(tokenised, q, sorted(books) if narrow else None)
-            total = found.count()
-            rows = match.page(found, spec.sort, spec.offset, spec.limit).collect() if total > spec.offset else []
-        s = corpus.snapshot
-        return group.search_document(rows, q, s.metadata, s.chapter_fields, code, s.sha, s.checked_at, s.stale, total, max(first, second), limits.deadline_seconds, limits.max_response_bytes)
+            with self._deadline():
+                _, second = index.search_units(corpus.n, corpus.build, vocabulary, chars, q, narrow)
+                self._reserve(second)
+                found = match.hits(tokenised, q, sorted(books) if narrow else None)
+                if match.counted_by_vocabulary(q) and not narrow:
+                    total = match.vocabulary_total(vocabulary, q)
+                else:
+                    total = found.count()
+                rows = match.page(found, spec.sort, spec.offset, spec.limit).collect() if total > spec.offset else []
+            s = corpus.snapshot
+            return group.search_document(rows, q, s.metadata, s.chapter_fields, code, s.sha, s.checked_at, s.stale, total, max(first, second), limits.deadline_seconds, limits.max_response_bytes)
 
     def _reserve(self, units: int) -> None:
         if units > self.search_limits.max_work_units:
@@ -273,31 +277,22 @@ class VerseEngine:
         return out
 
     def _select(self, refs: list[BookReference], code: str) -> dict[str, Any]:
-        corpus = self._corpus(code)
-        chapters = {(r.book, r.chapter) for r in refs}
-        cond = F.lit(False)
-        for b, c in sorted(chapters):
-            cond = cond | ((F.col("book_nr") == b) & (F.col("chapter") == c))
-        part = corpus.verses.where(cond)
-        heads = {(r["book_nr"], r["chapter"]): r for r in part.groupBy("book_nr", "chapter").agg(F.max("book_name").alias("book_name"), F.max("chapter_name").alias("chapter_name")).collect()}
-        for r in refs:
-            if (r.book, r.chapter) not in heads:
-                raise FileNotFoundError(f"Chapter:{r.chapter} in book:{r.book} for {code} not found.")
-        extra = part.select("book_nr", "chapter", "verse", "extra_json")
-        rows = select_verses(part, reference_rows(self.spark, refs)).join(extra, ["book_nr", "chapter", "verse"], "left").orderBy("ref_ix", "pos").collect()
+        """By the chapters' own files: a request names few, so no translation is loaded for it. For many references at once there is references.select_verses()."""
         out: dict[str, Any] = {}
-        for r in rows:
-            if r["text"] is None:
-                raise ReferenceValidationError(f"Verse {r['verse']} not found in book {r['book_nr']}, chapter {r['chapter']}.")
-            key = f"{code}_{r['book_nr']}_{r['chapter']}"
-            if key not in out:
-                h = heads[r["book_nr"], r["chapter"]]
-                out[key] = dict(corpus.snapshot.chapter_fields, book_nr=r["book_nr"], book_name=h["book_name"], chapter=r["chapter"], name=h["chapter_name"], ref=[], verses=[])
-            out[key]["verses"].append({"chapter": r["chapter"], "verse": r["verse"], "name": r["name"], "text": r["text"], **json.loads(r["extra_json"] or "{}")})
-        for r in refs:  # a reference whose verses all came before is listed too
-            listed = out[f"{code}_{r.book}_{r.chapter}"]["ref"]
-            if r.reference not in listed:
-                listed.append(r.reference)
+        seen: dict[str, set[int]] = {}
+        for r in refs:
+            key = f"{code}_{r.book}_{r.chapter}"
+            doc = self.chapters.load(code, r.book, r.chapter)
+            for n in r.verses:
+                if n not in doc["verses"]:
+                    raise ReferenceValidationError(f"Verse {n} not found in book {r.book}, chapter {r.chapter}.")
+                if key not in out:
+                    out[key] = {k: copy.deepcopy(v) for k, v in doc.items() if k != "verses"} | {"ref": [], "verses": []}
+                if n not in seen.setdefault(key, set()):
+                    seen[key].add(n)
+                    out[key]["verses"].append(copy.deepcopy(doc["verses"][n]))
+            if r.reference not in out[key]["ref"]:
+                out[key]["ref"].append(r.reference)
         return out
 
     # state
@@ -307,11 +302,10 @@ class VerseEngine:
         SearchSpec(case_sensitive=case_sensitive, diacritics=diacritics)
         code = self._code(abbreviation)
         with self.source_operation():
-            c = self._corpus(code)
-            c.index(case_sensitive, diacritics)
-            c.indexes[case_sensitive, diacritics][1].count()
-            s = c.snapshot
-            return {"abbreviation": code, "sha": s.sha, "verses": c.n, "checked_at": s.checked_at, "stale": s.stale, "indexes": [{"case_sensitive": a, "diacritics": b} for a, b in c.indexes]}
+            with self._corpus(code) as c:
+                c.index(case_sensitive, diacritics)
+                s = c.snapshot
+                return {"abbreviation": code, "sha": s.sha, "verses": c.n, "checked_at": s.checked_at, "stale": s.stale, "indexes": [{"case_sensitive": a, "diacritics": b} for a, b in c.indexes]}
 
     @contextmanager
     def source_operation(self) -> Iterator[Any]:
@@ -321,16 +315,16 @@ class VerseEngine:
 
     def transition_source(self, revision: str) -> SourceGeneration:
         new = self.store.transition(revision, self.purge)
-        with self._lock:
-            self._missing.clear()
-            self._books.clear()
+        for c in (self._missing, self._books, self.chapters.kept):
+            c.clear()
         return new
 
     def cache_info(self) -> dict[str, Any]:
-        with self._lock:
-            return {
-                "corpora": {"size": len(self._corpora), "limit": self.corpus_limit, "indexes": {k[0]: len(c.indexes) for k, c in self._corpora.items()}},
-                "references": self.references.cache_info(), "snapshots": dict(self.store.counters), "generation": asdict(self.store.generation()),
-                "negative_translations": {"size": len(self._missing), "limit": self.negative_limit, "ttl_seconds": self.negative_ttl}, "counters": dict(self._counters),
-                "request_limits": asdict(self.request_limits), "search_limits": self.search_limits.to_dict(), "repository_max_response_bytes": self.repository.max_response_bytes,
-            }
+        corpora, missing = self._corpora.info(), self._missing.info()
+        counters = {"corpus_hits": corpora["hits"], "corpus_misses": corpora["misses"], "corpus_evictions": corpora["evictions"], "negative_hits": missing["hits"], "negative_misses": missing["misses"], "negative_evictions": missing["evictions"]}
+        return {
+            "corpora": corpora | {"indexes": {k[0]: len(c.indexes) for k, c in self._corpora.items()}}, "books": self._books.info(), "chapters": self.chapters.kept.info(), "translations": self.store.info(),
+            "references": self.references.cache_info(), "snapshots": dict(self.store.counters), "generation": asdict(self.store.generation()),
+            "negative_translations": missing | {"ttl_seconds": self.negative_ttl}, "counters": counters,
+            "request_limits": asdict(self.request_limits), "search_limits": self.search_limits.to_dict(), "repository_max_response_bytes": self.repository.max_response_bytes,
+        }

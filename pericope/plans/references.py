@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pericope.errors import ReferenceValidationError, RequestLimitError
 from pericope.functions.text import alias_form, normalise_alias
+from pericope.plans.names import english
 
 _MARKS = frozenset(" ,:-.'’")
 DEFAULT_CODE = "kjv"
@@ -42,6 +46,11 @@ class AliasBook:
         """From sources.repository.alias_catalogue(); small, as the number of books and languages bounds it."""
         return cls((r["code"], r["alias"], r["book_nr"]) for r in aliases.orderBy("code", "position").collect())
 
+    @classmethod
+    def default(cls) -> AliasBook:
+        """English names under the default code."""
+        return cls(english(DEFAULT_CODE))
+
     def number(self, name: str, code: str | None = None, fallback: Iterable[str] | None = None) -> int | None:
         if name.isdigit():
             try:
@@ -55,11 +64,14 @@ class AliasBook:
                 return found
         return None
 
-    def dump(self, code: str) -> dict[str, dict[str, str]]:
-        """A catalogue as it is looked up."""
+    def dump(self, code: str, path: str | os.PathLike | None = None) -> dict[str, dict[str, str]]:
+        """A catalogue as it is looked up; as a JSON file too, if there is a path for it."""
         if code not in self.names:
             raise ValueError(f"No catalogue {code!r}.")
-        return {k: {"book_number": str(v)} for k, v in self.names[code].items()}
+        out = {k: {"book_number": str(v)} for k, v in self.names[code].items()}
+        if path is not None:
+            Path(path).write_text(json.dumps(out, ensure_ascii=False, indent=1), "utf-8")
+        return out
 
 
 def resolve_aliases(names: DataFrame, aliases: DataFrame, default: str = DEFAULT_CODE) -> DataFrame:

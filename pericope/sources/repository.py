@@ -127,8 +127,23 @@ class Repository:
 
 
 def raw_files(spark: SparkSession, path: str, pattern: str = "*.json", max_bytes: int = 128 << 20) -> DataFrame:
-    """(path, length, content) of the files; what is over the limit isn't opened, as length is a pushed-down filter of this source."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).where(F.col("length") <= max_bytes).select("path", "length", "content")
+    """(path, length, content) of the files. A file over the limit isn't opened, as length is a pushed-down filter of this source, and fails the query; large_files() lists those."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length", "content")
+    too_large = large_files(spark, path, pattern, max_bytes).select("path", "length", F.raise_error(F.concat("path", F.lit(f" is over {max_bytes} bytes"))).cast("binary").alias("content"))
+    return files.where(F.col("length") <= max_bytes).unionByName(too_large)
+
+
+def large_files(spark: SparkSession, path: str, pattern: str = "*.json", max_bytes: int = 128 << 20) -> DataFrame:
+    """(path, length) of the files over the limit, none of which is opened."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length").where(F.col("length") > max_bytes)
+
+
+def chapter_files(spark: SparkSession, path: str, max_bytes: int = 128 << 20) -> DataFrame:
+    """(abbreviation, book_nr, chapter, path, sha, raw) of all chapter files of a version's folder, under the numbers of their paths."""
+    raw = raw_files(spark, f"{path}/*/*/", "*.json", max_bytes)
+    part = lambda i: F.regexp_extract("path", r"([^/]+)/([0-9]+)/([0-9]+)\.json$", i)
+    d = raw.where(F.col("path").rlike(r"/[0-9]+/[0-9]+\.json$"))
+    return d.select(part(1).alias("abbreviation"), part(2).cast("int").alias("book_nr"), part(3).cast("int").alias("chapter"), "path", F.sha1("content").alias("sha"), F.decode("content", "UTF-8").alias("raw"))
 
 
 def translations(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:

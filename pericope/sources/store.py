@@ -23,10 +23,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pericope.errors import CorpusIntegrityError, RepositoryError, RepositoryResourceNotFound
+from pericope.errors import CorpusIntegrityError, RepositoryError, RepositoryResourceNotFound, RepositoryResponseError
 from pericope.operators.verses import METADATA, TRANSLATION, flatten
 from pericope.sources.repository import Repository
-from pericope.sources.validate import structure_faults, valid_sha
+from pericope.plans.caches import KeyedLocks, Recent
+from pericope.sources.validate import chapter_fault, document_faults, valid_sha
 
 RULES_VERSION = 1
 
@@ -128,19 +129,36 @@ class Barrier:
                 self.free.notify_all()
 
 
+def _root(spark: SparkSession, root: str | os.PathLike | None) -> str:
+    """The folder given, or set in the environment; else, on a cluster, one in spark.checkpoint.dir, and in local mode the user's cache."""
+    base = root or os.environ.get("PERICOPE_CACHE_DIR")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            raise ValueError("On a cluster, a store needs a folder that driver and executors share.")
+        base = f"{base}/pericope"
+    base = str(base or os.path.join(os.environ.get("XDG_CACHE_HOME") or os.path.expanduser("~/.cache"), "pericope"))
+    base = base.removeprefix("file://")
+    if "://" in base:
+        raise ValueError(f"{base} isn't a mounted folder, which a store needs.")
+    return base
+
+
 class SnapshotStore:
-    """Current snapshots of one source. root is a folder that driver and executors share."""
+    """Current snapshots of one source. root is a mounted folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, root: str | os.PathLike | None, repository: Repository, ttl: float = 86_400.0, strict: bool = False, require_checksum: bool | None = None, clock: Callable[[], float] = time.time):
+    def __init__(
+        self, spark: SparkSession, root: str | os.PathLike | None, repository: Repository, ttl: float = 86_400.0, strict: bool = False, require_checksum: bool | None = None, clock: Callable[[], float] = time.time,
+        limit: int | None = 4,
+    ):
         self.spark, self.repository, self.ttl, self.strict, self.clock = spark, repository, ttl, strict, clock
         self.require_checksum = repository.remote if require_checksum is None else require_checksum
         self.namespace = hashlib.sha256(f"{repository.path}|{repository.version}".encode()).hexdigest()[:16]
-        base = root or os.environ.get("PERICOPE_CACHE_DIR") or os.path.join(os.environ.get("XDG_CACHE_HOME") or os.path.expanduser("~/.cache"), "pericope")
-        self.root = Path(base) / self.namespace
+        self.root = Path(_root(spark, root)) / self.namespace
         self.barrier = Barrier()
-        self._memory: dict[str, tuple[int, Snapshot]] = {}
+        self._memory = Recent(limit)
         self.counters = dict.fromkeys(("memory_hits", "disk_hits", "refreshes", "stale"), 0)
-        self._lock = threading.RLock()
+        self._locks = KeyedLocks()
 
     # generations
 
@@ -173,19 +191,24 @@ class SnapshotStore:
 
     # snapshots
 
+    def info(self) -> dict[str, int | None]:
+        return self._memory.info()
+
     def invalidate(self, abbreviation: str = "") -> None:
-        with self._lock:
-            for key in [abbreviation] if abbreviation else list(self._memory):
-                self._memory.pop(key, None)
+        for key in [abbreviation] if abbreviation else self._memory.keys():
+            self._memory.pop(key)
+
+    def fresh(self, name: str, checked_at: float, now: float) -> bool:
+        """The time to live, shortened by up to a tenth, always the same tenth for one source and name."""
+        part = int.from_bytes(hashlib.blake2b(f"{self.namespace}:{name}".encode(), digest_size=4).digest(), "big") / 2**32
+        return self.ttl > 0 and 0 <= now - checked_at < self.ttl * (1 - part / 10)
 
     def _fresh(self, s: Snapshot, now: float) -> bool:
-        """The time to live, shortened by up to a tenth, always the same tenth for one source and translation."""
-        part = int.from_bytes(hashlib.blake2b(f"{self.namespace}:{s.abbreviation}".encode(), digest_size=4).digest(), "big") / 2**32
-        return self.ttl > 0 and 0 <= now - s.checked_at < self.ttl * (1 - part / 10)
+        return self.fresh(s.abbreviation, s.checked_at, now)
 
     def load(self, abbreviation: str) -> Snapshot:
         """From memory, disk or source, the first that is fresh; if the source fails, the last known good one, marked stale, unless strict."""
-        with self.barrier.shared(), self._lock:
+        with self.barrier.shared(), self._locks.hold(abbreviation):
             now, generation = self.clock(), self.generation().generation
             known = self._memory.get(abbreviation)
             if known and known[0] == generation and self._fresh(known[1], now):
@@ -194,7 +217,7 @@ class SnapshotStore:
             old = self._read(abbreviation, generation)
             if old and self._fresh(old, now):
                 self.counters["disk_hits"] += 1
-                self._memory[abbreviation] = (generation, old)
+                self._memory.put(abbreviation, (generation, old))
                 return old
             try:
                 new = self._refresh(abbreviation, old, generation)
@@ -204,7 +227,7 @@ class SnapshotStore:
                     raise
                 self.counters["stale"] += 1
                 return Snapshot(old.abbreviation, old.sha, old.checked_at, old.metadata, old.chapter_fields, old.verses, True)
-            self._memory[abbreviation] = (generation, new)
+            self._memory.put(abbreviation, (generation, new))
             return new
 
     def _pointer(self, abbreviation: str) -> Path:
@@ -232,19 +255,23 @@ class SnapshotStore:
         verses = self.spark.read.parquet(str(self._parquet(sha)))
         return Snapshot(abbreviation, sha, checked, meta, {k: meta[k] for k in METADATA if k in meta}, verses)
 
-    def _published(self, relative: str) -> str:
+    def published_or_none(self, relative: str) -> str:
         try:
             sha = self.repository.fetch_text(relative).strip().lower()
         except RepositoryResourceNotFound:
-            sha = ""
-        if sha and not valid_sha(sha):
+            return ""
+        if not valid_sha(sha):
             raise CorpusIntegrityError(f"{relative} holds no checksum.")
+        return sha
+
+    def published(self, relative: str) -> str:
+        sha = self.published_or_none(relative)
         if not sha and self.require_checksum:
             raise CorpusIntegrityError(f"{relative} is required.")
         return sha
 
     def _refresh(self, abbreviation: str, old: Snapshot | None, generation: int) -> Snapshot:
-        published = self._published(f"{abbreviation}.sha")
+        published = self.published(f"{abbreviation}.sha")
         index = books_index(self.repository, abbreviation)
         now = self.clock()
         if old and published and published == old.sha:
@@ -307,25 +334,50 @@ def check_translation(raw: bytes, abbreviation: str) -> dict:
         text = raw.decode("utf-8")
     except UnicodeDecodeError as e:
         raise CorpusIntegrityError(f"{abbreviation} isn't UTF-8.") from e
-    if faults := structure_faults(text, abbreviation):
+    if faults := document_faults(text, abbreviation):
         raise CorpusIntegrityError(f"{abbreviation}: {faults[0][0]}, {faults[0][1]}")
-    doc = json.loads(text)
-    books = [b["nr"] for b in doc["books"]]
-    total = 0
-    if not 1 <= len(books) <= 256 or len(set(books)) < len(books):
-        raise CorpusIntegrityError(f"{abbreviation}: V3 or V5, books")
-    for b in doc["books"]:
-        chapters = [c["chapter"] for c in b["chapters"]]
-        if not 1 <= len(chapters) <= 500 or len(set(chapters)) < len(chapters):
-            raise CorpusIntegrityError(f"{abbreviation}: V6 or V8, book {b['nr']}")
-        for c in b["chapters"]:
-            verses = [v["verse"] for v in c["verses"]]
-            total += len(verses)
-            if not 1 <= len(verses) <= 500 or len(set(verses)) < len(verses) or any(v["chapter"] != c["chapter"] for v in c["verses"]):
-                raise CorpusIntegrityError(f"{abbreviation}: V9, V11 or V12, chapter {b['nr']}:{c['chapter']}")
-    if total > 100_000:
-        raise CorpusIntegrityError(f"{abbreviation}: V13, {total} verses")
-    return doc
+    return json.loads(text)
+
+
+class ChapterStore:
+    """Chapters by their own files, checked as they come and kept while they are fresh; the most recent ones only."""
+
+    def __init__(self, store: SnapshotStore, limit: int | None = 2048):
+        self.store, self.kept, self._locks = store, Recent(limit), KeyedLocks()
+
+    def load(self, abbreviation: str, book: int, chapter: int) -> dict:
+        """The chapter with its verses by number. Not to be changed by the caller."""
+        name = f"{abbreviation}/{book}/{chapter}"
+        with self._locks.hold(name):
+            now = self.store.clock()
+            known = self.kept.get(name)
+            if known and self.store.fresh(name, known[0], now):
+                self.kept.hit(True)
+                return known[2]
+            self.kept.hit(False)
+            published = self.store.published_or_none(f"{name}.sha")
+            if known and published and published == known[1]:
+                self.kept.put(name, (now, *known[1:]))
+                return known[2]
+            try:
+                raw = self.store.repository.fetch_bytes(f"{name}.json")
+            except RepositoryResourceNotFound as e:
+                raise FileNotFoundError(f"Chapter:{chapter} in book:{book} for {abbreviation} not found.") from e
+            if not published and self.store.require_checksum:
+                raise RepositoryResponseError(f"{name}.sha, a required checksum, is missing.")
+            sha = hashlib.sha1(raw).hexdigest()
+            if published and sha != published:
+                raise CorpusIntegrityError(f"{name}: the checksum is {sha}, {published} was published.")
+            try:
+                text = raw.decode("utf-8")
+            except UnicodeDecodeError as e:
+                raise CorpusIntegrityError(f"{name} isn't UTF-8.") from e
+            if fault := chapter_fault(text, abbreviation, book, chapter):
+                raise CorpusIntegrityError(f"{name}: V19, {fault}")
+            doc = json.loads(text)
+            doc["verses"] = {v["verse"]: v for v in doc["verses"]}
+            self.kept.put(name, (now, sha, doc))
+            return doc
 
 
 def check_books(doc: dict, index: dict[int, dict]) -> None:

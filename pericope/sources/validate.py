@@ -12,12 +12,13 @@ import re
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from pericope.operators.verses import METADATA
+from pericope.functions.text import computed
+from pericope.operators.verses import CHAPTER_FILE, METADATA
 
 MAX_BOOKS, MAX_CHAPTERS, MAX_VERSES, MAX_TOTAL = 256, 500, 500, 100_000
 MAX_NAME, MAX_TEXT, MAX_DEPTH, MAX_ITEMS, MAX_KEY = 4096, 1 << 20, 8, 10_000, 128
@@ -34,6 +35,11 @@ def code_of(abbreviation: Any) -> str:
     return abbreviation.casefold()
 
 
+def valid_code(name: Column) -> Column:
+    """code_of() as a test of a column."""
+    return F.lower(name).rlike(f"^(?:{CODE.pattern})$")
+
+
 def valid_sha(x: str) -> bool:
     return bool(SHA.fullmatch(x.lower()))
 
@@ -70,10 +76,6 @@ def _open_fields(x: dict, known: tuple[str, ...]) -> str | None:
     return open_value_fault({k: v for k, v in x.items() if k not in known}, 0)
 
 
-def _pairs(pairs: list[tuple[str, Any]]) -> dict:
-    return dict(pairs)
-
-
 def structure_faults(raw: str | None, expected: str | None = None) -> list[tuple[str, str]]:
     """(rule, where) for what is wrong with a translation's raw text: V1, V2, V4, V7, V10, V16 to V18. An empty list: nothing."""
     try:
@@ -113,11 +115,107 @@ def structure_faults(raw: str | None, expected: str | None = None) -> list[tuple
     return out
 
 
-@pandas_udf(T.ArrayType(T.StructType([T.StructField("rule", T.StringType()), T.StructField("place", T.StringType())])))
+def count_faults(doc: dict) -> list[tuple[str, str]]:
+    """(rule, where) for what is wrong with the numbers of a translation without structure_faults(): V3, V5, V6, V8, V9 and V11 to V13."""
+    out: list[tuple[str, str]] = []
+    books, total = [b["nr"] for b in doc["books"]], 0
+    if not 1 <= len(books) <= MAX_BOOKS:
+        out.append(("V3", f"{len(books)} books"))
+    if len(set(books)) < len(books):
+        out.append(("V5", "a book's number twice"))
+    for b in doc["books"]:
+        chapters = [c["chapter"] for c in b["chapters"]]
+        if not 1 <= len(chapters) <= MAX_CHAPTERS:
+            out.append(("V6", f"book {b['nr']}"))
+        if len(set(chapters)) < len(chapters):
+            out.append(("V8", f"book {b['nr']}"))
+        for c in b["chapters"]:
+            verses, where = [v["verse"] for v in c["verses"]], f"chapter {b['nr']}:{c['chapter']}"
+            total += len(verses)
+            if not 1 <= len(verses) <= MAX_VERSES:
+                out.append(("V9", where))
+            if any(v["chapter"] != c["chapter"] for v in c["verses"]):
+                out.append(("V11", where))
+            if len(set(verses)) < len(verses):
+                out.append(("V12", where))
+    if total > MAX_TOTAL:
+        out.append(("V13", f"{total} verses"))
+    return out
+
+
+def document_faults(raw: str | None, expected: str | None = None) -> list[tuple[str, str]]:
+    """All of structure_faults(), and of count_faults() where there are none."""
+    return structure_faults(raw, expected) or count_faults(json.loads(raw or ""))
+
+
+def chapter_fault(raw: str | None, abbreviation: str, book: int, chapter: int) -> str | None:
+    """V19: what is wrong with the raw text of a chapter file, None if nothing."""
+    try:
+        doc = json.loads(raw or "", parse_constant=lambda x: math.inf)
+    except ValueError:
+        return "not JSON"
+    if not isinstance(doc, dict):
+        return "not JSON"
+    if doc.get("abbreviation") != abbreviation:
+        return "abbreviation"
+    for name, value in (("book_nr", book), ("chapter", chapter)):
+        if not _number(doc.get(name), 1000) or doc[name] != value:
+            return name
+    for name in ("book_name", "name"):
+        if not _text(doc.get(name), MAX_NAME):
+            return name
+    if fault := _open_fields(doc, ("verses",)):
+        return fault
+    for name in METADATA:
+        if name in doc and not _text(doc[name], MAX_NAME, True):
+            return name
+    verses = doc.get("verses")
+    if not isinstance(verses, list) or not 1 <= len(verses) <= MAX_VERSES:
+        return "verses"
+    seen = set()
+    for v in verses:
+        if not isinstance(v, dict) or not _number(v.get("verse"), 2000) or not _number(v.get("chapter"), 1000) or not _text(v.get("name"), MAX_NAME) or not _text(v.get("text"), MAX_TEXT, True):
+            return "verse"
+        if v["chapter"] != chapter:
+            return "verse of another chapter"
+        if fault := _open_fields(v, ("verse", "chapter", "name", "text")):
+            return fault
+        if v["verse"] in seen:
+            return "repeated verse"
+        seen.add(v["verse"])
+    return None
+
+
+@pandas_udf(T.StringType())
+def _chapter(raw: pd.Series, abbreviation: pd.Series, book: pd.Series, chapter: pd.Series) -> pd.Series:
+    return pd.Series([chapter_fault(*x) for x in zip(raw, abbreviation, book.tolist(), chapter.tolist())], dtype=object)
+
+
+def chapter_violations(chapters: DataFrame) -> DataFrame:
+    """(abbreviation, book_nr, chapter, rule, fault): V19, of chapter files (abbreviation, book_nr, chapter, raw) that are kept under these numbers."""
+    return computed(chapters.withColumn("fault_", _chapter("raw", "abbreviation", "book_nr", "chapter")), fault=F.col("fault_")).where("fault is not null").select("abbreviation", "book_nr", "chapter", F.lit("V19").alias("rule"), "fault")
+
+
+def sound_chapters(chapters: DataFrame) -> DataFrame:
+    """Chapter files without a fault as nested rows."""
+    d = computed(chapters.withColumn("fault_", _chapter("raw", "abbreviation", "book_nr", "chapter")), fault=F.col("fault_")).where("fault is null")
+    return d.select(F.from_json("raw", CHAPTER_FILE).alias("c")).select("c.*")
+
+
+_FAULTS = T.ArrayType(T.StructType([T.StructField("rule", T.StringType()), T.StructField("place", T.StringType())]))
+
+
+@pandas_udf(_FAULTS)
 def _structure(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: [{"rule": r, "place": p} for r, p in structure_faults(x)])
 
 
+@pandas_udf(_FAULTS)
+def all_faults(raw: pd.Series) -> pd.Series:
+    """document_faults() of a column of raw texts."""
+    return raw.map(lambda x: [{"rule": r, "place": p} for r, p in document_faults(x)])
+
+
 def raw_violations(translations: DataFrame) -> DataFrame:
     """(abbreviation, rule, place) from the raw texts of sources.repository.translations()."""
     return translations.select("abbreviation", F.explode(_structure("raw")).alias("f")).select("abbreviation", "f.rule", "f.place")
@@ -146,7 +244,7 @@ def counting_violations(verses: DataFrame, max_books: int = MAX_BOOKS, max_chapt
 
 def nested_violations(translations: DataFrame) -> DataFrame:
     """(abbreviation, rule, book_nr, chapter) from nested rows: V3 and V5 to V11, where a count can be of nothing or numbers repeat."""
-    b = translations.select("abbreviation", F.explode_outer("books").alias("b"))
+    b = translations.select("abbreviation", F.explode("books").alias("b"))
     none = F.lit(None).cast("int")
     nr, chapters = F.col("b.nr"), F.col("b.chapters")
     c = b.select("abbreviation", nr.alias("nr"), F.explode("b.chapters").alias("c"))
@@ -158,7 +256,7 @@ def nested_violations(translations: DataFrame) -> DataFrame:
         b.groupBy("abbreviation", nr.alias("book_nr")).count().where("count > 1").select("abbreviation", F.lit("V5").alias("rule"), "book_nr", none.alias("chapter")),
         b.where(chapters.isNull() | ~F.size(chapters).between(1, MAX_CHAPTERS)).select("abbreviation", F.lit("V6").alias("rule"), nr.alias("book_nr"), none.alias("chapter")),
         c.where(number.isNull() | ~number.between(1, 1000)).select("abbreviation", F.lit("V7").alias("rule"), F.col("nr").alias("book_nr"), number.alias("chapter")),
-        c.groupBy("abbreviation", F.col("nr").alias("book_nr"), number.alias("chapter")).count().where("count > 1").select("abbreviation", F.lit("V8").alias("rule"), "book_nr", "chapter"),
+        b.where(F.size(F.array_distinct(F.transform(chapters, lambda x: x["chapter"]))) < F.size(chapters)).select("abbreviation", F.lit("V8").alias("rule"), nr.alias("book_nr"), none.alias("chapter")),
         c.where(verses.isNull() | ~F.size(verses).between(1, MAX_VERSES)).select("abbreviation", F.lit("V9").alias("rule"), F.col("nr").alias("book_nr"), number.alias("chapter")),
         c.where(F.exists(verses, lambda v: v["verse"].isNull() | ~v["verse"].between(1, 2000))).select("abbreviation", F.lit("V10").alias("rule"), F.col("nr").alias("book_nr"), number.alias("chapter")),
         c.where(F.exists(verses, lambda v: ~v["chapter"].eqNullSafe(number))).select("abbreviation", F.lit("V11").alias("rule"), F.col("nr").alias("book_nr"), number.alias("chapter")),

@@ -28,6 +28,23 @@ def index_of(doc):
     return {str(b["nr"]): {k: doc[k] for k in META} | {"nr": b["nr"], "name": b["name"]} for b in doc["books"]}
 
 
+def chapters_of(doc):
+    """(path, chapter file) of all chapters, with the open fields of the chapter."""
+    for b in doc["books"]:
+        for c in b["chapters"]:
+            yield f"{doc['abbreviation']}/{b['nr']}/{c['chapter']}", {k: doc[k] for k in META} | {"book_nr": b["nr"], "book_name": b["name"]} | c
+
+
+def put_chapters(root, doc=None, sha=True):
+    for path, c in chapters_of(doc or TINY):
+        at = Path(root) / "v2" / f"{path}.json"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        raw = json.dumps(c, ensure_ascii=False).encode()
+        at.write_bytes(raw)
+        if sha:
+            at.with_suffix(".sha").write_text(sha if isinstance(sha, str) else hashlib.sha1(raw).hexdigest())
+
+
 def put(root, doc=None, sha=True, index=None, **changes):
     doc = copy.deepcopy(doc or TINY) | changes
     at = Path(root) / "v2"
@@ -35,6 +52,8 @@ def put(root, doc=None, sha=True, index=None, **changes):
     raw = json.dumps(doc, ensure_ascii=False).encode()
     (at / f"{doc['abbreviation']}.json").write_bytes(raw)
     (at / doc["abbreviation"] / "books.json").write_text(json.dumps(index or index_of(doc)), "utf-8")
+    if all(b.get("chapters") for b in doc["books"]):
+        put_chapters(root, doc)
     if sha:
         (at / f"{doc['abbreviation']}.sha").write_text((sha if isinstance(sha, str) else hashlib.sha1(raw).hexdigest()) + "\n")
     return doc

@@ -318,16 +318,166 @@ def test_snapshots(spark, tmp_path):
 
 
 def test_streaming(spark, tmp_path):
-    from pericope.streaming.ingest import keep_indexed
+    """Files without a fault are indexed once; the others leave their faults and no verse."""
+    from pericope.streaming.ingest import keep_indexed, keep_rejected
 
     src = tmp_path / "in"
     src.mkdir()
     (src / "tiny.json").write_text(json.dumps(fixture.TINY), "utf-8")
+    bad = copy.deepcopy(fixture.TINY)
+    chapter(bad)["verses"][0]["chapter"] = 9
+    chapter(bad)["verses"].append(copy.deepcopy(chapter(bad)["verses"][1]))
+    (src / "bad.json").write_text(json.dumps(bad), "utf-8")
+    (src / "worse.json").write_text("{", "utf-8")
     for more in (9, 9, 18):
         if more == 18:
             (src / "other.json").write_text(json.dumps(fixture.TINY | {"abbreviation": "other"}), "utf-8")
         keep_indexed(spark, str(src), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+        keep_rejected(spark, str(src), str(tmp_path / "rejects"), str(tmp_path / "check2")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == more
+        r = {(x["file"].rsplit("/", 1)[1], x["rule"]) for x in spark.read.parquet(str(tmp_path / "rejects")).collect()}
+        assert r == {("bad.json", "V11"), ("bad.json", "V12"), ("worse.json", "V1")}
+
+
+def test_large_files_fail_the_query(spark, tmp_path):
+    from pericope.sources.repository import large_files, raw_files
+
+    (tmp_path / "a.json").write_text("{}")
+    (tmp_path / "b.json").write_text("x" * 50)
+    assert raw_files(spark, str(tmp_path)).count() == 2
+    assert [r["length"] for r in large_files(spark, str(tmp_path), max_bytes=10).collect()] == [50]
+    with pytest.raises(Exception, match="is over 10 bytes"):
+        raw_files(spark, str(tmp_path), max_bytes=10).collect()
+
+
+def test_chapter_files(spark, tmp_path):
+    """Selections read chapters by their own files, with checksums, checks, open fields and a bounded cache."""
+    doc = copy.deepcopy(fixture.TINY)
+    chapter(doc)["note"] = {"kept": [1]}
+    chapter(doc)["verses"][0]["extra"] = "e"
+    fixture.put(tmp_path / "src", doc)
+    (tmp_path / "src/v2/tiny.json").unlink()  # the translation's own file isn't needed
+    with p.VerseEngine(spark, str(tmp_path / "src"), store=str(tmp_path / "store"), chapter_limit=1) as e:
+        got = e.select("Gen 1:1-2;Genesis 1:2", "tiny")
+        assert got["tiny_1_1"]["note"] == {"kept": [1]} and [v.get("extra") for v in got["tiny_1_1"]["verses"]] == ["e", None] and got["tiny_1_1"]["ref"] == ["Gen 1:1-2", "Genesis 1:2"]
+        got["tiny_1_1"]["note"]["kept"].append(2)
+        got["tiny_1_1"]["verses"][0]["text"] = "changed"
+        again = e.select("Gen 1:1", "tiny")["tiny_1_1"]
+        assert again["note"] == {"kept": [1]} and again["verses"][0]["text"].startswith("In the")
+        e.select("Matt 1:1", "tiny")
+        info = e.cache_info()["chapters"]
+        assert (info["size"], info["limit"], info["evictions"]) == (1, 1, 1) and info["hits"] >= 1
+        with pytest.raises(FileNotFoundError):
+            e.select("Exodus 1:1", "tiny")
+    fixture.put_chapters(tmp_path / "src", doc, sha="0" * 40)
+    with pytest.raises(p.CorpusIntegrityError):
+        p.VerseEngine(spark, str(tmp_path / "src"), store=str(tmp_path / "store")).select("Gen 1", "tiny")
+    for f in (tmp_path / "src/v2/tiny").rglob("*.sha"):
+        f.unlink()
+    assert p.VerseEngine(spark, str(tmp_path / "src"), store=str(tmp_path / "store"), chapter_limit=0).select("Gen 1", "tiny")
+    with pytest.raises(p.RepositoryError):
+        p.VerseEngine(spark, str(tmp_path / "src"), store=str(tmp_path / "store"), require_checksum=True).select("Gen 1", "tiny")
+    from pericope.sources.repository import chapter_files
+
+    c = chapter_files(spark, str(tmp_path / "src/v2"))
+    assert {(r["abbreviation"], r["book_nr"], r["chapter"]) for r in c.collect()} == {("tiny", 1, 1), ("tiny", 40, 1), ("tiny", 67, 1)}
+    assert validate.chapter_violations(c).count() == 0 and validate.sound_chapters(c).count() == 3
+
+
+@pytest.mark.parametrize(
+    "change, fault",
+    [
+        (lambda c: c.update(abbreviation="x"), "abbreviation"), (lambda c: c.update(book_nr=2), "book_nr"), (lambda c: c.update(chapter=True), "chapter"), (lambda c: c.update(book_name=" "), "book_name"), (lambda c: c.update(name=5), "name"),
+        (lambda c: c.update(verses=[]), "verses"), (lambda c: c.update(verses={}), "verses"), (lambda c: c.update(lang=1), "lang"), (lambda c: c["verses"][0].update(text=None), "verse"), (lambda c: c["verses"][0].update(chapter=2), "verse of another chapter"),
+        (lambda c: c["verses"][1].update(verse=1), "repeated verse"), (lambda c: c.update({"k" * 129: 1}), "key too long or empty"), (lambda c: c["verses"][0].update(x=float("inf")), "number out of range"), (lambda c: None, None),
+    ],
+)
+def test_chapter_fault(change, fault):
+    _, c = next(fixture.chapters_of(copy.deepcopy(fixture.TINY)))
+    change(c)
+    assert validate.chapter_fault(json.dumps(c), "tiny", 1, 1) == fault
+    assert validate.chapter_fault("[]", "tiny", 1, 1) == validate.chapter_fault(None, "tiny", 1, 1) == "not JSON"
+
+
+def test_default_names(spark, tmp_path):
+    a = AliasBook.default()
+    r = ReferenceParser(a)
+    for name, book in (("Genesis", 1), ("Ps", 19), ("1 John", 62), ("First Samuel", 9), ("song of songs", 22), ("John", 43), ("Rev", 66), ("4 Macc", 83), ("Sirach", 74)):
+        assert r.ref(f"{name} 3:16").book == book
+    assert len({b for _, _, b in __import__("pericope.plans.names", fromlist=["x"]).english("kjv")}) == 83
+    out = a.dump("kjv", tmp_path / "names.json")
+    assert json.loads((tmp_path / "names.json").read_text("utf-8")) == out and out["gen"] == {"book_number": "1"}
+
+
+def test_caches_and_locks():
+    from pericope.plans.caches import KeyedLocks, Recent
+
+    gone = []
+    c = Recent(2, gone.append)
+    for k in "abc":
+        c.put(k, k.upper())
+    assert gone == ["A"] and c.get("a") is None and c.get("b") == "B" and c.info()["evictions"] == 1
+    c.put("d", "D")
+    assert gone == ["A", "C"] and c.keys() == ["b", "d"]
+    assert not Recent(0).put("x", 1) and Recent(None).put("x", 1)
+    with pytest.raises(ValueError):
+        Recent(-1)
+    locks, order, entered = KeyedLocks(), [], threading.Event()
+
+    def slow():
+        with locks.hold("slow"):
+            entered.set()
+            entered2.wait(10)
+            order.append("slow")
+
+    entered2 = threading.Event()
+    t = threading.Thread(target=slow)
+    t.start()
+    entered.wait(10)
+    with locks.hold("quick"), locks.hold("quick"):  # isn't kept by the other key, and may nest
+        order.append("quick")
+
+    def wait():
+        with locks.hold("slow"):
+            order.append("second")
+
+    second = threading.Thread(target=wait)
+    second.start()
+    entered2.set()
+    t.join()
+    second.join()
+    assert order == ["quick", "slow", "second"] and len(locks) == 0
+
+
+def test_limits_and_unkept_corpora(spark, tmp_path):
+    fixture.put(tmp_path / "src")
+    e = p.VerseEngine(spark, str(tmp_path / "src"), store=str(tmp_path / "store"), request_limits=p.RequestLimits(max_search_offset=5, max_search_books=1, max_search_exclusions=1), corpus_limit=0, books_limit=0, snapshot_limit=0)
+    with pytest.raises(p.SearchLimitError):
+        e.search("faith", "tiny", {"offset": 6})
+    with pytest.raises(p.SearchLimitError):
+        e.search("faith", "tiny", {"books": (1, 40)})
+    e.search_limits = dataclasses.replace(e.search_limits, deadline_seconds=120.0)
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    assert e.search("faith", "tiny")["query"]["total"] == 3 and e.search("faith", "tiny", {"books": (40,)})["query"]["total"] == 2
+    info = e.cache_info()
+    assert info["corpora"]["size"] == info["books"]["size"] == info["translations"]["size"] == 0 and len(spark.sparkContext._jsc.getPersistentRDDs()) <= before
+    assert e.search("none of these", "tiny", {"words": "any"})["query"]["total"] == e.search("of", "tiny")["query"]["total"] == 1
+
+
+@pytest.mark.parametrize("spec", [{}, {"words": "any"}, {"match": "substring"}, {"words": "phrase"}, {"proximity": 1}, {"exclude": ("of the",)}])
+def test_plan_of_a_search(spark, spec):
+    """Texts are normalised and cut into tokens once, and simple ones don't go through Python."""
+    from pericope.operators import match
+
+    v = spark.createDataFrame([("t", 1, 1, 1, "x")], "abbreviation string, book_nr int, chapter int, verse int, text string")
+    plan = match.search(v, analyse("and the", p.SearchSpec(**spec)))._jdf.queryExecution().executedPlan().toString()
+    body = plan.split("\n")
+    # counting a phrase is a pattern of its own
+    assert sum(x.count("regexp_extract_all(") for x in body) == 1 + (spec.get("words") == "phrase")
+    assert sum("ArrowEvalPython" in x for x in body) == 1
+    # the simple branch: from the union's first child to its scan, there is no Python
+    first = plan[plan.index("Union") :].split("ArrowEvalPython")[0]
+    assert first.count("Scan") >= 1
 
 
 def test_proximity_by_brute_force(spark):
