@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import only, pieces, spans, utf8
+from pericope.llm.shared import in_place, only, pieces, spans, utf8
 
 SEGMENT, CONTEXT, HIDDEN = 256, 8, 12
 #: Segments that are read at a time: what a worker's memory depends on.
@@ -386,4 +386,4 @@ def accepted(docs: DataFrame, model: ByteGRU, text_col: str = "text", most_none:
             for r in label(iter([own])):
                 yield b.filter(r.column(5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_place(docs, run)

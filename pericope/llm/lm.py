@@ -306,7 +306,7 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id",
         sub = subwords(tokenizer)
         for b in pieces(batches, 1):
             data, off = utf8(b.column(1))
-            for lo, hi in spans(off):
+            for lo, hi in spans(off, 4 * CHUNK):
                 o = off[lo : hi + 1]
                 ids, at = sub.encode(data[o[0] : o[-1]], o - o[0])
                 raw = ids.astype("<i4").tobytes()
@@ -319,7 +319,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tup
     """(rows, ids, offsets) of stretches of rows."""
     for b in batches:
         raw, off = utf8(b.column(column))
-        for lo, hi in spans(off, 4 * CHUNK):
+        for lo, hi in spans(off, 8 * CHUNK):
             yield b.slice(lo, hi - lo), raw[off[lo] : off[hi]].copy().view("<i4"), (off[lo : hi + 1] - off[lo]) // 4
         tidy()
 

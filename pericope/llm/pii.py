@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from pericope.llm.shared import only, pieces, spans, utf8, words
+from pericope.llm.shared import in_place, only, pieces, spans, utf8, words
 
 LABELS = ["O", "B-EMAIL", "B-IP", "B-CARD", "I-CARD", "B-SECRET", "B-PHONE", "I-PHONE", "B-SSN", "B-IBAN", "I-IBAN"]
 _STRIP = b"\"'.,;:!?[]{}<>|*#%&$~`^"
@@ -539,4 +539,4 @@ def redacted(docs: DataFrame, field: Field, text_col: str = "text", n_chars_col:
                 cols[i] = pc.if_else(changed, pc.utf8_length(text).cast(cols[i].type), cols[i])
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_place(docs, run)

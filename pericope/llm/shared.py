@@ -15,15 +15,15 @@ import tempfile
 import time
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one kernel call works on, unless one text is longer.
-CHUNK = 1 << 20
+#: Bytes of text that one kernel call works on, unless one text is longer: few enough for what is made of them to stay in a core's cache.
+CHUNK = 1 << 18
 
 
 # --------------------------------------------------------------------------
@@ -57,6 +57,12 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(names))]).select(*out)
 
 
+def in_place(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """df with its rows changed or left out by run, whose batches have the columns of df, in order, under other names: several may differ by case alone."""
+    d = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return d.mapInArrow(run, d.schema).toDF(*df.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests, local mode) a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
