@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pericope.llm.shared import CHUNK, cut, only, pieces, spans, tidy, utf8, words
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the tokenizer splits text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW, CONTEXT, DIM, CLASSES, INPUTS = 32, 8, 12, 64, 4096
@@ -56,6 +56,9 @@ class Subwords:
         with open(file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.length = np.zeros(self.encoding.n_vocab, np.int64)  # in bytes, by id
+        for x, i in ranks.items():
+            self.length[i] = len(x)
         self.most = most
         self._clear()
 
@@ -76,12 +79,13 @@ class Subwords:
         place = np.array([at.get(x, -1) for x in u.tolist()], np.int64)
         new = np.flatnonzero(place < 0)
         if len(new):
-            got = [self.encoding.encode_ordinary(" " + data[start[i] : end[i]].tobytes().decode("utf-8", "replace")) for i in first[new].tolist()]
+            raw = data.tobytes()
+            ids, size = self._words([raw[a:z] for a, z in zip(start[first[new]].tolist(), end[first[new]].tolist())])
             n = len(self.start) - 1
             at.update(zip(u[new].tolist(), range(n, n + len(new))))
             place[new] = np.arange(n, n + len(new))
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(g) for g in got])])
-            self.ids = np.concatenate([self.ids, np.array([x for g in got for x in g], np.int32)])
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
+            self.ids = np.concatenate([self.ids, ids])
         p = place[inv]
         size = self.start[p + 1] - self.start[p]
         total = np.concatenate([[0], np.cumsum(size)])
@@ -89,6 +93,24 @@ class Subwords:
         return ids, total[np.searchsorted(row, np.arange(len(offsets)))]
 
 
+    def _words(self, words_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each word) of words with a space before each.
+
+        All in one call: no subword spans a space that has something before it,
+        so the words' ends are found again among those of the subwords.
+        """
+        try:
+            ids = np.array(self.encoding.encode_ordinary("".join([" " + w.decode() for w in words_])), np.int32)
+            ends, want = np.cumsum(self.length[ids]), np.cumsum([len(w) + 1 for w in words_])
+            at = np.searchsorted(ends, want)
+            if at[-1] == len(ids) - 1 and (ends[at] == want).all():
+                return ids, np.diff(at, prepend=-1)
+        except UnicodeDecodeError:
+            pass
+        got = [self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words_]
+        return np.array([x for g in got for x in g], np.int32), np.array([len(g) for g in got])
+
+
 _loaded: dict[str, Subwords] = {}
 
 
@@ -188,45 +210,58 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, hidden: np.ndarray, y: np
     e += p["P"]
     own = np.ascontiguousarray(e[:, CONTEXT:]).reshape(-1, d)
     e = e.reshape(-1, d)
-    scaled = p["Q"] * kind(d**-0.5)
-    q, k, v = (own @ scaled).reshape(n, m, d), (e @ p["K"]).reshape(n, w, d), (e @ p["V"]).reshape(n, w, d)
+    scaled, both = p["Q"] * kind(d**-0.5), np.concatenate([p["K"], p["V"]], axis=1)
+    q, kv = (own @ scaled).reshape(n, m, d), (e @ both).reshape(n, w, 2 * d)
+    k, v = kv[..., :d], kv[..., d:]
     a = np.matmul(q, k.transpose(0, 2, 1))
-    np.clip(a, -60, 60, out=a)
+    np.minimum(a, 60, out=a)
     np.exp(a, out=a)
     a *= _SEEN.astype(kind)
-    if hidden.any():
-        a *= ~hidden[:, None, :]
-    a /= (a.reshape(-1, w) @ np.ones(w, kind)).reshape(n, m, 1)
+    odd = np.flatnonzero(hidden.any(axis=1))  # the first and the last window of a text
+    if len(odd):
+        a[odd] *= ~hidden[odd][:, None, :]
+    a *= 1 / (a.reshape(-1, w) @ np.ones(w, kind)).reshape(n, m, 1)
     mixed = np.matmul(a, v).reshape(-1, d)
-    h = own + mixed
-    z = h @ p["O"]
-    z += p["b"]
-    np.clip(z, -60, 60, out=z)
+    # a one beside the values takes the bias along
+    h = np.ones((n * m, d + 1), kind)
+    np.add(own, mixed, out=h[:, :d])
+    out = np.concatenate([p["O"], p["b"][None]])
+    z = h @ out
+    np.minimum(z, 60, out=z)
     np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], kind))[:, None]
     total = max(1.0, float(live.sum()))
     scored = live.ravel().astype(kind)
+    one = 1 / (z @ np.ones(z.shape[1], kind))
     at, y = np.arange(len(z)), y.ravel()
-    loss = float(-(np.log(z[at, y] + 1e-12) * scored).sum() / total)
-    z[at, y] -= 1
-    z *= (scored / kind(total))[:, None]
-    g = {"O": h.T @ z, "b": np.ones(len(z), kind) @ z}
+    loss = float(-(np.log(z[at, y] * one + 1e-12) * scored).sum() / total)
+    scored /= kind(total)
+    z *= (one * scored)[:, None]
+    z[at, y] -= scored
+    slopes = h.T @ z
+    g = {"O": slopes[:d], "b": slopes[d]}
     dh = z @ p["O"].T
     turned = dh.reshape(n, m, d)
     ds = np.matmul(turned, v.transpose(0, 2, 1))
     ds -= np.einsum("nd,nd->n", dh, mixed).reshape(n, m, 1)  # the sum of a times its slope, over the places
     ds *= a
     dq = np.matmul(ds, k).reshape(-1, d)
-    dk, dv = np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, d), np.matmul(a.transpose(0, 2, 1), turned).reshape(-1, d)
-    g["Q"], g["K"], g["V"] = (own.T @ dq) * kind(d**-0.5), e.T @ dk, e.T @ dv
-    de = dk @ p["K"].T
-    de += dv @ p["V"].T
+    dkv = np.empty((n, w, 2 * d), kind)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :d])
+    np.matmul(a.transpose(0, 2, 1), turned, out=dkv[..., d:])
+    dkv = dkv.reshape(-1, 2 * d)
+    g["Q"], slopes = (own.T @ dq) * kind(d**-0.5), e.T @ dkv
+    g["K"], g["V"] = slopes[:, :d], slopes[:, d:]
+    de = (dkv @ both.T).reshape(n, w, d)
     dh += dq @ scaled.T
-    de = de.reshape(n, w, d)
     de[:, CONTEXT:] += dh.reshape(n, m, d)
     g["P"] = de.sum(axis=0)
-    flat, at = np.ascontiguousarray(de.reshape(-1, d).T), x.ravel()
-    g["T"] = np.stack([np.bincount(at, f, len(p["T"])) for f in flat], axis=1)
+    # the rows of one input together
+    at = x.ravel().astype(np.uint16)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    g["T"] = np.zeros_like(p["T"])
+    g["T"][at[head]] = np.add.reduceat(np.take(de.reshape(-1, d), order, axis=0), head, axis=0)
     return loss, g
 
 
@@ -273,8 +308,9 @@ class Model:
             own = inp[:, CONTEXT:]
             s = np.matmul(np.take(q, own, axis=0) + pq, (np.take(k, inp, axis=0) + pk).transpose(0, 2, 1))
             s += _FUTURE
-            if hidden.any():
-                s += np.where(hidden, np.float32(-1e9), np.float32(0))[:, None, :]
+            odd = np.flatnonzero(hidden.any(axis=1))
+            if len(odd):
+                s[odd] += np.where(hidden[odd], np.float32(-1e9), np.float32(0))[:, None, :]
             np.minimum(s, 60, out=s)
             np.exp(s, out=s)
             # a value of one beside the values sums the weights in the same product
@@ -286,7 +322,7 @@ class Model:
             h += p["P"][CONTEXT:]
             z = h.reshape(-1, DIM) @ p["O"]
             z += p["b"]
-            np.clip(z, -60, 60, out=z)
+            np.minimum(z, 60, out=z)
             want = z[np.arange(len(z)), cls.ravel()]
             np.exp(z, out=z)
             got = want - np.log(z @ np.ones(CLASSES, np.float32))
