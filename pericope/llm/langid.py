@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pericope.llm.shared import in_place, only, pieces, spans, utf8
+from pericope.llm.shared import in_place, low_hash, only, pieces, spans, utf8
 
 SEGMENT, CONTEXT, HIDDEN = 256, 8, 12
 #: Segments that are read at a time: what a worker's memory depends on.
@@ -269,7 +269,7 @@ def fit_texts(docs: DataFrame, each: int) -> DataFrame:
     d = docs.withColumn("h", F.xxhash64("text"))
     size = d.groupBy("lang").agg(F.approx_count_distinct("h").alias("size"))  # a row per language
     h = d.select("lang", "h").join(F.broadcast(size), "lang")
-    h = h.where((F.col("size") <= 2 * each) | (F.pmod("h", F.greatest("size", F.lit(1))) < 2 * each)).select("lang", "h").distinct()
+    h = h.where((F.col("size") <= 4 * each) | low_hash(F.col("h"), F.lit(2.0 * each) / F.col("size"))).select("lang", "h").distinct()
     h = h.withColumn("nr", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nr") <= each).drop("nr")
     return d.join(F.broadcast(h), ["lang", "h"]).select("lang", "h", "text")
 

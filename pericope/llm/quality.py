@@ -13,6 +13,7 @@ probability, so the rates are over every document.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,15 +195,15 @@ def rates(scored: DataFrame) -> DataFrame:
     Repeated rows each count; a host may hold any share of the rows, as counts
     are combined before they are shuffled. Without rows the result is empty.
     """
-    by_path = scored.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("k"))
+    by_path = cut(scored.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("k")))
     by_host = by_path.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
-    whole = by_host.agg(F.sum("hn").alias("gn"), F.sum("hk").alias("gk")).select(((F.col("gk") + 0.5) / (F.col("gn") + 1)).alias("g"))
-    h = by_host.crossJoin(whole)
-    kh = h.agg(_strength(F.col("hn"), F.col("hk") / F.col("hn"), F.col("g")).alias("strength"))
-    host = h.crossJoin(kh).select("host", ((F.col("hk") + F.col("strength") * F.col("g")) / (F.col("hn") + F.col("strength"))).alias("host_rate"))
+    total, good = by_path.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0.0))).first()
+    g = (good + 0.5) / (total + 1)
+    strength = by_host.agg(_strength(F.col("hn"), F.col("hk") / F.col("hn"), F.lit(g))).first()[0] or 1.0
+    host = by_host.select("host", ((F.col("hk") + strength * g) / (F.col("hn") + strength)).alias("host_rate"))
     p = by_path.alias("p").join(host.alias("h"), F.expr("p.host <=> h.host")).select("p.host", "path", "n", "k", "host_rate")
-    kp = p.agg(_strength(F.col("n"), F.col("k") / F.col("n"), F.col("host_rate")).alias("strength"))
-    return p.crossJoin(kp).select("host", "path", "n", "host_rate", ((F.col("k") + F.col("strength") * F.col("host_rate")) / (F.col("n") + F.col("strength"))).alias("path_rate"))
+    strength = p.agg(_strength(F.col("n"), F.col("k") / F.col("n"), F.col("host_rate"))).first()[0] or 1.0
+    return p.select("host", "path", "n", "host_rate", ((F.col("k") + strength * F.col("host_rate")) / (F.col("n") + strength)).alias("path_rate"))
 
 
 def _logit(p: Column) -> Column:
@@ -245,9 +246,9 @@ def score(
     prob = 1 / (1 + F.exp(-F.col("evidence")))
     r = rates(slim.select("host", "path", F.coalesce(F.col("good").cast("double"), prob).alias("value")))
     # every document counts, so this is the rate that the evidence holds already
-    base = slim.agg(F.avg(prob).alias("base"))
-    out = slim.alias("d").join(r.alias("r"), F.expr("d.host <=> r.host and d.path <=> r.path")).crossJoin(base)
-    post = 1 / (1 + F.exp(-(F.col("evidence") - _logit(F.greatest(F.least(F.col("base"), F.lit(1 - 1e-6)), F.lit(1e-6))) + _logit(F.greatest(F.least(F.col("path_rate"), F.lit(1 - 1e-6)), F.lit(1e-6))))))
+    base = min(max(slim.agg(F.avg(prob)).first()[0] or 0.5, 1e-6), 1 - 1e-6)
+    out = slim.alias("d").join(r.alias("r"), F.expr("d.host <=> r.host and d.path <=> r.path"))
+    post = 1 / (1 + F.exp(-(F.col("evidence") - F.lit(math.log(base / (1 - base))) + _logit(F.greatest(F.least(F.col("path_rate"), F.lit(1 - 1e-6)), F.lit(1e-6))))))
     return out.select(
         "doc_id", "d.host", "d.path", F.round("evidence", 6).alias("evidence"), F.round("host_rate", 6).alias("host_rate"), F.round("path_rate", 6).alias("path_rate"), F.round(post, 6).alias("posterior"), (post >= threshold).alias("keep")
     )

@@ -135,13 +135,22 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str, most: int = BROADCAST_
     return d.join(side, d[f"c{at}"] == out["__out"], "left_anti").toDF(*names)
 
 
+def low_hash(by: Column, share: Column | float) -> Column:
+    """Whether a long of even distribution is among the smallest `share` of all longs."""
+    return by.cast("double") < F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), share if isinstance(share, Column) else F.lit(share))
+
+
 def sample(df: DataFrame, by: Column, rows: int) -> DataFrame:
-    """At most `rows` rows of df: those with the smallest hash `by`.
+    """At most `rows` rows of df: those with the smallest hash `by`, a long.
 
-    A top-k: every partition sends `rows` rows at most. df should have few and
-    short columns.
+    A bound on the hash, from the number of rows, leaves about twice as many to
+    be ordered, however many partitions there are. df should have few columns.
     """
-    return df.orderBy(by, *df.columns).limit(rows)
+    total = df.count()
+    few = df.where(low_hash(by, 2 * rows / max(1, total)))
+    if total > 2 * rows and few.count() < rows:  # the hash isn't even
+        few = df
+    return few.orderBy(by, *df.columns).limit(rows)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

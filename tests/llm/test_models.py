@@ -537,6 +537,18 @@ def test_neighbours():
     assert got == want
 
 
+def test_subwords_one_by_one():
+    """Words in one call are as words alone, also with other white space, marks, apostrophes and bytes that are no UTF-8."""
+    sub = lm.Subwords(most=50)
+    texts = ["don't stop, it's 12,5% of a\u00a0b \u3000 c…", "", "naïve — “quoted” 東京 x\u2028y \u00a0", " a\tb\n\nc  ", "word " * 300 + "'s 's s' 1st"] * 2
+    for extra in ([], [b"\xff\xfe bad \xc3( bytes"]):
+        raw = [t.encode() for t in texts] + extra
+        ids, off = sub.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+        for i, x in enumerate(raw):
+            want = [y for w in x.translate(bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")).split(b" ") if w for y in sub.encoding.encode_ordinary(" " + w.decode("utf-8", "replace"))]
+            assert ids[off[i] : off[i + 1]].tolist() == want
+
+
 def test_scores_by_brute_force(small_lm):
     """Every subword, scored alone with full matrices and its own causal mask."""
     m = small_lm
