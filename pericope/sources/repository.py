@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
 import random
 import re
 import socket
+import threading
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +35,7 @@ class Repository:
         self.path, self.version, self.timeout = path.rstrip("/") or path, version, timeout
         self.retries, self.backoff, self.max_response_bytes = retries, backoff, max_response_bytes
         self.remote = path.casefold().startswith(("http://", "https://"))
+        self._mine, self._guard, self._open = threading.local(), threading.Lock(), []
 
     def __enter__(self) -> Repository:
         return self
@@ -40,7 +44,12 @@ class Repository:
         self.close()
 
     def close(self) -> None:
-        """Nothing stays open between calls."""
+        """Closes the connections that threads keep."""
+        with self._guard:
+            for c in self._open:
+                c.close()
+            self._open.clear()
+        self._mine = threading.local()
 
     def location(self, relative: str) -> str:
         """The place of a file, which can't be outside of the source."""
@@ -100,26 +109,76 @@ class Repository:
             except (TimeoutError, socket.timeout) as e:
                 if attempt == self.retries:
                     raise RepositoryTimeoutError(at) from e
-            except (urllib.error.URLError, OSError) as e:
+            except (urllib.error.URLError, http.client.HTTPException, OSError) as e:
                 if attempt == self.retries:
                     late = isinstance(getattr(e, "reason", None), (TimeoutError, socket.timeout))
                     raise (RepositoryTimeoutError if late else RepositoryError)(f"{at}: {e}") from e
             time.sleep(self.backoff * 2**attempt * (1 + random.random() / 10))
         raise RepositoryError(at)
 
+    def _connection(self, scheme: str, place: str) -> tuple[http.client.HTTPConnection, bool]:
+        """This thread's connection to a server, and whether it was open already."""
+        mine = self._mine.__dict__.setdefault("open", {})
+        if (scheme, place) in mine:
+            return mine[scheme, place], True
+        kind = http.client.HTTPSConnection if scheme == "https" else http.client.HTTPConnection
+        c = kind(place, timeout=self.timeout[0])
+        c.connect()
+        c.sock.settimeout(self.timeout[1])
+        mine[scheme, place] = c
+        with self._guard:
+            self._open.append(c)
+        return c, False
+
+    def _forget(self, scheme: str, place: str) -> None:
+        c = self._mine.__dict__.get("open", {}).pop((scheme, place), None)
+        if c is not None:
+            c.close()
+            with self._guard:
+                self._open.remove(c)
+
     def _once(self, at: str) -> bytes:
+        headers = {"Accept": "application/json, text/plain"}
+        for _ in range(8):
+            u = urllib.parse.urlsplit(at)
+            if urllib.request.getproxies().get(u.scheme) and not urllib.request.proxy_bypass(u.hostname or ""):
+                with urllib.request.urlopen(urllib.request.Request(at, headers=headers), timeout=self.timeout[1]) as r:
+                    return self._body(r, at)
+            conn, again = self._connection(u.scheme, u.netloc)
+            try:
+                conn.request("GET", urllib.parse.urlunsplit(("", "", u.path or "/", u.query, "")), headers=headers)
+                r = conn.getresponse()
+                if r.status == 200:
+                    body = self._body(r, at)
+                    if r.will_close:
+                        self._forget(u.scheme, u.netloc)
+                    return body
+                target = r.headers.get("Location") if r.status in (301, 302, 303, 307, 308) else None
+                self._forget(u.scheme, u.netloc)
+                if not target:
+                    raise urllib.error.HTTPError(at, r.status, r.reason, r.headers, None)
+                at = urllib.parse.urljoin(at, target)
+            except (http.client.HTTPException, OSError, RepositoryError) as e:
+                self._forget(u.scheme, u.netloc)
+                # a server may close a connection that was kept; a new one is no retry
+                if not (again and isinstance(e, (http.client.RemoteDisconnected, ConnectionError))):
+                    raise
+        raise RepositoryError(f"{at}: too many redirects")
+
+    def _body(self, r, at: str) -> bytes:
         too_large = RepositoryResponseTooLarge(f"{at} is over {self.max_response_bytes} bytes.")
-        with urllib.request.urlopen(urllib.request.Request(at, headers={"Accept": "application/json, text/plain"}), timeout=self.timeout[1]) as r:
-            said = r.headers.get("Content-Length")
-            if said and said.isdigit() and int(said) > self.max_response_bytes:
+        said = r.headers.get("Content-Length")
+        if said and said.isdigit() and int(said) > self.max_response_bytes:
+            raise too_large
+        parts, size = [], 0
+        while chunk := r.read(1 << 16):
+            size += len(chunk)
+            if size > self.max_response_bytes:
                 raise too_large
-            parts, size = [], 0
-            while chunk := r.read(1 << 16):
-                size += len(chunk)
-                if size > self.max_response_bytes:
-                    raise too_large
-                parts.append(chunk)
-            return b"".join(parts)
+            parts.append(chunk)
+        if said and said.isdigit() and size < int(said):
+            raise http.client.IncompleteRead(b"".join(parts))
+        return b"".join(parts)
 
 
 # --------------------------------------------------------------------------

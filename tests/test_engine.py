@@ -263,6 +263,56 @@ def test_http(spark, server, tmp_path):
     assert bytes(rows["tiny.json"]["content"]) == local.fetch_bytes("tiny.json") and "NotFound" in rows["none.json"]["error"]
 
 
+def test_kept_connections(tmp_path):
+    """One connection serves many files; a server that closed it is asked anew; other statuses, moves and faults are told apart."""
+    fixture.put(tmp_path)
+    opened, failing = [], []
+
+    class Kept(SimpleHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def __init__(self, *a, **k):
+            opened.append(1)
+            super().__init__(*a, directory=str(tmp_path), **k)
+
+        def log_message(self, *a):
+            pass
+
+        def do_GET(self):
+            if self.path == "/v2/moved.json":
+                self.send_response(302)
+                self.send_header("Location", "/v2/tiny.json")
+                self.send_header("Content-Length", "0")
+                self.end_headers()
+            elif self.path == "/v2/busy.json" and len(failing) < 2:
+                failing.append(1)
+                self.send_error(503)
+            elif self.path == "/v2/closed.json":
+                self.path = "/v2/tiny.json"
+                super().do_GET()
+                self.close_connection = True
+            else:
+                self.path = self.path.replace("busy", "tiny")
+                super().do_GET()
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Kept)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    try:
+        with Repository(f"http://127.0.0.1:{s.server_port}", backoff=0.01) as r:
+            whole = r.fetch_bytes("tiny.json")
+            for _ in range(5):
+                assert r.fetch_bytes("tiny.json") == whole
+            assert len(opened) == 1
+            assert r.fetch_bytes("closed.json") == whole == r.fetch_bytes("tiny.json") and len(opened) == 2
+            assert r.fetch_bytes("moved.json") == whole and r.fetch_bytes("busy.json") == whole and len(failing) == 2
+            with pytest.raises(p.RepositoryResourceNotFound):
+                r.fetch_bytes("none.json")
+    finally:
+        s.shutdown()
+    with pytest.raises(p.RepositoryError):
+        Repository("http://127.0.0.1:9", retries=0).fetch_bytes("tiny.json")
+
+
 def test_snapshots(spark, tmp_path):
     src, store = tmp_path / "source", str(tmp_path / "store")
     fixture.put(src)
