@@ -20,6 +20,7 @@ subwords before it wherever the text has them.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,9 @@ from pericope.llm.shared import CHUNK, cut, only, pieces, spans, tidy, utf8, wor
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the tokenizer splits text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts where every white space is one space with something after it; without looking ahead it runs faster.
+SPACED = PATTERN.replace(r"\s+(?!\S)|", "")
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WINDOW, CONTEXT, DIM, CLASSES, INPUTS = 32, 8, 12, 64, 4096
 #: Classes of one subword each, and how many frequent subwords are told apart as neighbours.
 ALONE, NEIGHBOURS = 16, 64
@@ -56,6 +60,7 @@ class Subwords:
         with open(file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.spaced = tiktoken.Encoding("spaced", pat_str=SPACED, mergeable_ranks=ranks, special_tokens={})
         self.length = np.zeros(self.encoding.n_vocab, np.int64)  # in bytes, by id
         for x, i in ranks.items():
             self.length[i] = len(x)
@@ -72,15 +77,18 @@ class Subwords:
         row, start, end, h = words(data, offsets, _NOSPACE)
         if not len(row):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        u, first, inv = np.unique(h, return_index=True, return_inverse=True)
+        order = np.argsort(h)
+        h = h[order]
+        head = np.concatenate([[True], h[1:] != h[:-1]])
+        u, first, inv = h[head], order[head], np.empty(len(h), np.int64)  # any occurrence of a word will do
+        inv[order] = np.cumsum(head) - 1
         if len(self.at) > self.most:
             self._clear()
         at = self.at
         place = np.array([at.get(x, -1) for x in u.tolist()], np.int64)
         new = np.flatnonzero(place < 0)
         if len(new):
-            raw = data.tobytes()
-            ids, size = self._words([raw[a:z] for a, z in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            ids, size = self._words(data, start[first[new]], end[first[new]])
             n = len(self.start) - 1
             at.update(zip(u[new].tolist(), range(n, n + len(new))))
             place[new] = np.arange(n, n + len(new))
@@ -92,22 +100,25 @@ class Subwords:
         ids = self.ids[np.arange(total[-1]) - np.repeat(total[:-1] - self.start[p], size)]
         return ids, total[np.searchsorted(row, np.arange(len(offsets)))]
 
-
-    def _words(self, words_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of each word) of words with a space before each.
 
         All in one call: no subword spans a space that has something before it,
         so the words' ends are found again among those of the subwords.
         """
+        want = np.cumsum(end - start + 1)
+        place = np.arange(want[-1]) - np.repeat(want - (end - start + 1), end - start + 1)
+        joined = np.where(place > 0, data[np.repeat(start - 1, end - start + 1) + place], 32).astype(np.uint8).tobytes()
         try:
-            ids = np.array(self.encoding.encode_ordinary("".join([" " + w.decode() for w in words_])), np.int32)
-            ends, want = np.cumsum(self.length[ids]), np.cumsum([len(w) + 1 for w in words_])
+            text = joined.decode()
+            ids = np.array((self.encoding if _WIDE_SPACE.search(text) else self.spaced).encode_ordinary(text), np.int32)
+            ends = np.cumsum(self.length[ids])
             at = np.searchsorted(ends, want)
             if at[-1] == len(ids) - 1 and (ends[at] == want).all():
                 return ids, np.diff(at, prepend=-1)
         except UnicodeDecodeError:
             pass
-        got = [self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words_]
+        got = [self.encoding.encode_ordinary(joined[a:z].decode("utf-8", "replace")) for a, z in zip([0, *want[:-1].tolist()], want.tolist())]
         return np.array([x for g in got for x in g], np.int32), np.array([len(g) for g in got])
 
 
@@ -187,7 +198,6 @@ def weights(vocabulary: Vocabulary, seed: int = 9) -> dict[str, np.ndarray]:
 
 #: place m of the scored ones sees window places 0 .. CONTEXT + m
 _SEEN = np.arange(WINDOW)[None, :] <= CONTEXT + np.arange(_STRIDE)[:, None]
-_FUTURE = np.where(_SEEN, 0, -1e9).astype(np.float32)
 
 
 def windows(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,86 +206,110 @@ def windows(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     per = -(-size // _STRIDE)
     row = np.repeat(np.arange(len(size)), per)
     base = offsets[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * _STRIDE
-    x = base[:, None] + np.arange(-1 - CONTEXT, _STRIDE - 1)
-    lo, hi = offsets[row][:, None], offsets[row + 1][:, None]
-    x = np.where(x >= hi, -1, np.where(x >= lo, x, np.where(x == lo - 1, -2, -1)))
-    y = base[:, None] + np.arange(_STRIDE)
-    return x, np.where(y < hi, y, -1), row
+    x, y = base[:, None] + np.arange(-1 - CONTEXT, _STRIDE - 1), base[:, None] + np.arange(_STRIDE)
+    # only the first and the last window of a text reach beyond it
+    at = np.flatnonzero(base == offsets[row])
+    x[at, :CONTEXT], x[at, CONTEXT] = -1, -2
+    at = np.flatnonzero(base + _STRIDE > offsets[row + 1])
+    hi = offsets[row[at] + 1][:, None]
+    x[at], y[at] = np.where(x[at] < hi, x[at], -1), np.where(y[at] < hi, y[at], -1)
+    return x, y, row
+
+
+def _softly(z: np.ndarray) -> None:
+    """exp in place, of at most exp(60)."""
+    if z.max(initial=0) > 60:
+        np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, hidden: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross-entropy and its gradients. x: (N, WINDOW) inputs, hidden: not to be attended; y: (N, stride) classes, live: to be scored."""
+    """Mean cross-entropy and its gradients. x: (N, WINDOW) inputs, hidden: not to be attended; y: (N, stride) classes, live: to be scored.
+
+    The weights of attention are not divided by their sum: the values mixed with
+    them are, which are narrower.
+    """
     (n, w), m, d, kind = x.shape, y.shape[1], p["T"].shape[1], p["T"].dtype.type
-    e = np.take(p["T"], x, axis=0)
-    e += p["P"]
-    own = np.ascontiguousarray(e[:, CONTEXT:]).reshape(-1, d)
-    e = e.reshape(-1, d)
-    scaled, both = p["Q"] * kind(d**-0.5), np.concatenate([p["K"], p["V"]], axis=1)
-    q, kv = (own @ scaled).reshape(n, m, d), (e @ both).reshape(n, w, 2 * d)
-    k, v = kv[..., :d], kv[..., d:]
+    scale, classes = kind(d**-0.5), p["O"].shape[1]
+    # a one beside every input, which becomes one beside its value; two of them, of the value and of the input, take half the bias along
+    table, place = np.ones((len(p["T"]), d + 1), kind), np.zeros((w, d + 1), kind)
+    table[:, :d], place[:, :d] = p["T"], p["P"]
+    wide, back, out, o_back = np.zeros((d + 1, 3 * d + 1), kind), np.zeros((3 * d, d + 1), kind), np.empty((d + 1, classes), kind), np.zeros((classes, d + 1), kind)
+    wide[:d, :d], wide[:d, d : 2 * d], wide[d, 2 * d], wide[:d, 2 * d + 1 :] = p["K"], p["V"], 1, p["Q"] * scale
+    back[:d, :d], back[d : 2 * d, :d], back[2 * d :, :d] = p["K"].T, p["V"].T, p["Q"].T * scale
+    out[:d], out[d], o_back[:, :d] = p["O"], p["b"] / 2, p["O"].T
+    e = np.take(table, x, axis=0)
+    e += place
+    rows = e.reshape(-1, d + 1)
+    kvq = (rows @ wide).reshape(n, w, 3 * d + 1)
+    k, v, q = kvq[..., :d], kvq[..., d : 2 * d + 1], kvq[:, CONTEXT:, 2 * d + 1 :]
     a = np.matmul(q, k.transpose(0, 2, 1))
-    np.minimum(a, 60, out=a)
-    np.exp(a, out=a)
+    _softly(a)
     a *= _SEEN.astype(kind)
     odd = np.flatnonzero(hidden.any(axis=1))  # the first and the last window of a text
     if len(odd):
         a[odd] *= ~hidden[odd][:, None, :]
-    a *= 1 / (a.reshape(-1, w) @ np.ones(w, kind)).reshape(n, m, 1)
-    mixed = np.matmul(a, v).reshape(-1, d)
-    # a one beside the values takes the bias along
-    h = np.ones((n * m, d + 1), kind)
-    np.add(own, mixed, out=h[:, :d])
-    out = np.concatenate([p["O"], p["b"][None]])
+    mixed = np.matmul(a, v)
+    over = 1 / mixed[..., d:]
+    mixed *= over
+    h = (mixed + e[:, CONTEXT:]).reshape(-1, d + 1)
     z = h @ out
-    np.minimum(z, 60, out=z)
-    np.exp(z, out=z)
-    total = max(1.0, float(live.sum()))
-    scored = live.ravel().astype(kind)
-    one = 1 / (z @ np.ones(z.shape[1], kind))
-    at, y = np.arange(len(z)), y.ravel()
-    loss = float(-(np.log(z[at, y] * one + 1e-12) * scored).sum() / total)
-    scored /= kind(total)
-    z *= (one * scored)[:, None]
-    z[at, y] -= scored
-    slopes = h.T @ z
-    g = {"O": slopes[:d], "b": slopes[d]}
-    dh = z @ p["O"].T
-    turned = dh.reshape(n, m, d)
+    _softly(z)
+    total, scored, whole = max(1.0, float(live.sum())), live.ravel().astype(kind), z @ np.ones(classes, kind)
+    flat, at = z.reshape(-1), np.arange(0, z.size, classes) + y.ravel()
+    got = flat[at]
+    loss = float(-(np.log(got / whole + 1e-12) @ scored) / total)
+    flat[at] = got - whole
+    z *= (scored / whole / kind(total))[:, None]
+    slopes = (z.T @ h).T
+    g = {"O": slopes[:d], "b": slopes[d] / 2}
+    dh = (z @ o_back).reshape(n, m, d + 1)
+    # slopes of the mixed values and, in the last column, what is taken off at every place: the sum of the weights times theirs
+    turned = dh * over
+    turned[..., d] = -np.einsum("nd,nd->n", turned.reshape(-1, d + 1), mixed.reshape(-1, d + 1)).reshape(n, m)
     ds = np.matmul(turned, v.transpose(0, 2, 1))
-    ds -= np.einsum("nd,nd->n", dh, mixed).reshape(n, m, 1)  # the sum of a times its slope, over the places
     ds *= a
-    dq = np.matmul(ds, k).reshape(-1, d)
-    dkv = np.empty((n, w, 2 * d), kind)
-    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :d])
-    np.matmul(a.transpose(0, 2, 1), turned, out=dkv[..., d:])
-    dkv = dkv.reshape(-1, 2 * d)
-    g["Q"], slopes = (own.T @ dq) * kind(d**-0.5), e.T @ dkv
-    g["K"], g["V"] = slopes[:, :d], slopes[:, d:]
-    de = (dkv @ both.T).reshape(n, w, d)
-    dh += dq @ scaled.T
-    de[:, CONTEXT:] += dh.reshape(n, m, d)
-    g["P"] = de.sum(axis=0)
+    dkvq = np.zeros((n, w, 3 * d), kind)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkvq[..., :d])
+    np.matmul(a.transpose(0, 2, 1), turned[..., :d], out=dkvq[..., d : 2 * d])
+    np.matmul(ds, k, out=dkvq[:, CONTEXT:, 2 * d :])
+    dkvq = dkvq.reshape(-1, 3 * d)
+    slopes = (dkvq.T @ rows).T
+    g["K"], g["V"], g["Q"] = slopes[:d, :d], slopes[:d, d : 2 * d], slopes[:d, 2 * d :] * scale
+    de = (dkvq @ back).reshape(n, w, d + 1)
+    de[:, CONTEXT:] += dh
+    g["P"] = de.sum(axis=0)[:, :d]
     # the rows of one input together
-    at = x.ravel().astype(np.uint16)
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    g["T"] = np.zeros_like(p["T"])
-    g["T"][at[head]] = np.add.reduceat(np.take(de.reshape(-1, d), order, axis=0), head, axis=0)
+    cells = (x * np.int64(d + 1))[..., None] + np.arange(d + 1)
+    g["T"] = np.bincount(cells.ravel(), de.ravel(), table.size).reshape(table.shape)[:, :d].astype(kind)
     return loss, g
 
 
 def _adam(p: dict[str, np.ndarray], batches: Iterator[tuple], rate: float) -> tuple[dict[str, np.ndarray], int]:
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    names = sorted(p)
+    flat = np.concatenate([p[k].ravel() for k in names])
+    ends = np.cumsum([p[k].size for k in names])
+    p = {k: x.reshape(p[k].shape) for k, x in zip(names, np.split(flat, ends[:-1]))}  # views, which follow the steps
+    m, v, q, t = (np.zeros_like(flat) for _ in range(4))
     n = 0
     for step, batch in enumerate(batches, 1):
         _, g = gradients(p, *batch)
         n += len(batch[0])
-        for k, q in g.items():
-            m[k] += 0.1 * (q - m[k])
-            v[k] += 0.01 * (q * q - v[k])
-            p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        np.concatenate([g[k].ravel() for k in names], out=q)
+        # m += 0.1 (q - m), v += 0.01 (q q - v)
+        np.subtract(q, m, out=t)
+        t *= 0.1
+        m += t
+        q *= q
+        q -= v
+        q *= 0.01
+        v += q
+        np.sqrt(v, out=t)
+        t *= (1 - 0.99**step) ** -0.5
+        t += 1e-7
+        np.divide(m, t, out=t)
+        t *= rate / (1 - 0.9**step)
+        flat -= t
     return p, n
 
 
@@ -284,48 +318,56 @@ class Model:
         """windows: how many it was trained on."""
         self.v, self.p, self.tokenizer, self.windows = vocabulary, p, tokenizer, windows
 
-    def batch(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray):
-        live = y >= 0
-        return np.where(x >= 0, np.take(self.v.input, np.take(ids, np.maximum(x, 0))), _BOS), x == -1, np.take(self.v.cls, np.take(ids, np.maximum(y, 0))), live
+    def known(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The inputs and the classes of ids, with those of places that windows() gives as -2 and -1 at the end."""
+        return np.concatenate([np.take(self.v.input, ids), [_BOS, _BOS]]), np.concatenate([np.take(self.v.cls, ids), [0]])
+
+    def batch(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None):
+        """What gradients() takes of windows. known: of the same ids, if there are more batches of them."""
+        inputs, classes = known or self.known(ids)
+        return np.take(inputs, x), x == -1, np.take(classes, y), y >= 0
 
     def tables(self):
-        """Queries, keys and values by input and by place, and the output by input, so that scoring needs no projection per subword."""
+        """By input and by place, side by side: keys, values, a one, queries, the embedding and a one, so that scoring needs no projection per subword."""
         p, s = self.p, np.float32(DIM**-0.5)
-        q, k, v = (p["T"] @ p["Q"]) * s, p["T"] @ p["K"], p["T"] @ p["V"]
-        pq, pk, pv = (p["P"][CONTEXT:] @ p["Q"]) * s, p["P"] @ p["K"], p["P"] @ p["V"]
-        return q, k, v, pq, pk, pv
 
-    def log_probs(self, ids: np.ndarray, offsets: np.ndarray, size: int = 512) -> np.ndarray:
+        def of(e: np.ndarray, one: int) -> np.ndarray:
+            ones = np.full((len(e), 1), one, np.float32)
+            return np.concatenate([e @ p["K"], e @ p["V"], ones, (e @ p["Q"]) * s, e, ones], axis=1)
+
+        return of(p["T"], 1), of(p["P"], 0)
+
+    def log_probs(self, ids: np.ndarray, offsets: np.ndarray, size: int = 256) -> np.ndarray:
         """Natural log-probability of every subword given the ones before it in its window."""
         out = np.zeros(len(ids), np.float32)
         if not len(ids):
             return out
-        p, (q, k, v, pq, pk, pv) = self.p, self.tables()
-        x, y, _ = windows(ids, offsets)
+        by_input, by_place = self.tables()
+        last, ones, seen = np.concatenate([self.p["O"], self.p["b"][None]]), np.ones(CLASSES, np.float32), _SEEN.astype(np.float32)
+        (x, y, _), known = windows(ids, offsets), self.known(ids)
         for lo in range(0, len(x), size):
             xs, ys = x[lo : lo + size], y[lo : lo + size]
-            inp, hidden, cls, live = self.batch(ids, xs, ys)
-            own = inp[:, CONTEXT:]
-            s = np.matmul(np.take(q, own, axis=0) + pq, (np.take(k, inp, axis=0) + pk).transpose(0, 2, 1))
-            s += _FUTURE
-            odd = np.flatnonzero(hidden.any(axis=1))
-            if len(odd):
-                s[odd] += np.where(hidden[odd], np.float32(-1e9), np.float32(0))[:, None, :]
-            np.minimum(s, 60, out=s)
-            np.exp(s, out=s)
-            # a value of one beside the values sums the weights in the same product
-            val = np.ones((len(inp), WINDOW, DIM + 1), np.float32)
-            val[..., :DIM] = np.take(v, inp, axis=0) + pv
-            a = np.matmul(s, val)
-            h = a[..., :DIM] / np.maximum(a[..., DIM:], 1e-30)
-            h += np.take(p["T"], own, axis=0)
-            h += p["P"][CONTEXT:]
-            z = h.reshape(-1, DIM) @ p["O"]
-            z += p["b"]
-            np.minimum(z, 60, out=z)
-            want = z[np.arange(len(z)), cls.ravel()]
+            inp, hidden, cls, live = self.batch(ids, xs, ys, known)
+            e = np.take(by_input, inp, axis=0)
+            e += by_place
+            k, v, q, own = e[..., :DIM], e[..., DIM : 2 * DIM + 1], e[:, CONTEXT:, 2 * DIM + 1 : 3 * DIM + 1], e[:, CONTEXT:, 3 * DIM + 1 :]
+            s = np.matmul(q, k.transpose(0, 2, 1))
+            _softly(s)
+            s *= seen
+            at = np.flatnonzero(hidden.any(axis=1))
+            if len(at):
+                s[at] *= ~hidden[at][:, None, :]
+            # the one beside the values sums the weights in the same product; a one in its place then takes the bias along
+            h = np.matmul(s, v)
+            h *= 1 / np.maximum(h[..., DIM:], 1e-30)
+            h += own
+            h[..., DIM] = 1
+            z = h.reshape(-1, DIM + 1) @ last
+            if z.max() > 60:
+                np.minimum(z, 60, out=z)
+            want = z.reshape(-1)[np.arange(0, z.size, CLASSES) + cls.ravel()]
             np.exp(z, out=z)
-            got = want - np.log(z @ np.ones(CLASSES, np.float32))
+            got = want - np.log(z @ ones)
             at = ys[live]
             out[at] = got[live.ravel()] + self.v.log_share[ids[at]]
         return out
@@ -374,6 +416,7 @@ def _counts(size: int):
 def _neighbours(kind: np.ndarray):
     """(id, place, n): how often a subword of a kind stands to the left of an id, and to the right, where places go on."""
     k, size = NEIGHBOURS + 1, len(kind)
+    kind = kind.astype(np.int32 if size * 2 * k < 2**31 else np.int64)  # narrow cells sort faster
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * 2 * k, np.int32)
@@ -404,12 +447,12 @@ def _steps(model: Model, rate: float, batch: int = 256, first: int = 64):
             for _, ids, cut_at in _decoded(batches):
                 if not len(ids):
                     continue
-                x, y, _ = windows(ids, cut_at)
+                (x, y, _), known = windows(ids, cut_at), model.known(ids)
                 order = np.random.default_rng(len(ids)).permutation(len(x))
                 s = 0
                 while s < len(order):
                     own = order[s : s + (batch if n >= first else first)]
-                    yield model.batch(ids, x[own], y[own])
+                    yield model.batch(ids, x[own], y[own], known)
                     s, n = s + len(own), n + 1
 
         p, n = _adam(model.p, data(), rate)

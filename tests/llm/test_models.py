@@ -549,6 +549,43 @@ def test_subwords_one_by_one():
             assert ids[off[i] : off[i + 1]].tolist() == want
 
 
+def test_subwords_without_looking_ahead():
+    """The faster splitting gives what the tokenizer's own does, and is not asked where white space other than single spaces is left."""
+    sub = lm.subwords(lm.TOKENIZER)
+    text = " don't it's 'tis 12,5% naïve — “quoted” 東京 ไทย हिन्दी a\u200bb c\u00add …'s 's ½ \x1f\x1c !?"
+    assert not lm._WIDE_SPACE.search(text) and sub.spaced.encode_ordinary(text) == sub.encoding.encode_ordinary(text)
+    for c in filter(str.isspace, map(chr, range(0x110000))):
+        assert lm._WIDE_SPACE.search(c) or c in "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f"  # the last four are no white space to the tokenizer
+
+
+def test_windows_by_place():
+    """Every place of every window, by its definition; what a batch gives for it is looked up once for all windows."""
+    off, ids = np.array([0, 0, 1, 24, 48, 73, 73, 200]), np.random.default_rng(3).integers(0, 300, 200).astype(np.int32)
+    x, y, row = lm.windows(ids, off)
+    stride, k = lm.WINDOW - lm.CONTEXT, 0
+    for r in range(len(off) - 1):
+        for base in range(off[r], off[r + 1], stride):
+            read, scored = range(base - 1 - lm.CONTEXT, base + stride - 1), range(base, base + stride)
+            assert row[k] == r and x[k].tolist() == [j if off[r] <= j < off[r + 1] else -2 if j == off[r] - 1 else -1 for j in read]
+            assert y[k].tolist() == [j if j < off[r + 1] else -1 for j in scored]
+            k += 1
+    v = lm.Vocabulary(np.arange(300)[::-1].copy())
+    m = lm.Model(v, lm.weights(v), "")
+    assert k == len(x) and all((a == b).all() for a, b in zip(m.batch(ids, x, y), m.batch(ids, x, y, m.known(ids))))
+    inp, hidden, cls, live = m.batch(ids, x, y)
+    assert (inp == np.where(x >= 0, v.input[ids[x]], lm._BOS)).all() and (hidden == (x == -1)).all() and (cls[live] == v.cls[ids[y[live]]]).all()
+
+
+def test_scores_stay_finite():
+    """Weights of attention that all vanish, or are huge, leave a score."""
+    v = lm.Vocabulary(np.arange(300)[::-1].copy())
+    ids = np.arange(100, dtype=np.int32)
+    for sign in (-1, 1):
+        p = lm.weights(v)
+        p["T"][:], p["P"][:], p["Q"], p["K"] = 3, 0, np.eye(lm.DIM, dtype=np.float32) * sign * 9, np.eye(lm.DIM, dtype=np.float32)
+        assert np.isfinite(lm.Model(v, p, "").log_probs(ids, np.array([0, 100]))).all()
+
+
 def test_scores_by_brute_force(small_lm):
     """Every subword, scored alone with full matrices and its own causal mask."""
     m = small_lm
