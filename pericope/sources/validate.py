@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,6 +26,19 @@ CODE = re.compile(r"[a-z0-9][a-z0-9_-]{0,29}")
 SHA = re.compile(r"[0-9a-f]{40}")
 
 
+class ChapterLimits(NamedTuple):
+    """How large the number of a chapter file, the numbers and the texts of its verses and their count may be."""
+
+    chapter: float = 1000
+    verse: float = 2000
+    verses: float = MAX_VERSES
+    text: float = MAX_TEXT
+
+
+#: Of chapters that aren't a published corpus's and may be of any size.
+NO_LIMITS = ChapterLimits(math.inf, math.inf, math.inf, math.inf)
+
+
 def code_of(abbreviation: Any) -> str:
     """A translation's code, or an error."""
     if not isinstance(abbreviation, str):
@@ -44,11 +57,11 @@ def valid_sha(x: str) -> bool:
     return bool(SHA.fullmatch(x.lower()))
 
 
-def _number(x: Any, most: int) -> bool:
+def _number(x: Any, most: float) -> bool:
     return isinstance(x, int) and not isinstance(x, bool) and 1 <= x <= most
 
 
-def _text(x: Any, most: int, blank: bool = False) -> bool:
+def _text(x: Any, most: float, blank: bool = False) -> bool:
     return isinstance(x, str) and len(x) <= most and (blank or bool(x.strip()))
 
 
@@ -148,7 +161,7 @@ def document_faults(raw: str | None, expected: str | None = None) -> list[tuple[
     return structure_faults(raw, expected) or count_faults(json.loads(raw or ""))
 
 
-def chapter_fault(raw: str | None, abbreviation: str, book: int, chapter: int) -> str | None:
+def chapter_fault(raw: str | None, abbreviation: str, book: int, chapter: int, limits: ChapterLimits = ChapterLimits()) -> str | None:
     """V19: what is wrong with the raw text of a chapter file, None if nothing."""
     try:
         doc = json.loads(raw or "", parse_constant=lambda x: math.inf)
@@ -158,8 +171,8 @@ def chapter_fault(raw: str | None, abbreviation: str, book: int, chapter: int) -
         return "not JSON"
     if doc.get("abbreviation") != abbreviation:
         return "abbreviation"
-    for name, value in (("book_nr", book), ("chapter", chapter)):
-        if not _number(doc.get(name), 1000) or doc[name] != value:
+    for name, value, most in (("book_nr", book, 1000), ("chapter", chapter, limits.chapter)):
+        if not _number(doc.get(name), most) or doc[name] != value:
             return name
     for name in ("book_name", "name"):
         if not _text(doc.get(name), MAX_NAME):
@@ -170,11 +183,11 @@ def chapter_fault(raw: str | None, abbreviation: str, book: int, chapter: int) -
         if name in doc and not _text(doc[name], MAX_NAME, True):
             return name
     verses = doc.get("verses")
-    if not isinstance(verses, list) or not 1 <= len(verses) <= MAX_VERSES:
+    if not isinstance(verses, list) or not 1 <= len(verses) <= limits.verses:
         return "verses"
     seen = set()
     for v in verses:
-        if not isinstance(v, dict) or not _number(v.get("verse"), 2000) or not _number(v.get("chapter"), 1000) or not _text(v.get("name"), MAX_NAME) or not _text(v.get("text"), MAX_TEXT, True):
+        if not isinstance(v, dict) or not _number(v.get("verse"), limits.verse) or not _number(v.get("chapter"), limits.chapter) or not _text(v.get("name"), MAX_NAME) or not _text(v.get("text"), limits.text, True):
             return "verse"
         if v["chapter"] != chapter:
             return "verse of another chapter"
@@ -186,19 +199,22 @@ def chapter_fault(raw: str | None, abbreviation: str, book: int, chapter: int) -
     return None
 
 
-@pandas_udf(T.StringType())
-def _chapter(raw: pd.Series, abbreviation: pd.Series, book: pd.Series, chapter: pd.Series) -> pd.Series:
-    return pd.Series([chapter_fault(*x) for x in zip(raw, abbreviation, book.tolist(), chapter.tolist())], dtype=object)
+def _chapter(limits: ChapterLimits):
+    @pandas_udf(T.StringType())
+    def fault(raw: pd.Series, abbreviation: pd.Series, book: pd.Series, chapter: pd.Series) -> pd.Series:
+        return pd.Series([chapter_fault(*x, limits) for x in zip(raw, abbreviation, book.tolist(), chapter.tolist())], dtype=object)
+
+    return fault
 
 
 def chapter_violations(chapters: DataFrame) -> DataFrame:
     """(abbreviation, book_nr, chapter, rule, fault): V19, of chapter files (abbreviation, book_nr, chapter, raw) that are kept under these numbers."""
-    return computed(chapters.withColumn("fault_", _chapter("raw", "abbreviation", "book_nr", "chapter")), fault=F.col("fault_")).where("fault is not null").select("abbreviation", "book_nr", "chapter", F.lit("V19").alias("rule"), "fault")
+    return computed(chapters.withColumn("fault_", _chapter(ChapterLimits())("raw", "abbreviation", "book_nr", "chapter")), fault=F.col("fault_")).where("fault is not null").select("abbreviation", "book_nr", "chapter", F.lit("V19").alias("rule"), "fault")
 
 
-def sound_chapters(chapters: DataFrame) -> DataFrame:
+def sound_chapters(chapters: DataFrame, limits: ChapterLimits = ChapterLimits()) -> DataFrame:
     """Chapter files without a fault as nested rows."""
-    d = computed(chapters.withColumn("fault_", _chapter("raw", "abbreviation", "book_nr", "chapter")), fault=F.col("fault_")).where("fault is null")
+    d = computed(chapters.withColumn("fault_", _chapter(limits)("raw", "abbreviation", "book_nr", "chapter")), fault=F.col("fault_")).where("fault is null")
     return d.select(F.from_json("raw", CHAPTER_FILE).alias("c")).select("c.*")
 
 

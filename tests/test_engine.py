@@ -449,6 +449,17 @@ def test_chapter_fault(change, fault):
     assert validate.chapter_fault("[]", "tiny", 1, 1) == validate.chapter_fault(None, "tiny", 1, 1) == "not JSON"
 
 
+def test_chapter_limits():
+    def fault(limits=validate.ChapterLimits(), verses=((1, "x"),), chapter=1):
+        doc = {"abbreviation": "t", "book_nr": 1, "book_name": "B", "chapter": chapter, "name": "B", "verses": [{"chapter": chapter, "verse": v, "name": "B", "text": t} for v, t in verses]}
+        return validate.chapter_fault(json.dumps(doc), "t", 1, chapter, limits)
+
+    over = [("chapter", {"chapter": 1001}), ("verse", {"verses": ((2001, "x"),)}), ("verses", {"verses": [(i + 1, "x") for i in range(501)]}), ("verse", {"verses": ((1, "x" * (validate.MAX_TEXT + 1)),)})]
+    for name, doc in over:
+        assert fault(**doc) == name and fault(validate.NO_LIMITS, **doc) is None
+    assert fault(validate.NO_LIMITS, verses=((0, "x"),)) == "verse" and fault(validate.NO_LIMITS, verses=()) == "verses"
+
+
 def test_default_names(spark, tmp_path):
     a = AliasBook.default()
     r = ReferenceParser(a)
