@@ -207,9 +207,9 @@ def _chapter(limits: ChapterLimits):
     return fault
 
 
-def chapter_violations(chapters: DataFrame) -> DataFrame:
+def chapter_violations(chapters: DataFrame, limits: ChapterLimits = ChapterLimits()) -> DataFrame:
     """(abbreviation, book_nr, chapter, rule, fault): V19, of chapter files (abbreviation, book_nr, chapter, raw) that are kept under these numbers."""
-    return computed(chapters.withColumn("fault_", _chapter(ChapterLimits())("raw", "abbreviation", "book_nr", "chapter")), fault=F.col("fault_")).where("fault is not null").select("abbreviation", "book_nr", "chapter", F.lit("V19").alias("rule"), "fault")
+    return computed(chapters.withColumn("fault_", _chapter(limits)("raw", "abbreviation", "book_nr", "chapter")), fault=F.col("fault_")).where("fault is not null").select("abbreviation", "book_nr", "chapter", F.lit("V19").alias("rule"), "fault")
 
 
 def sound_chapters(chapters: DataFrame, limits: ChapterLimits = ChapterLimits()) -> DataFrame:
