@@ -60,9 +60,9 @@ def _udf(case_sensitive: bool, diacritics: str):
     return exact
 
 
-def native(text: Column, case_sensitive: bool = False, diacritics: str = "sensitive") -> Column:
-    """normalise() for texts of simple characters, within generated code."""
-    out = F.trim(F.regexp_replace(text, r"[\s\x1C-\x1F\x85\xA0]+", " "))
+def native(text: Column, case_sensitive: bool = False, diacritics: str = "sensitive", spaced: bool = True) -> Column:
+    """normalise() for texts of simple characters, within generated code. spaced=False leaves white space as it is."""
+    out = F.trim(F.regexp_replace(text, r"[\s\x1C-\x1F\x85\xA0]+", " ")) if spaced else text
     if diacritics == "insensitive":
         out = F.translate(out, "".join(_ACCENTED), "".join(_ACCENTED.values()))
     return out if case_sensitive else F.replace(F.lower(out), F.lit("ß"), F.lit("ss"))
@@ -83,10 +83,10 @@ def computed(d: DataFrame, **columns: Column) -> DataFrame:
     return d.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def with_normalised(d: DataFrame, text: str = "text", out: str = "norm", case_sensitive: bool = False, diacritics: str = "sensitive", exact: bool = True, keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    """d with the normal form of a column. keep: which normal forms go on, tested before anything else is computed. A null text stays null, unless keep drops it."""
+def with_normalised(d: DataFrame, text: str = "text", out: str = "norm", case_sensitive: bool = False, diacritics: str = "sensitive", exact: bool = True, keep: Callable[[Column], Column] | None = None, spaced: bool = True) -> DataFrame:
+    """d with the normal form of a column. keep: which normal forms go on, tested before anything else is computed. spaced=False: white space may stay as it is. A null text stays null, unless keep drops it."""
     t = F.col(text)
-    own = computed(d.where(simple(t) | t.isNull()) if exact else d, **{out: native(t, case_sensitive, diacritics)})
+    own = computed(d.where(simple(t) | t.isNull()) if exact else d, **{out: native(t, case_sensitive, diacritics, spaced)})
     if exact:
         rest = d.where(~simple(t)).withColumn(f"{out}_", _udf(case_sensitive, diacritics)(t))
         own = own.unionByName(computed(rest, **{out: F.col(f"{out}_")}).drop(f"{out}_"))

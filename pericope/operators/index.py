@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pericope.functions.text import computed, tokens, with_normalised
@@ -14,15 +15,33 @@ from pericope.plans.criteria import Analysed
 KEY = ["abbreviation", "book_nr", "chapter", "verse"]
 
 
-def with_tokens(verses: DataFrame, case_sensitive: bool = False, diacritics: str = "sensitive", exact: bool = True, keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    """verses with norm, the normalised text, and tokens. keep: a test of norm that comes before tokens are made."""
-    return computed(with_normalised(verses, "text", "norm", case_sensitive, diacritics, exact, keep), tokens=tokens(F.col("norm")))
+def with_tokens(verses: DataFrame, case_sensitive: bool = False, diacritics: str = "sensitive", exact: bool = True, keep: Callable[[Column], Column] | None = None, spaced: bool = True) -> DataFrame:
+    """verses with norm, the normalised text, and tokens. keep: a test of norm that comes before tokens are made. spaced=False leaves white space in norm as it is, which tokens don't depend on."""
+    return computed(with_normalised(verses, "text", "norm", case_sensitive, diacritics, exact, keep, spaced), tokens=tokens(F.col("norm")))
 
 
-def postings(tokenised: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """(abbreviation, token, key..., tf). One shuffle, with counts combined before it."""
+def postings(tokenised: DataFrame, key: list[str] | None = None, words: Sequence[str] | None = None) -> DataFrame:
+    """(abbreviation, token, key..., tf). words: of these tokens only.
+
+    Verses are shuffled by their key, each as one text of its sorted tokens. A
+    token without an equal neighbour, in a verse that has its key to itself,
+    occurs once; so only the others are counted, and without another shuffle.
+    """
     key = key or KEY[1:]
-    return tokenised.select("abbreviation", *key, F.explode("tokens").alias("token")).groupBy("abbreviation", "token", *key).agg(F.count(F.lit(1)).alias("tf"))
+    verse, out = ["abbreviation", *key], ["abbreviation", "token", *key, "tf"]
+    if words is not None:
+        return _counted(tokenised.select(*verse, F.explode("tokens").alias("token")).where(F.col("token").isin(list(words))), verse).select(*out)
+    packed = tokenised.where(F.size("tokens") > 0).select(*verse, F.array_join(F.sort_array("tokens"), " ").alias("packed_"))
+    packed = packed.withColumn("copies_", F.count(F.lit(1)).over(W.partitionBy(*verse)))
+    each = packed.select(*verse, "copies_", F.split("packed_", " ").alias("s_")).select("*", F.posexplode("s_").alias("i_", "token"))
+    alone = (F.col("copies_") == 1) & ~F.expr("token <=> get(s_, i_ - 1)") & ~F.expr("token <=> get(s_, i_ + 1)")
+    once = each.where(alone).withColumn("tf", F.lit(1).cast("long"))
+    more = _counted(each.where(~alone), verse)
+    return once.select(*out).unionByName(more.select(*out))
+
+
+def _counted(each: DataFrame, verse: list[str]) -> DataFrame:
+    return each.groupBy("token", *verse).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(tokenised: DataFrame) -> DataFrame:
